@@ -103,14 +103,17 @@ def shred(df: DataFrame, keys: Sequence[str], text: str, lists: Sequence[str] =
             return seen[path]
 
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                ok, root = parse_json(row[-1])
-                nodes = list(label_nodes(root, names, want)) if ok else []
-                if nodes:
-                    out = pd.DataFrame(nodes, columns=["dewey", "schema_path", "kind", "value"])
-                    for i, k in enumerate(keys):
-                        out.insert(i, k, pd.Series([row[i]] * len(nodes), dtype=batch.dtypes.iloc[i]))
-                    yield out
+            owners: list[int] = []
+            nodes: list[tuple] = []
+            for i, report in enumerate(batch["_text"]):
+                ok, root = parse_json(report)
+                if ok:
+                    nodes.extend(label_nodes(root, names, want))
+                    owners.extend([i] * (len(nodes) - len(owners)))
+            out = pd.DataFrame(nodes, columns=["dewey", "schema_path", "kind", "value"])
+            for i, k in enumerate(keys):
+                out.insert(i, k, batch.iloc[:, i].take(owners).array)
+            yield out
 
     rows = df.select(*keys, F.col(text).alias("_text")).where(F.col("_text").isNotNull()).dropDuplicates()
     return rows.mapInPandas(run, schema)
