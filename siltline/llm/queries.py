@@ -5,14 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from siltline.llm import parsing
+from siltline.llm import mixing, parsing, scores, tokens
 from siltline.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": lambda spark, d: parsing.parse_files(table(spark, d, "files")).where("not valid").select("file_id"),
     "p1_verdicts": lambda spark, d: parsing.parse_files(table(spark, d, "files")),
     "p1_rates": lambda spark, d: parsing.parse_rates(parsing.parse_files(table(spark, d, "files"))),
+    "p3_scan_ranking": lambda spark, d: scores.rank_findings(table(spark, d, "findings"), table(spark, d, "scans"), ["scan_id"]),
+    "p3_repo_ranking": lambda spark, d: scores.rank_findings(table(spark, d, "findings"), table(spark, d, "scans"), ["repo"]),
+    "p7_ids": lambda spark, d: tokens.encode_documents(table(spark, d, "documents")),
+    "p7_roundtrip": lambda spark, d: tokens.roundtrip(table(spark, d, "documents")),
+    "p7_source_tokens": lambda spark, d: tokens.encode_documents(table(spark, d, "documents"), keep=("source",), count=True)
+    .groupBy("source").agg(F.count("*").alias("documents"), F.sum("tokens").alias("tokens")),
+    "p8_mix": lambda spark, d: mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0],
+    "p8_shares": lambda spark, d: mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1],
 }
 
 ORACLES: dict[str, str] = {}
