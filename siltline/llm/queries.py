@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltline.llm import mixing, parsing, scores, tokens
+from siltline.llm import credentials, mixing, parsing, scores, tokens
 from siltline.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -16,6 +16,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_rates": lambda spark, d: parsing.parse_rates(parsing.parse_files(table(spark, d, "files"))),
     "p3_scan_ranking": lambda spark, d: scores.rank_findings(table(spark, d, "findings"), table(spark, d, "scans"), ["scan_id"]),
     "p3_repo_ranking": lambda spark, d: scores.rank_findings(table(spark, d, "findings"), table(spark, d, "scans"), ["repo"]),
+    "p6_found": lambda spark, d: credentials.found_credentials(table(spark, d, "files"), table(spark, d, "findings")),
+    "p6_scores": lambda spark, d: credentials.score_credentials(table(spark, d, "files"), table(spark, d, "findings")).drop("value"),
+    "p6_redacted": lambda spark, d: credentials.redact_texts(table(spark, d, "files"), table(spark, d, "findings")),
     "p7_ids": lambda spark, d: tokens.encode_documents(table(spark, d, "documents")),
     "p7_roundtrip": lambda spark, d: tokens.roundtrip(table(spark, d, "documents")),
     "p7_source_tokens": lambda spark, d: tokens.encode_documents(table(spark, d, "documents"), keep=("source",), count=True)
