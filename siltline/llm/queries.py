@@ -7,13 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltline.llm import credentials, mixing, parsing, scores, tokens
+from siltline.llm import credentials, mixing, origin, parsing, scores, tokens
 from siltline.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": lambda spark, d: parsing.parse_files(table(spark, d, "files")).where("not valid").select("file_id"),
     "p1_verdicts": lambda spark, d: parsing.parse_files(table(spark, d, "files")),
     "p1_rates": lambda spark, d: parsing.parse_rates(parsing.parse_files(table(spark, d, "files"))),
+    "p2_found": lambda spark, d: origin.not_handwritten(table(spark, d, "files")),
+    "p2_origins": lambda spark, d: origin.file_origins(table(spark, d, "files")),
+    "p2_rates": lambda spark, d: origin.origin_rates(origin.file_origins(table(spark, d, "files"))),
     "p3_scan_ranking": lambda spark, d: scores.rank_findings(table(spark, d, "findings"), table(spark, d, "scans"), ["scan_id"]),
     "p3_repo_ranking": lambda spark, d: scores.rank_findings(table(spark, d, "findings"), table(spark, d, "scans"), ["repo"]),
     "p6_found": lambda spark, d: credentials.found_credentials(table(spark, d, "files"), table(spark, d, "findings")),
