@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltline.llm import credentials, mixing, origin, parsing, scores, tokens
+from siltline.llm import abuse, credentials, mixing, origin, parsing, scores, tokens
 from siltline.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -28,6 +28,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     .groupBy("source").agg(F.count("*").alias("documents"), F.sum("tokens").alias("tokens")),
     "p8_mix": lambda spark, d: mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0],
     "p8_shares": lambda spark, d: mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1],
+    "p9_found": lambda spark, d: abuse.found_abuse(table(spark, d, "documents"), table(spark, d, "review_labels")),
+    "p9_scores": lambda spark, d: abuse.score_documents(table(spark, d, "documents"), table(spark, d, "review_labels")),
+    "p9_rates": lambda spark, d: abuse.abuse_rates(abuse.score_documents(table(spark, d, "documents"), table(spark, d, "review_labels"))),
 }
 
 ORACLES: dict[str, str] = {}
