@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltline.plans import record_queries
+from siltline.plans import detection_queries, finding_queries, project_queries, record_queries
 
-_MODULES = (record_queries,)
+_MODULES = (record_queries, detection_queries, project_queries, finding_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
