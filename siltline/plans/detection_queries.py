@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltline.functions import binary, paths
+from siltline.functions.javascript import script_findings
 from siltline.functions.text import EMAIL, hide_contacts, mask_secret, shannon_entropy
 from siltline.operators import detect, findings
 from siltline.plans import rules as R
@@ -57,7 +58,29 @@ _VIRTUAL = f"(SELECT doc_id, source, concat_ws(chr(10), text, {_case(2)}) AS tex
 _VIRTUAL_LINES = f"(SELECT doc_id, source, rel_path, language, unnest(string_split_regex(text, '\\r?\\n')) AS text, generate_subscripts(string_split_regex(text, '\\r?\\n'), 1) AS line FROM {_VIRTUAL})"
 _T = "regexp_replace(text, '^\\s+|\\s+$', '', 'g')"
 
-DOC = ("doc_id", "rel_path")
+# Scripts, one for each document: text, then rule, severity, confidence, line, column and steps of what is in it.
+_SCRIPTS = (
+    ("const a = req.query.name;\nexec(a);", ("SEC-001", "CRITICAL", 98, 2, 0, 2)),
+    ("const a = req.body.x;\nconst b = a;\nchild_process.execSync(b);", ("SEC-001", "CRITICAL", 98, 3, 14, 2)),
+    ("exec('ls ' + dir);", ("SEC-001", "CRITICAL", 90, 1, 0, 0)),
+    ("exec('ls');", ("SEC-001", "CRITICAL", 70, 1, 0, 0)),
+    ("db.exec(sql); obj.execute(x); // eval(y)\nlet s = 'eval(z)';", None),
+    ("cp.spawn('ls', [], { shell: true });", ("SEC-001", "HIGH", 85, 1, 3, 0)),
+    ("cp.spawn('ls', []);", None),
+    ("db.query(`select ${x}`);", ("SEC-003", "CRITICAL", 90, 1, 3, 0)),
+    ("db.query('select 1', [x]);", None),
+    ("crypto.createCipher('des', k);", ("SEC-008", "MEDIUM", 95, 1, 7, 0)),
+    ("let f = new Function('return 1');", ("SEC-002", "CRITICAL", 95, 1, 12, 0)),
+    ("el.innerHTML = text; if (el.innerHTML == '') {}", ("SEC-004", "HIGH", 85, 1, 3, 0)),
+    ("return <div dangerouslySetInnerHTML={{__html: x}} />;", ("SEC-004", "HIGH", 90, 1, 12, 0)),
+    ("if (a / b > c / d) { eval(code); }", ("SEC-002", "CRITICAL", 95, 1, 21, 0)),
+)
+
+
+def virtual_scripts(spark: SparkSession, d: str) -> DataFrame:
+    script = F.element_at(F.array(*[F.lit(x[0]) for x in _SCRIPTS]), (F.pmod("doc_id", F.lit(len(_SCRIPTS))) + 1).cast("int"))
+    return table(spark, d, "documents").select("doc_id", F.lit("javascript").alias("language"), script.alias("text"))
+
 
 
 def virtual_findings(spark: SparkSession, d: str, rules=R.LINE_RULES, keys=("doc_id", "source", "rel_path")) -> DataFrame:
@@ -117,7 +140,7 @@ def _secret_sql(where: str = "") -> str:
     entropy = _ENTROPY.format(v="value")
     return (
         f"WITH m AS ({' UNION ALL '.join(parts)}), e AS (SELECT *, {entropy} AS entropy FROM m WHERE length(value) >= 6 AND NOT regexp_matches(lower(value), '{terms}')), "
-        "a AS (SELECT *, CASE WHEN regexp_matches(rel_path, '(?i)(?:^|/)tests?/|[._-](?:test|spec)\\.') THEN CAST(floor(base * 0.7 + 0.5) AS INTEGER) ELSE base END AS c FROM e WHERE least IS NULL OR entropy >= least) "
+        "a AS (SELECT *, CASE WHEN regexp_matches(rel_path, '(?i)(?:^|/)tests?/|[._-](?:test|spec)\\.') THEN CAST(floor(base * CAST(0.7 AS DOUBLE) + 0.5) AS INTEGER) ELSE base END AS c FROM e WHERE least IS NULL OR entropy >= least) "
         "SELECT DISTINCT file_id, rel_path, line, rule_id, value, round(entropy, 6) AS entropy, CAST(greatest(0, least(100, CASE WHEN entropy > 4.5 THEN least(100, c + 10) WHEN entropy < 3.0 THEN greatest(20, c - 20) ELSE c END)) AS INTEGER) AS confidence FROM a "
         + where
     ).replace("least IS NULL OR entropy >= least)", "a_least IS NULL OR entropy >= a_least)").replace(" AS least,", " AS a_least,")
@@ -218,6 +241,8 @@ QUERIES = {
     "secret_counts": lambda s, d: secrets(s, d).groupBy("rule_id").agg(F.count("*").alias("n"), F.countDistinct("value").alias("n_values")),
     "multiline_private_key": lambda s, d: _shown(detect.key_block_findings(text_files(s, d), KEYS)),
     "attack_chain": lambda s, d: _shown(detect.chain_findings(text_files(s, d), KEYS), "evidence"),
+    "js_taint": lambda s, d: script_findings(text_files(s, d), KEYS).select("file_id", "rule_id", "severity", "confidence", "line", "col", "evidence").distinct(),
+    "js_payloads": lambda s, d: script_findings(virtual_scripts(s, d), ("doc_id",)).select("doc_id", "rule_id", "severity", "confidence", "line", "col", F.size(F.coalesce("taint_path", F.array().cast("array<struct<file:string,line:int,description:string,code_snippet:string>>"))).alias("steps")),
     "environment_files": lambda s, d: _shown(detect.environment_files(_meta(s, d), KEYS)),
     "dockerfile_last_from": lambda s, d: _shown(detect.root_images(detect.to_lines(text_files(s, d), KEYS).distinct(), KEYS)),
     "large_literals": lambda s, d: _shown(detect.large_literals(text_files(s, d), KEYS), "evidence"),
@@ -253,7 +278,10 @@ _SECRET_FILE = "(regexp_matches(base, '(?i)^\\.env(?:\\.(?:local|production|prod
 _MODE = "'mode ' || CASE WHEN mode & 511 = 0 THEN '0' ELSE ltrim(CAST((mode & 511) >> 6 AS VARCHAR) || CAST(((mode & 511) >> 3) & 7 AS VARCHAR) || CAST(mode & 7 AS VARCHAR), '0') END AS evidence"
 _RELBASE = "regexp_extract(replace(rel_path, '\\', '/'), '[^/]*$') AS base"
 
+_SCRIPT_ROWS = ", ".join(f"({i}, {q(x[1][0])}, {q(x[1][1])}, {', '.join(map(str, x[1][2:]))})" for i, x in enumerate(_SCRIPTS) if x[1])
+
 ORACLES = {
+    "js_payloads": f"SELECT doc_id, rule_id, severity, CAST(confidence AS INTEGER) AS confidence, CAST(line AS INTEGER) AS line, CAST(col AS INTEGER) AS col, CAST(steps AS INTEGER) AS steps FROM documents JOIN (VALUES {_SCRIPT_ROWS}) v(i, rule_id, severity, confidence, line, col, steps) ON doc_id % {len(_SCRIPTS)} = i",
     **{name: _rules_sql(rules) for name, rules in _SETS.items()},
     "secret_findings": _secret_sql(),
     "secret_counts": f"SELECT rule_id, count(*) AS n, count(DISTINCT value) AS n_values FROM ({_secret_sql()}) GROUP BY rule_id",
@@ -281,6 +309,7 @@ ORACLES = {
     "project_types": f"WITH b AS (SELECT repo, {_RELBASE} FROM {_DISTINCT_FILES}), t AS (SELECT repo, unnest(list_filter([{_TYPE_CASES}], lambda x: x IS NOT NULL)) AS type FROM b), g AS (SELECT repo, string_agg(DISTINCT type, ',' ORDER BY type) AS types FROM t GROUP BY repo) SELECT r.repo, coalesce(types, 'generic') AS types FROM (SELECT DISTINCT repo FROM b) r LEFT JOIN g ON r.repo = g.repo",
     "language_histogram": f"SELECT repo, language, count(*) AS n FROM {_DISTINCT_FILES} WHERE language IS NOT NULL GROUP BY ALL",
     "file_metrics": f"SELECT repo, count(*) AS files, count_if(starts_with(base, '.')) AS hidden, count_if(is_archive) AS archives, count_if(is_binary) AS binaries, count_if(is_executable) AS programs, count_if(is_disguised) AS disguised, count_if(base IN ({_MANIFEST_NAMES}) OR regexp_matches(base, '\\.(?:csproj|sln)$')) AS manifests, bool_or(starts_with(replace(rel_path, '\\', '/'), '.git')) AS has_git, CAST(sum(coalesce(size, 0)) AS BIGINT) AS bytes FROM (SELECT *, {_RELBASE} FROM {_DISTINCT_FILES}) GROUP BY repo",
+    "redact_contacts": f"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, {q(EMAIL)}, '[REDACTED_EMAIL]', 'g'), '\\b127\\.0\\.0\\.1', chr(1), 'g'), '\\b0\\.0\\.0\\.0', chr(2), 'g'), '\\b255\\.255\\.255\\.255', chr(3), 'g'), '\\b\\d{{1,3}}\\.\\d{{1,3}}\\.\\d{{1,3}}\\.\\d{{1,3}}\\b', '[REDACTED_IP]', 'g'), chr(1), '127.0.0.1', 'g'), chr(2), '0.0.0.0', 'g') AS text FROM documents".replace(" AS text FROM documents", " AS text FROM documents"),
     "text_entropy": f"SELECT doc_id, CASE WHEN text = '' THEN 0.0 WHEN text IS NOT NULL THEN round({_ENTROPY.format(v='text')}, 6) END AS bits FROM documents",
     "mask_secret": "WITH t AS (SELECT doc_id, text, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS s FROM documents), e AS (SELECT *, length(s) AS n, least(4, length(s) // 4) AS k FROM t) SELECT doc_id, CASE WHEN coalesce(length(text), 0) = 0 THEN '[REDACTED]' WHEN n <= 8 THEN '***REDACTED***' ELSE s[1:k] || repeat('*', greatest(4, n - 2 * k)) || right(s, k) END AS masked FROM e",
     "risk_grade_by_source": _line_sql(R.LINE_RULES)

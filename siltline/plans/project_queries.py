@@ -150,3 +150,9 @@ ORACLES = {
     "git_log_forward_fill": _ADDED + "SELECT * FROM a",
     "git_history_secrets": _ADDED + f"SELECT * FROM ({_HISTORY}) WHERE length(value) >= 6 AND NOT regexp_matches(lower(value), '{_TERMS}')",
 }
+
+ORACLES["distinct_packages"] = (
+    "SELECT DISTINCT lower(ecosystem) AS ecosystem, lower(name) AS name, version FROM ("
+    + " UNION ALL ".join(f"SELECT name, version, ecosystem FROM ({ORACLES[n]})" for n in ("requirements_parse", "gomod_parse", "pnpm_parse", "yarn_lock_pairs", "package_json_deps", "package_lock_deps", "composer_deps"))
+    + ")"
+)

@@ -54,6 +54,7 @@ FROM n FULL JOIN o ON n.repo = o.repo AND n.snapshot_no = o.at AND n.fingerprint
 
 ORACLES = {
     "p4_found": _P4,
+    "p4_contributors": "WITH r AS (SELECT DISTINCT scan_id, TRY_CAST(report AS JSON) AS j FROM scan_reports WHERE json_valid(report)), c AS (SELECT scan_id, coalesce(json_extract(j, '$.riskScore.contributors[*]'), []) || coalesce(json_extract(j, '$.risk_score.contributors[*]'), []) AS a, list_position(list_transform(json_keys(j), lambda k: lower(replace(k, '_', ''))), 'riskscore') - 1 AS n, j FROM r), p AS (SELECT scan_id, n, list_position(json_keys(coalesce(j->'$.riskScore', j->'$.risk_score')), 'contributors') - 1 AS m, unnest(a) AS x, generate_subscripts(a, 1) - 1 AS i FROM c) SELECT scan_id, '0.' || n || '.' || m || '.' || i AS dewey, x->>'$.name' AS name, TRY_CAST(x->>'$.count' AS BIGINT) AS count, '0.' || n AS parent_dewey FROM p",
     "p5_found": _P5 + "SELECT repo, snapshot_no, fingerprint, change FROM x WHERE change IS NOT NULL",
     "p5_change_counts": _P5 + "SELECT repo, snapshot_no, change, count(*) AS n FROM x WHERE change IS NOT NULL GROUP BY ALL",
 }
