@@ -518,7 +518,7 @@ postfix <- primary suffix*
 suffix <- '[' expr? ']' / '{' expr '}' / ('->' / '?->') (WORD / VAR / '{' expr '}') / '::' (WORD / VAR / '{' expr '}') / args / '++' / '--'
 args <- '(' (arg (',' arg)* ','?)? ')'
 arg <- '...' (expr / &')') / WORD ':' !':' expr / '&'? expr
-primary <- closure / VAR / NUM / STR+ / 'array' array_args / 'list' array_args / '[' (elem? (',' elem?)*) ']' / ('isset' / 'empty' / 'exit' / 'die' / 'eval') args? / 'match' '(' expr ')' '{' (match (',' match)* ','?)? '}' / '(' expr ')' / 'static' / qname
+primary <- closure / VAR / NUM / STR+ / 'array' array_args / 'list' array_args / '[' (elem? (',' elem?)*) ']' / ('isset' / 'empty' / 'exit' / 'die' / 'eval') args? / 'match' '(' expr ')' '{' (match (',' match)* ','?)? '}' / '(' expr ')' / 'static' / !STOP qname
 array_args <- '(' (elem? (',' elem?)*) ')'
 elem <- '...' expr / '&'? expr ('=>' '&'? expr)?
 match <- ('default' / exprs) ','? '=>' expr
@@ -533,6 +533,7 @@ _PHP_SETS = {
     "CAST": "(cast)",
     "ATTR": "#[",
     "END_OF_CODE": "CLOSE",
+    "STOP": "endif endwhile endfor endforeach endswitch else elseif case default catch finally as if while for foreach switch do try return break continue echo function class interface trait use const global unset instanceof",
     "SIMPLE": "NAME VAR NUM STR",
     "FOLLOW": "; , ) ] } CLOSE =>",
 }

@@ -94,7 +94,8 @@ def mix_rates(sizes: DataFrame, targets: DataFrame, total: float | None = None)
     rows = rows.withColumn("target_share", F.try_divide("weight", F.sum("weight").over(plan))).withColumn("reachable_share", F.coalesce(F.try_divide(usable, F.sum(usable).over(plan)), F.lit(0.0)))
     limit = F.min(F.when(F.col("reachable_share") > 0, F.col("stock_tokens") * F.col("max_repeats") / F.col("reachable_share"))).over(plan)
     rows = rows.withColumn("_total", F.lit(total) if total is not None else limit)
-    copies = F.coalesce(F.least(F.try_divide(F.col("_total") * F.col("reachable_share"), F.col("stock_tokens")), F.col("max_repeats").cast("double")), F.lit(0.0))
+    wanted = F.try_divide(F.col("_total") * F.col("reachable_share"), F.col("stock_tokens"))
+    copies = F.when(F.col("reachable_share") > 0, F.least(wanted, F.col("max_repeats").cast("double"))).otherwise(0.0)
     return rows.withColumn("copies", copies).drop("_total")
 
 

@@ -31,7 +31,7 @@ class Kinds:
 
 
 def _parse_rule(source: str) -> tuple:
-    tokens = [(m.lastindex, m[0] if m.lastindex != 1 else m[1].replace("\\'", "'")) for m in _TOKEN.finditer(source) if m.lastindex]
+    tokens = [(m.lastindex, m[0] if m.lastindex != 1 else re.sub(r"\\(.)", r"\1", m[1])) for m in _TOKEN.finditer(source) if m.lastindex]
     at = 0
 
     def peek() -> tuple:
