@@ -29,7 +29,7 @@ LEAST_DOCUMENTS = 4
 #: Width of the hashed features.
 WIDTH = 1 << 17
 #: Document probability from which a document counts.
-THRESHOLD = 0.5
+THRESHOLD = 0.3
 
 # Stems of insults, threats, slurs of groups and sexual words, by language, as weak prior knowledge.
 _INSULTS = {
@@ -50,19 +50,33 @@ _CODE = re.compile(r"[\w.]+\([^)\s]*\)|\b[\w-]+(?:/[\w.-]+)+|\b\w+\.\w{1,5}\b|\b
 _WIDE = re.compile(r"[぀-ヿ㐀-鿿가-힯؀-ۿ]")
 _LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"})
 _HIDDEN = re.compile(r"[​-‏⁠﻿­]")
-_SPACED = re.compile(r"\b(?:[^\W\d_][ .\-_*]){3,}[^\W\d_]\b")
+_SPACED = re.compile(r"\b(?:[^\W\d_][ .\-_*]){3,}[^\W\d_]{1,5}\b")
+_LEETED = re.compile(r"(?<![\w/.])(?=[\w@$]*[a-z])[a-z013457@$]{4,}(?![\w/.(])")
+#: Words of an instance; longer sentences (often several without marks between them) are cut into windows that overlap by half.
+WINDOW = 14
 
 
 def normal(text: str) -> str:
     """Case, width, hidden characters, spelled-out words and long runs of a letter made alike."""
     text = _HIDDEN.sub("", unicodedata.normalize("NFKC", text)).lower()
     text = _SPACED.sub(lambda m: re.sub(r"[ .\-_*]", "", m[0]), text)
+    text = _LEETED.sub(lambda m: m[0].translate(_LEET) if any(c in "013457@$" for c in m[0]) else m[0], text)
     return re.sub(r"(\w)\1{2,}", r"\1", text)
 
 
 def sentences(text: str) -> list[str]:
-    """Pieces that end at a sentence mark or line end; marks of quoting and list stay off; blank ones are left out."""
-    return [s for s in (p.strip(" \t>*-#|") for p in _SPLIT.split(text)) if s]
+    """Pieces that end at a sentence mark or line end, long ones in windows; marks of quoting and list stay off; blank ones are left out."""
+    out = []
+    for piece in _SPLIT.split(text):
+        piece = piece.strip(" \t>*-#|")
+        if not piece:
+            continue
+        words = piece.split()
+        if len(words) <= WINDOW + WINDOW // 2:
+            out.append(piece)
+        else:
+            out += [" ".join(words[i : i + WINDOW]) for i in range(0, len(words) - WINDOW // 2, WINDOW // 2)]
+    return out
 
 
 def _lexicon() -> list[tuple[str, ...]]:
@@ -88,8 +102,11 @@ def sentence_features(sentence: str) -> np.ndarray:
             grams += [f"p{w[:4]}", f"x{w[:5]}", f"e{w[-4:]}"]
         if _WIDE.search(w):
             grams += [f"c{w[i : i + 2]}" for i in range(len(w) - 1)] + [f"d{w[i : i + 3]}" for i in range(len(w) - 2)]
+    # a letter behind a star may be any
+    hidden = [re.compile(re.escape(w).replace(r"\*", ".") + "$") for w in re.findall(r"\b\w+\*+\w*|\b\w\*+\w+", plain) if len(w) > 3]
+    grams += [f"m{w[0]}{len(w)}{w[-1]}" for w in re.findall(r"\b\w+\*+\w+", plain)]
     for i, stems in enumerate(_LEXICON):
-        hits = [s for s in stems if any(w.startswith(s) if len(s) > 3 else w == s for w in words)] + ([s for s in stems if s in text] if _WIDE.search(text) else [])
+        hits = [s for s in stems if any(w.startswith(s) if len(s) > 3 else w == s for w in words)] + [s for s in stems if any(p.match(s) for p in hidden)] + ([s for s in stems if s in text] if _WIDE.search(text) else [])
         if hits:
             grams.append(f"L{i}")
             if any(w in _SECOND for w in words):
@@ -162,7 +179,7 @@ def _fit_bags(columns: np.ndarray, owner: np.ndarray, scale: np.ndarray, bag: np
         gb = slope.sum()
         m[used] = 0.9 * m[used] + 0.1 * g[used]
         v[used] = 0.999 * v[used] + 0.001 * g[used] ** 2
-        rate = 0.15
+        rate = 0.3
         weights[used] -= rate * (m[used] / (1 - 0.9**t)) / (np.sqrt(v[used] / (1 - 0.999**t)) + 1e-7)
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         bias -= 0.05 * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.999**t)) + 1e-7)
@@ -170,7 +187,7 @@ def _fit_bags(columns: np.ndarray, owner: np.ndarray, scale: np.ndarray, bag: np
     return Model(weights.astype(np.float32), float(bias))
 
 
-def fit(texts: pd.DataFrame, votes: pd.DataFrame, background: pd.DataFrame | None = None, rounds: int = 3, steps: int = 90, decay: float = 0.05) -> Model:
+def fit(texts: pd.DataFrame, votes: pd.DataFrame, background: pd.DataFrame | None = None, rounds: int = 3, steps: int = 120, decay: float = 0.03) -> Model:
     """texts and background: doc_id, text; votes: doc_id, annotator, y (0 or 1). Without votes the lexicon's prior is all that is known.
 
     The first round trusts votes and takes background documents for ordinary; later rounds weigh the votes by each
@@ -211,7 +228,7 @@ def fit(texts: pd.DataFrame, votes: pd.DataFrame, background: pd.DataFrame | Non
         target[:labelled] = [weighed.get(d, q) for d, q in prior.items()] if labelled else []
         seen = whole[labelled:]
         target[labelled:] = np.where(seen > 0.35, 0.95, 0.02)
-        importance[labelled:] = np.where((seen > 0.2) & (seen < 0.35), 0.0, min(1.0, (n + 1) * labelled / others))
+        importance[labelled:] = np.where((seen > 0.2) & (seen < 0.35), 0.0, min(1.0, 3.0 * (n + 1) * labelled / others))
     return model
 
 
