@@ -29,7 +29,7 @@ LEAST_DOCUMENTS = 4
 #: Width of the hashed features.
 WIDTH = 1 << 17
 #: Document probability from which a document counts.
-THRESHOLD = 0.3
+THRESHOLD = 0.5
 
 # Stems of insults, threats, slurs of groups and sexual words, by language, as weak prior knowledge.
 _INSULTS = {
