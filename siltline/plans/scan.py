@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
@@ -18,6 +19,9 @@ from siltline.sources import history, manifests
 from siltline.sources.tree import Limits, read_tree
 
 
+log = logging.getLogger("siltline")
+
+
 @dataclass
 class Config:
     """What to run. Focus flags restrict the scanners, ``disabled`` takes single ones out."""
@@ -118,8 +122,20 @@ def register(scanner: str, detector: Detector) -> None:
         detect.SCANNERS = (*detect.SCANNERS, scanner)
 
 
-def findings_of(files: DataFrame, config: Config = Config(), registry: dict[str, Detector] | None = None) -> tuple[DataFrame, list[dict]]:
-    """All findings of described files, classified; and how each scanner fared while its plan was built."""
+def _advisory_findings(files: DataFrame, advisories: DataFrame) -> DataFrame:
+    """A finding for each dependency with an advisory of its very version; the advisory's id is the rule."""
+    hits = manifests.vulnerable(manifests.dependencies(files), advisories)
+    rule = detect.R.Rule("DEP-001", "dependencies", "Dependencies", "HIGH", 95, "affected release", cwe=("CWE-1395",))
+    evidence = F.concat_ws(" ", "name", "version", F.concat(F.lit("fixed in "), F.col("fixed_version")))
+    columns = [c for c in detect._finding(rule, evidence) if c._jc.toString().rsplit(" AS ", 1)[-1] not in ("rule_id", "severity")]
+    return hits.select("rel_path", F.col("advisory_id").alias("rule_id"), "severity", *columns)
+
+
+def findings_of(files: DataFrame, config: Config = Config(), registry: dict[str, Detector] | None = None, advisories: DataFrame | None = None, threats: DataFrame | None = None) -> tuple[DataFrame, list[dict]]:
+    """All findings of described files, classified; and how each scanner fared while its plan was built.
+
+    advisories: ecosystem, name, version, advisory_id, summary, aliases, scores, fixed. threats: sha256, name.
+    """
     lines = detect.to_lines(files)
     parts, runs = [], []
     for scanner, detector in (registry or REGISTRY).items():
@@ -131,24 +147,32 @@ def findings_of(files: DataFrame, config: Config = Config(), registry: dict[str,
             runs.append({"scanner": scanner, "status": "completed"})
         except Exception as error:  # one scanner must not take the others with it
             runs.append({"scanner": scanner, "status": "error", "message": str(error)[:200]})
+    for scanner, wanted, make in (("dependencies", advisories, lambda: _advisory_findings(files, advisories)), ("malware", threats, lambda: detect.known_hashes(files, threats))):
+        if wanted is not None and config.enabled(scanner):
+            parts.append(detect.complete(make()))
+    if advisories is None:
+        runs.append({"scanner": "advisories", "status": "skipped", "message": "no table of advisories"})
     for scanner, reason in (("yara", "no rules"), ("sandbox", "nothing is executed")):
         runs.append({"scanner": scanner, "status": "unavailable", "message": reason})
     if not parts:
         empty = detect.complete(detect.disguised_files(files)).limit(0)
         parts = [empty]
+    for run in runs:
+        log.info("%s: %s", run["scanner"], run["status"])
     found = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).withColumnRenamed("rel_path", "file")
     return O.classify(found), runs
 
 
-def scan(spark: SparkSession, root: str, config: Config = Config(), baseline: DataFrame | None = None) -> Result:
+def scan(spark: SparkSession, root: str, config: Config = Config(), baseline: DataFrame | None = None, advisories: DataFrame | None = None, threats: DataFrame | None = None) -> Result:
+    """Reads the tree once, runs the enabled scanners, takes what the baseline knows out of the active findings."""
     began = time.time()
     files = cut(read_tree(spark, root, config.ignore, config.limits))
-    found, runs = findings_of(files, config)
+    found, runs = findings_of(files, config, advisories=advisories, threats=threats)
     if config.enabled("git") and (config.deep or config.full or config.secrets):
-        log = history.git_log(root)
-        runs.append({"scanner": "git", "status": "completed" if log else "skipped"})
-        if log:
-            past = history.history_secrets(history.added_lines(history.log_frame(spark, log)))
+        text = history.git_log(root)
+        runs.append({"scanner": "git", "status": "completed" if text else "skipped"})
+        if text:
+            past = history.history_secrets(history.added_lines(history.log_frame(spark, text)))
             past = past.select(
                 F.col("file"), "rule_id", F.lit("git").alias("scanner"), "category", "severity", "confidence", F.lit("needs_review").alias("classification"), F.concat(F.lit("secret in commit "), F.coalesce("commit", F.lit("?"))).alias("title"), "line",
                 F.col("value").alias("evidence"), (F.lit(8_000_000_000) + F.col("line")).cast("bigint").alias("seq"),

@@ -150,3 +150,22 @@ def test_stream_equals_batch(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {("a.py", "SEC-002", 1), ("a.py", "SEC-001", 2)}
+
+
+def test_advisories_threats_and_history(spark, tmp_path):
+    import hashlib
+    import subprocess
+
+    root = write(tmp_path, {"requirements.txt": "lib==1.2\nother==3.0\n", "bad.bin": b"payload"})
+    for command in (["init", "-q"], ["add", "-A"], ["-c", "user.name=a", "-c", "user.email=a@b", "commit", "-qm", "x"]):
+        subprocess.run(["git", "-C", root, *command], check=True)
+    (tmp_path / "k.py").write_text(f"k = '{KEY}'\n")
+    for command in (["add", "-A"], ["-c", "user.name=a", "-c", "user.email=a@b", "commit", "-qm", "y"], ["rm", "-q", "k.py"], ["-c", "user.name=a", "-c", "user.email=a@b", "commit", "-qm", "z"]):
+        subprocess.run(["git", "-C", root, *command], check=True)
+    advisories = spark.createDataFrame([("PyPI", "LIB", "1.2", "GHSA-1", "s", ["CVE-1"], ["9.8"], [["1.3"]])], "ecosystem string, name string, version string, advisory_id string, summary string, aliases array<string>, scores array<string>, fixed array<array<string>>")
+    threats = spark.createDataFrame([(hashlib.sha256(b"payload").hexdigest().upper(), "made up")], "sha256 string, name string")
+    result = scan(spark, root, Config(deep=True), advisories=advisories, threats=threats)
+    rows = {(r["rule_id"], r["severity"], r["category"], r["classification"]) for r in result.findings.collect()}
+    assert ("GHSA-1", "CRITICAL", "Dependencies", "needs_review") in rows
+    assert ("MAL-006", "CRITICAL", "Malware", "confirmed_malware") in rows
+    assert ("SECRET-001", "HIGH", "Git History", "needs_review") in rows
