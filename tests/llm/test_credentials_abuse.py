@@ -23,7 +23,7 @@ BLOCK = "-----BEGIN RSA PRIVATE" + " KEY-----\n" + "\n".join(word(64) for _ in r
 
 FOUND = [
     (f'token = "{TOKEN}"', 1), (f"x\nexport DB_PASSWORD='{PASSWORD}'\n", 2), (f"db.url=postgres://u:{PASSWORD.replace('!', '')}@h.invalid/x", 1), (f"a: 1\npassword: {PASSWORD}\n", 2), (f'h = {{"Authorization": "Bearer {word(40)}"}}', 1),
-    (f'c = "Server=a;User Id=b;Password={PASSWORD};X=1"', 1), (f"k = '''{BLOCK}'''", 1), (f'<entry key="api_key">{word(32)}</entry>', 1), (f'SECRET_KEY = "{TOKEN[:20]}" + "{TOKEN[20:]}"', 1), (f"# was SMTP_PASSWORD={PASSWORD}", 1), (f"ENV API_KEY={word(32)}", 1), (f"ARG DB_PASS {PASSWORD}", 1), (f'if headers.get("X-api_key") == "{word(30)}":', 1), (f"curl -s -H 'X-client_secret: {PASSWORD}' https://a.invalid/run", 1), (f"run --user svc --secret-access-key='{word(40)}'", 1), (f"ENV DB_PWD2={PASSWORD}", 1),
+    (f'c = "Server=a;User Id=b;Password={PASSWORD};X=1"', 1), (f"k = '''{BLOCK}'''", 1), (f'<entry key="api_key">{word(32)}</entry>', 1), (f'SECRET_KEY = "{TOKEN[:20]}" + "{TOKEN[20:]}"', 1), (f"# was SMTP_PASSWORD={PASSWORD}", 1), (f"ENV API_KEY={word(32)}", 1), (f"ARG DB_PASS {PASSWORD}", 1), (f'if headers.get("X-api_key") == "{word(30)}":', 1), (f"curl -s -H 'X-client_secret: {PASSWORD}' https://a.invalid/run", 1), (f"run --user svc --secret-access-key='{word(40)}'", 1), (f"ENV DB_PWD2={PASSWORD}", 1), (f"API_KEY -> {word(30)}", 1), ("admin.pass=Stone=9" + "942-", 1), (f"# old one: a.pass={PASSWORD}", 1),
 ]
 CLEAN = [
     'password = "changeme"', "password = os.environ['DB_PASSWORD']", 'api_key = "${API_KEY}"', 'secret: "{{ vault.secret }}"', "commit = 'a97059900f0ee7bd3b1632a97d6e0c7a572e3aec'", "etag: c80cbcac65817dac5919a9d7b47dde7a", 'password_hint = "ask the duty desk 12"',
