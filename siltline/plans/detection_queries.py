@@ -278,6 +278,20 @@ _SECRET_FILE = "(regexp_matches(base, '(?i)^\\.env(?:\\.(?:local|production|prod
 _MODE = "'mode ' || CASE WHEN mode & 511 = 0 THEN '0' ELSE ltrim(CAST((mode & 511) >> 6 AS VARCHAR) || CAST(((mode & 511) >> 3) & 7 AS VARCHAR) || CAST(mode & 7 AS VARCHAR), '0') END AS evidence"
 _RELBASE = "regexp_extract(replace(rel_path, '\\', '/'), '[^/]*$') AS base"
 
+
+
+def hidden_contacts(column: str) -> str:
+    """RE2 has no lookahead, so the addresses that stay are put aside first and back afterwards."""
+    out = f"regexp_replace({column}, {q(EMAIL)}, '[REDACTED_EMAIL]', 'g')"
+    kept = ("127.0.0.1", "0.0.0.0", "255.255.255.255")
+    for i, address in enumerate(kept, 1):
+        out = f"regexp_replace({out}, {q(chr(92) + 'b' + address.replace('.', chr(92) + '.'))}, chr({i}), 'g')"
+    out = f"regexp_replace({out}, {q(r'\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b')}, '[REDACTED_IP]', 'g')"
+    for i, address in enumerate(kept, 1):
+        out = f"replace({out}, chr({i}), '{address}')"
+    return out
+
+
 _SCRIPT_ROWS = ", ".join(f"({i}, {q(x[1][0])}, {q(x[1][1])}, {', '.join(map(str, x[1][2:]))})" for i, x in enumerate(_SCRIPTS) if x[1])
 
 ORACLES = {
@@ -309,7 +323,7 @@ ORACLES = {
     "project_types": f"WITH b AS (SELECT repo, {_RELBASE} FROM {_DISTINCT_FILES}), t AS (SELECT repo, unnest(list_filter([{_TYPE_CASES}], lambda x: x IS NOT NULL)) AS type FROM b), g AS (SELECT repo, string_agg(DISTINCT type, ',' ORDER BY type) AS types FROM t GROUP BY repo) SELECT r.repo, coalesce(types, 'generic') AS types FROM (SELECT DISTINCT repo FROM b) r LEFT JOIN g ON r.repo = g.repo",
     "language_histogram": f"SELECT repo, language, count(*) AS n FROM {_DISTINCT_FILES} WHERE language IS NOT NULL GROUP BY ALL",
     "file_metrics": f"SELECT repo, count(*) AS files, count_if(starts_with(base, '.')) AS hidden, count_if(is_archive) AS archives, count_if(is_binary) AS binaries, count_if(is_executable) AS programs, count_if(is_disguised) AS disguised, count_if(base IN ({_MANIFEST_NAMES}) OR regexp_matches(base, '\\.(?:csproj|sln)$')) AS manifests, bool_or(starts_with(replace(rel_path, '\\', '/'), '.git')) AS has_git, CAST(sum(coalesce(size, 0)) AS BIGINT) AS bytes FROM (SELECT *, {_RELBASE} FROM {_DISTINCT_FILES}) GROUP BY repo",
-    "redact_contacts": f"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, {q(EMAIL)}, '[REDACTED_EMAIL]', 'g'), '\\b127\\.0\\.0\\.1', chr(1), 'g'), '\\b0\\.0\\.0\\.0', chr(2), 'g'), '\\b255\\.255\\.255\\.255', chr(3), 'g'), '\\b\\d{{1,3}}\\.\\d{{1,3}}\\.\\d{{1,3}}\\.\\d{{1,3}}\\b', '[REDACTED_IP]', 'g'), chr(1), '127.0.0.1', 'g'), chr(2), '0.0.0.0', 'g') AS text FROM documents".replace(" AS text FROM documents", " AS text FROM documents"),
+    "redact_contacts": f"SELECT doc_id, {hidden_contacts('text')} AS text FROM documents",
     "text_entropy": f"SELECT doc_id, CASE WHEN text = '' THEN 0.0 WHEN text IS NOT NULL THEN round({_ENTROPY.format(v='text')}, 6) END AS bits FROM documents",
     "mask_secret": "WITH t AS (SELECT doc_id, text, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS s FROM documents), e AS (SELECT *, length(s) AS n, least(4, length(s) // 4) AS k FROM t) SELECT doc_id, CASE WHEN coalesce(length(text), 0) = 0 THEN '[REDACTED]' WHEN n <= 8 THEN '***REDACTED***' ELSE s[1:k] || repeat('*', greatest(4, n - 2 * k)) || right(s, k) END AS masked FROM e",
     "risk_grade_by_source": _line_sql(R.LINE_RULES)

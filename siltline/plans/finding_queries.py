@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siltline.functions.text import escape_html, hide_contacts, mask_secret
 from siltline.operators import findings as O
+from siltline.plans.detection_queries import hidden_contacts
 from siltline.session import table
 
 
@@ -110,6 +111,7 @@ ORACLES = {
     "json_projection": f"SELECT finding_id, file, lower(severity) AS severity, confidence, rule_id AS rule, title, CASE WHEN len(evidence_chain) > 0 THEN array_to_string(list_filter(evidence_chain, lambda x: x IS NOT NULL), '|') WHEN evidence IS NOT NULL THEN evidence ELSE '' END AS evidence, concat_ws('|', scanner, detection_method) AS detectors, coalesce(remediation, 'look at it in its context') AS recommendation FROM {_F}",
     "sarif_projection": f"SELECT finding_id AS seq, rule_id AS \"ruleId\", CASE WHEN severity IN ('CRITICAL', 'HIGH') THEN 'error' WHEN severity = 'MEDIUM' THEN 'warning' ELSE 'note' END AS level, title AS message, replace(file, '\\', '/') AS uri, CASE WHEN coalesce(line, 0) = 0 THEN 1 ELSE line END AS \"startLine\", CASE WHEN coalesce(col, 0) = 0 THEN 1 ELSE col END AS \"startColumn\", 'x = 1' AS snippet FROM {_F}",
     "evidence_masked": f"WITH t AS (SELECT finding_id, title, evidence, regexp_replace(evidence, '^\\s+|\\s+$', '', 'g') AS s FROM {_F}), e AS (SELECT *, length(s) AS n, least(4, length(s) // 4) AS k FROM t) SELECT finding_id, CASE WHEN coalesce(length(evidence), 0) = 0 THEN '[REDACTED]' WHEN n <= 8 THEN '***REDACTED***' ELSE s[1:k] || repeat('*', greatest(4, n - 2 * k)) || right(s, k) END AS masked, replace(replace(replace(replace(replace(title, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS html_title FROM e",
+    "evidence_for_model": f"SELECT finding_id, {hidden_contacts('evidence')} AS evidence FROM {_F}",
     "adjusted_confidence": f"WITH a AS (SELECT finding_id, title, file, {_TAINT} AS taint, CASE WHEN coalesce(contains(title, 'order'), false) THEN least({_SURE}, 20) ELSE {_SURE} END AS c FROM {_F}), b AS (SELECT *, CASE WHEN coalesce(starts_with(file, 'tests/'), false) THEN CAST(floor(c * CAST(0.7 AS DOUBLE) + 0.5) AS INTEGER) ELSE c END AS c2 FROM a), t AS (SELECT *, CASE WHEN taint THEN least(100, c2 + 15) ELSE c2 END AS c3 FROM b) SELECT finding_id, CAST(greatest(0, least(100, CASE WHEN length(title) / 8.0 > 4.5 THEN least(100, c3 + 10) WHEN length(title) / 8.0 < 3.0 THEN greatest(20, c3 - 20) ELSE c3 END)) AS INTEGER) AS confidence FROM t",
     "scanner_union": f"SELECT scanner, category, count(*) AS n, count(DISTINCT file) AS files FROM {_F} GROUP BY ALL",
 }
