@@ -58,7 +58,7 @@ WINDOW = 14
 
 def normal(text: str) -> str:
     """Case, width, hidden characters, spelled-out words and long runs of a letter made alike."""
-    text = _HIDDEN.sub("", unicodedata.normalize("NFKC", text)).lower()
+    text = text.lower() if text.isascii() else _HIDDEN.sub("", unicodedata.normalize("NFKC", text)).lower()
     text = _SPACED.sub(lambda m: re.sub(r"[ .\-_*]", "", m[0]), text)
     text = _LEETED.sub(lambda m: m[0].translate(_LEET) if any(c in "013457@$" for c in m[0]) else m[0], text)
     return re.sub(r"(\w)\1{2,}", r"\1", text)
@@ -83,7 +83,8 @@ def _lexicon() -> list[tuple[str, ...]]:
     return [tuple(" ".join(_INSULTS.values()).split()), tuple(_THREATS.split()), tuple(_SEXUAL.split())]
 
 
-_LEXICON = _lexicon()
+_STEMS = {stem: i for i, stems in enumerate(_lexicon()) for stem in stems}
+_LONGEST = max(map(len, _STEMS))
 _SECOND = frozenset("you your you're u ur dich du dir dein deine euch tu toi te ton ta vous votre tú te usted tus eres você vocês seu sua te ti お前 あなた أنت".split())
 _GROUPS = frozenset("women men immigrants foreigners muslims jews christians believers blacks gays lesbians religion accent people them they gypsies asians whites disabled frauen ausländer immigrés étrangers femmes inmigrantes mujeres extranjeros mulheres estrangeiros".split())
 
@@ -100,25 +101,29 @@ def sentence_features(sentence: str) -> np.ndarray:
     for w in words:
         if len(w) > 4:
             grams += [f"p{w[:4]}", f"x{w[:5]}", f"e{w[-4:]}"]
-        if _WIDE.search(w):
+        if not w.isascii() and _WIDE.search(w):
             grams += [f"c{w[i : i + 2]}" for i in range(len(w) - 1)] + [f"d{w[i : i + 3]}" for i in range(len(w) - 2)]
-    # a letter behind a star may be any
-    hidden = [re.compile(re.escape(w).replace(r"\*", ".") + "$") for w in re.findall(r"\b\w+\*+\w*|\b\w\*+\w+", plain) if len(w) > 3]
-    grams += [f"m{w[0]}{len(w)}{w[-1]}" for w in re.findall(r"\b\w+\*+\w+", plain)]
-    for i, stems in enumerate(_LEXICON):
-        hits = [s for s in stems if any(w.startswith(s) if len(s) > 3 else w == s for w in words)] + [s for s in stems if any(p.match(s) for p in hidden)] + ([s for s in stems if s in text] if _WIDE.search(text) else [])
-        if hits:
-            grams.append(f"L{i}")
-            if any(w in _SECOND for w in words):
-                grams.append(f"Y{i}")
-            if any(w in _GROUPS for w in words):
-                grams.append(f"G{i}")
-    if any(w in _SECOND for w in words):
+    kinds = {_STEMS[w[:k]] for w in words for k in range(min(len(w), _LONGEST), 0, -1) if w[:k] in _STEMS and (k > 3 or k == len(w))}
+    if "*" in plain:  # a letter behind a star may be any
+        masked = re.findall(r"\b\w+\*+\w*|\b\w\*+\w+", plain)
+        hidden = [re.compile(re.escape(w).replace(r"\*", ".") + "$") for w in masked if len(w) > 3]
+        kinds |= {i for s, i in _STEMS.items() if any(p.match(s) for p in hidden)}
+        grams += [f"m{w[0]}{len(w)}{w[-1]}" for w in masked if not w.endswith("*")]
+        if any(not w.endswith("*") for w in masked):
+            grams.append("masked")
+    if not text.isascii() and _WIDE.search(text):
+        kinds |= {i for s, i in _STEMS.items() if not s.isascii() and s in text}
+    second, groups = any(w in _SECOND for w in words), any(w in _GROUPS for w in words)
+    for i in kinds:
+        grams.append(f"L{i}")
+        if second:
+            grams.append(f"Y{i}")
+        if groups:
+            grams.append(f"G{i}")
+    if second:
         grams.append("Y")
-    if any(w in _GROUPS for w in words):
+    if groups:
         grams.append("G")
-    if "*" in text and re.search(r"\w\*+\w", text):
-        grams.append("masked")
     hashed = {xxhash.xxh32_intdigest(g) % (WIDTH - 1) + 1 for g in grams}
     return np.fromiter(hashed, np.int32, len(hashed))
 
