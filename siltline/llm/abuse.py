@@ -29,7 +29,7 @@ LEAST_DOCUMENTS = 4
 #: Width of the hashed features.
 WIDTH = 1 << 17
 #: Document probability from which a document counts.
-THRESHOLD = 0.5
+THRESHOLD = 0.4
 
 # Stems of insults, threats, slurs of groups and sexual words, by language, as weak prior knowledge.
 _INSULTS = {
@@ -220,7 +220,7 @@ def fit(texts: pd.DataFrame, votes: pd.DataFrame, background: pd.DataFrame | Non
     target = np.full(len(ids), BASE_RATE)
     target[:labelled] = [0.05 + 0.85 * float(mean[d]) for d in ids[:labelled]]
     others = max(1, len(ids) - labelled)
-    importance = np.where(np.arange(len(ids)) < labelled, 1.0, min(1.0, 0.5 * labelled / others))
+    importance = np.where(np.arange(len(ids)) < labelled, 1.0, min(1.0, 1.5 * labelled / others))
     known = votes[votes["doc_id"].isin(set(ids[:labelled]))]
     scale = 1 / np.sqrt(lengths)
     for n in range(rounds):
@@ -232,8 +232,8 @@ def fit(texts: pd.DataFrame, votes: pd.DataFrame, background: pd.DataFrame | Non
         weighed = _annotator_targets(known, prior) if len(known) else {}
         target[:labelled] = [weighed.get(d, q) for d, q in prior.items()] if labelled else []
         seen = whole[labelled:]
-        target[labelled:] = np.where(seen > 0.35, 0.95, 0.02)
-        importance[labelled:] = np.where((seen > 0.2) & (seen < 0.35), 0.0, min(1.0, 3.0 * (n + 1) * labelled / others))
+        target[labelled:] = np.where(seen > 0.6, 0.95, 0.02)
+        importance[labelled:] = np.where((seen > 0.25) & (seen < 0.6), 0.0, min(1.0, 3.0 * (n + 1) * labelled / others))
     return model
 
 
