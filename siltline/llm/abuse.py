@@ -26,10 +26,12 @@ BACKGROUND_DOCUMENTS = 6_000
 BASE_RATE = 0.05
 #: Features of fewer documents of the sample are left out.
 LEAST_DOCUMENTS = 4
+#: A sentence's weights are divided by the root of its number of features, but never of fewer than these.
+LEAST_FEATURES = 16.0
 #: Width of the hashed features.
 WIDTH = 1 << 17
 #: Document probability from which a document counts.
-THRESHOLD = 0.4
+THRESHOLD = 0.45
 
 # Stems of insults, threats, slurs of groups and sexual words, by language, as weak prior knowledge.
 _INSULTS = {
@@ -138,7 +140,7 @@ class Model:
     bias: float
 
     def sentence(self, columns: np.ndarray) -> float:
-        z = self.bias + float(self.weights[columns].sum()) / max(1.0, len(columns)) ** 0.5
+        z = self.bias + float(self.weights[columns].sum()) / max(LEAST_FEATURES, len(columns)) ** 0.5
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
@@ -220,9 +222,9 @@ def fit(texts: pd.DataFrame, votes: pd.DataFrame, background: pd.DataFrame | Non
     target = np.full(len(ids), BASE_RATE)
     target[:labelled] = [0.05 + 0.85 * float(mean[d]) for d in ids[:labelled]]
     others = max(1, len(ids) - labelled)
-    importance = np.where(np.arange(len(ids)) < labelled, 1.0, min(1.0, 1.5 * labelled / others))
+    importance = np.where(np.arange(len(ids)) < labelled, 1.0, min(1.0, 1.0 * labelled / others))
     known = votes[votes["doc_id"].isin(set(ids[:labelled]))]
-    scale = 1 / np.sqrt(lengths)
+    scale = 1 / np.sqrt(np.maximum(LEAST_FEATURES, lengths))
     for n in range(rounds):
         model = _fit_bags(columns, owner, scale, bag, target, importance, steps, decay)
         z = model.bias + scale * np.bincount(owner, weights=model.weights[columns], minlength=len(flat))
