@@ -35,6 +35,10 @@ def encoding(path: str):
     return tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+#: The library's pattern backtracks over white space; longer runs are merged as the one token piece that they are.
+_BLANKS = regex.compile(r"\p{White_Space}{200,}")
+
+
 def pieces(text: str, length: int = PIECE_CHARS) -> Iterator[str]:
     """The text cut at safe boundaries, the first after each ``length`` characters; no cut changes the ids."""
     start = 0
@@ -47,12 +51,27 @@ def pieces(text: str, length: int = PIECE_CHARS) -> Iterator[str]:
     yield text[start:]
 
 
+def _encode_plain(text: str, path: str) -> list[int]:
+    encode = encoding(path).encode_ordinary
+    return encode(text) if len(text) <= PIECE_CHARS else [i for piece in pieces(text) for i in encode(piece)]
+
+
 def encode_text(text: str | None, path: str) -> list[int]:
-    """Ids without special tokens; none for a null or empty text."""
+    """Ids without special tokens; none for a null or empty text.
+
+    A run of white space is one piece for the merges, but for its last character if something follows: that one
+    starts anew. So long runs can be taken out of the text without changing any id.
+    """
     if not text:
         return []
-    encode = encoding(path).encode_ordinary
-    return encode(text) if len(text) <= PIECE_CHARS else [i for piece in pieces(text) for i in encode(piece)]
+    out: list[int] = []
+    at = 0
+    for run in _BLANKS.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        out += _encode_plain(text[at : run.start()], path) if run.start() > at else []
+        out += encoding(path)._encode_single_piece(text[run.start() : end].encode())
+        at = end
+    return out + _encode_plain(text[at:], path) if at else _encode_plain(text, path)
 
 
 def decode_ids(ids: list[int] | None, path: str) -> str | None:

@@ -78,6 +78,16 @@ def test_pieces_do_not_change_ids(text):
     assert tokens.decode_ids(whole, PATH) == text
 
 
+@needs_ranks
+def test_long_runs():
+    plain = tokens.encoding(PATH).encode_ordinary
+    for run in (" " * 300, "\n" * 300, " \n\t" * 100, "\u00a0 " * 150):
+        for before, after in (("", ""), ("a", ""), ("", "b"), ("x.", "1"), ("é\n", "."), ("a", "'s"), ("\x1c", "\x1cz")):
+            assert tokens.encode_text(before + run + after, PATH) == plain(before + run + after), (before, run[:3], after)
+    for text in (" " * 300_000, "\n \t" * 100_000 + "x", "a" * 300_000, "漢" * 60_000, "!" * 300_000, "ab12" * 50_000):
+        assert tokens.decode_ids(tokens.encode_text(text, PATH), PATH) == text
+
+
 @needs_ranks
 def test_encoding_table(spark):
     long = ("word's 12ab, " * 60_000) + "x" * 30_000
