@@ -56,6 +56,8 @@ _SPACED = re.compile(r"\b(?:[^\W\d_][ .\-_*]){3,}[^\W\d_]{1,5}\b")
 _LEETED = re.compile(r"(?<![\w/.])(?=[\w@$]*[a-z])[a-z013457@$]{4,}(?![\w/.(])")
 #: Words of an instance; longer sentences (often several without marks between them) are cut into windows that overlap by half.
 WINDOW = 14
+#: Characters of a word; longer runs are instances of their own, in windows of that length that overlap by half.
+LONG_WORD = 100
 
 
 def normal(text: str) -> str:
@@ -74,6 +76,12 @@ def sentences(text: str) -> list[str]:
         if not piece:
             continue
         words = piece.split()
+        if len(piece) > LONG_WORD and max(map(len, words), default=0) > LONG_WORD:  # writing without blanks, or a long run
+            out += [w[i : i + LONG_WORD] for w in words if len(w) > LONG_WORD for i in range(0, len(w) - LONG_WORD // 2, LONG_WORD // 2)]
+            words = [w for w in words if len(w) <= LONG_WORD]
+            piece = " ".join(words)
+            if not piece:
+                continue
         if len(words) <= WINDOW + WINDOW // 2:
             out.append(piece)
         else:
