@@ -176,24 +176,27 @@ def _annotator_targets(votes: pd.DataFrame, prior: dict[int, float]) -> dict[int
 def _fit_bags(columns: np.ndarray, owner: np.ndarray, scale: np.ndarray, bag: np.ndarray, target: np.ndarray, importance: np.ndarray, steps: int, decay: float) -> Model:
     """columns with their sentence, sentences with their bag, bags with their target: noisy-or cross-entropy by Adam."""
     n = len(bag)
-    entry = scale[owner].astype(np.float32)
+    sentence, begin = np.unique(owner, return_index=True)  # owner ascends
+    by_column = np.argsort(columns, kind="stable")
+    used, first = np.unique(columns[by_column], return_index=True)
+    holder = owner[by_column]
     weights, bias = np.zeros(WIDTH), -5.0
     for gram, value in (("L0", 2.0), ("Y0", 6.0), ("G0", 6.0), ("L1", 1.0), ("Y1", 3.0), ("L2", 3.0)):
         weights[_column(gram)] = value
     start = weights.copy()
     m, v, mb, vb = np.zeros(WIDTH), np.zeros(WIDTH), 0.0, 0.0
-    used = np.unique(columns)
     for t in range(1, steps + 1):
-        z = bias + np.bincount(owner, weights=weights[columns] * entry, minlength=n)
+        z = np.full(n, bias)
+        z[sentence] += np.add.reduceat(weights[columns], begin) * scale[sentence] if len(columns) else 0.0
         p = np.clip(1 / (1 + np.exp(-np.clip(z, -30, 30))), 1e-7, 1 - 1e-7)
         none = np.exp(np.bincount(bag, weights=np.log1p(-p), minlength=len(target)))
         whole = np.clip(1 - none, 1e-6, 1 - 1e-6)
         # d loss / d z = p * (1 - target / whole)
         slope = p * ((1 - target / whole) * importance)[bag] / len(target)
-        g = np.bincount(columns, weights=slope[owner] * entry, minlength=WIDTH) + decay / len(target) * (weights - start)
+        g = (np.add.reduceat((slope * scale)[holder], first) if len(columns) else np.zeros(0)) + decay / len(target) * (weights[used] - start[used])
         gb = slope.sum()
-        m[used] = 0.9 * m[used] + 0.1 * g[used]
-        v[used] = 0.999 * v[used] + 0.001 * g[used] ** 2
+        m[used] = 0.9 * m[used] + 0.1 * g
+        v[used] = 0.999 * v[used] + 0.001 * g**2
         rate = 0.3
         weights[used] -= rate * (m[used] / (1 - 0.9**t)) / (np.sqrt(v[used] / (1 - 0.999**t)) + 1e-7)
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
