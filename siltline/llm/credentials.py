@@ -57,6 +57,10 @@ _NAMING = re.compile(r"(?:<\w+[^<>]*\s(?:key|name|id)=|(?i:getenv|environ\.get|\
 _ASSIGNED = re.compile(r"[A-Za-z_][\w.-]*=(?=[^=])(?!$)")
 _REMARK = re.compile(r"(?:#|//|;|\b[a-z]+)[ \t]*:[ \t]*$|(?:#|//)[ \t]*(?:[a-z]+[ \t]+)*$")
 _DIGIT = re.compile(r"\d")
+_RUN = re.compile(r"[0-9]+|[a-z]+|[A-Z]+|[^0-9a-zA-Z]+")
+# A name or words: pieces of three letters and more, of camel case or between _ and dots, each with a vowel.
+_PLAIN = re.compile(r"(?:(?=[A-Z]?[a-z]*[aeiouy]|[AEIOU])(?:[A-Z][a-z]{2,}|[a-z]{3,})|(?=[A-Z]*[AEIOUY])[A-Z]{3,}(?![a-z])|[_.])++")
+_CONSONANTS = re.compile(r"(?i)[bcdfghjklmnpqrstvwxz]{6}")
 _KEYWORDS = frozenset("const let var export static final private public string char str env arg was old one fallback if request headers get or set entry kind svc curl h s x http https run os environ process".split())
 
 
@@ -101,13 +105,12 @@ def candidates(text: str) -> list[Candidate]:
                 if inner:
                     kind, value = name, inner[1]
                     break
-        if len(value) >= 6 and (kind != "quoted" or _DIGIT.search(value) or not value.isalnum() and (len(value) >= 16 or _HINT.search(text, max(0, m.start() - 60), m.start()))):
+        if len(value) >= 6 and (kind != "quoted" or _DIGIT.search(value) or not value.isalnum() and len(value) >= 16 or text[max(0, m.start() - 4) : m.start()].rstrip()[-1:] in ("=", ":", ">") or _HINT.search(text, max(0, m.start() - 60), m.start())):
             general.append((m.start(2), m.end() - 1, kind, value))
     for pattern, kind in ((_ELEMENT, "element"), (_BARE, "bare"), (_HEADER_LINE, "bare")):
         for m in pattern.finditer(text):
             nested = _ASSIGNED.match(m[1]) if _REMARK.search(text, max(0, m.start(1) - 24), m.start(1)) else None  # "was NAME=value"
-            if not m[1].isalpha():
-                general.append((m.start(1) + (nested.end() if nested else 0), m.end(1), kind, m[1][nested.end() :] if nested else m[1]))
+            general.append((m.start(1) + (nested.end() if nested else 0), m.end(1), kind, m[1][nested.end() :] if nested else m[1]))
     if specific:
         specific.sort()
         starts = [x[0] for x in specific]
@@ -175,6 +178,11 @@ def placeholder(kind: str, value: str) -> bool:
     return len(core) < 0.5 * len(value) or len(set(value.lower())) < 4 or bool(_PLACEHOLDER.search(value)) or bool(inner and _PLACEHOLDER.search(inner)) or bool(_CHECKSUM.search(value))
 
 
+def plain(value: str) -> bool:
+    """Whether a value reads as words or as a name, so that it may refer to something instead of being it."""
+    return _PLAIN.fullmatch(value) is not None and not _CONSONANTS.search(value)
+
+
 def weak_label(kind: str, value: str, context: str) -> float | None:
     """1 or 0 where a pattern says so, None where none does."""
     if placeholder(kind, value) or _REFERENCE.search(value):
@@ -190,7 +198,7 @@ def weak_label(kind: str, value: str, context: str) -> float | None:
     if names[-1] in _HARMLESS:
         return 0.0
     secret = [w for w in names[-4:] if w in _SECRET]
-    if not secret:
+    if not secret or plain(value):
         return 0.0
     strong = sum((any(c.isdigit() for c in value), any(c.isalpha() for c in value), any(not c.isalnum() for c in value)))
     return 1.0 if strong >= 2 and len(value) >= 8 else None
@@ -200,23 +208,27 @@ def _bucket(text: str) -> int:
     return binascii.crc32(text.encode()) % _HASHED
 
 
+_CODES = np.clip(np.arange(256) - 31, 0, 96)
+
+
 class Markov:
     """Log-likelihood ratio per character of two first-order chains over printable characters."""
 
     def __init__(self, values: list[str], labels: list[float]):
         counts = np.full((2, 97, 97), 0.2)
         for value, label in zip(values, labels):
-            codes = [min(max(ord(c) - 31, 0), 96) for c in value[:400]]
-            table = counts[int(label)]
-            for a, b in zip([0, *codes], codes):
-                table[a, b] += 1
+            codes = self.codes(value[:400])
+            np.add.at(counts[int(label)], (codes[:-1], codes[1:]), 1)
         chains = counts / counts.sum(axis=2, keepdims=True)
         self.ratio = np.log(chains[1] / chains[0])
 
+    @staticmethod
+    def codes(value: str) -> np.ndarray:
+        return _CODES[np.frombuffer(b"\x1f" + value.encode("latin-1", "replace"), np.uint8)]
+
     def score(self, value: str) -> float:
-        codes = np.frombuffer(value[:400].encode("latin-1", "replace"), np.uint8).astype(np.int64) - 31
-        codes = np.clip(codes, 0, 96)
-        return float(self.ratio[np.r_[0, codes[:-1]], codes].mean()) if len(codes) else 0.0
+        codes = self.codes(value[:400])
+        return float(self.ratio[codes[:-1], codes[1:]].mean()) if value else 0.0
 
 
 def features(markov: Markov, kind: str, value: str, context: str, path: str) -> tuple[list[float], list[int]]:
@@ -225,11 +237,12 @@ def features(markov: Markov, kind: str, value: str, context: str, path: str) ->
     names = words(context)
     near = names[-4:]
     inner = _decoded(value)
-    digits, upper, other = sum(c.isdigit() for c in value), sum(c.isupper() for c in value), sum(not c.isalnum() for c in value)
-    classes = [0 if c.isdigit() else 1 if c.islower() else 2 if c.isupper() else 3 for c in value[:200]]
+    digits, upper, other = sum(map(str.isdigit, value)), sum(map(str.isupper, value)), len(value) - sum(map(str.isalnum, value))
+    changes = max(0, len(_RUN.findall(value, 0, 200)) - 1)
+    fake, known, name_like = placeholder(kind, value), bool(_KNOWN_RX.match(value)), plain(value)
     dense = [
-        1.0, markov.score(value), math.log(n) / 3, digits / n, upper / n, other / n, sum(a != b for a, b in zip(classes, classes[1:])) / n,
-        float(placeholder(kind, value)), float(bool(_REFERENCE.search(value))), float(bool(_KNOWN_RX.match(value))), float(bool(_KNOWN_RX.match(value)) and not placeholder(kind, value)),
+        1.0, markov.score(value), math.log(n) / 3, digits / n, upper / n, other / n, changes / n,
+        float(fake), float(bool(_REFERENCE.search(value))), float(known), float(known and not fake), float(name_like), float(name_like and kind == "bare"),
         float(any(w in _SECRET for w in near)), float(bool(near) and near[-1] in _HARMLESS), float(not near), float(n < 8), min(n, 500) / 100, float(bool(inner)), float(bool(inner) and any(pattern.search(inner) for _, pattern in _SPECIFIC)),
         *[float(kind == k) for k in ("block", "address", "header", "connection", "known", "element", "login", "bare", "quoted")],
     ]

@@ -59,6 +59,14 @@ def test_clean(model, text):
     assert lines(model, text) == []
 
 
+def test_values_of_letters_only(model):
+    for text in ('ENV LDAP_BIND_PW=bXga' + 'AWYiHpfFu', 'db_password: "caGn' + 'FnXPXjicMnye"', "api_secret=tkSgLB" + "HSRznnUCUOxJEs", '<entry key="password">LQxN' + 'ULQGCDbNqk</entry>', "curl -H 'X-api-token: iwDL" + "eWChQTDzaQ' https://a.invalid"):
+        assert lines(model, text) == [1], text
+    assert C.candidates('order = "jagged"') and lines(model, 'order = "jagged"') == []
+    for name in ("passphrase", "newPassword", "Password", "derive_secret", "configuredApiKey"):
+        assert C.weak_label("bare", name, "password = ") == 0.0
+
+
 def test_redaction_keeps_the_rest():
     for name, text in (("python", f'a = "{TOKEN}"\nb = """{BLOCK}"""\n'), ("json", '{"token": "' + TOKEN + '"}'), ("yaml", f"password: {PASSWORD}\nb: 1\n"), ("java", 'class A { String k = "' + BLOCK.replace("\n", '\\n" +\n "') + '"; }')):
         spans = [(c.start, c.end) for c in C.candidates(text)]
