@@ -35,6 +35,10 @@ _PLACEHOLDERS = "example dummy changeme change_me placeholder your_ your- xxxx s
 
 _KNOWN = r"AKIA[0-9A-Z]{12,}|gh[opsur]_[A-Za-z0-9]{20,}|github_pat_\w{20,}|glpat-[\w-]{16,}|xox[abeoprs]-[\w-]{16,}|[sr]k_live_\w{16,}|AIza[\w-]{30,}|eyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{16,}|\b\d{8,10}:[\w-]{30,}"
 _BLOCK = re.compile(r"-----BEGIN ([A-Z ]*)-----")
+# Lines of a block, whose feeds may be escaped; key text with what quotes, joins, indents, numbers or masks it, or a header of its own; key text with blanks for line feeds.
+_LINE = re.compile(r"((?:[^\n\\]|\\(?![nr]))*+)(?:\n|(?:\\[nr])+|\Z|)")
+_KEY_LINE = re.compile(r"(?:\d{1,6}[ \t]*[:|])?(?:[ \t\r\"'`>#|,.&;()@*\\-]|\+(?=[ \t\"']|$))*+(?:(?://|/\*)[ \t]+)?((?:[A-Za-z0-9+/=*]|\.{3}|…)*+|[\[<][^\]>\n]*[\]>]|(?:Proc-Type|DEK-Info|Version|Comment|Charset|Hash|MessageID|Subject|[xX]-[\w-]+):[^\n]*)[ \t\r\"'`,.&;()*\\+]*(?:(?:Environment\.NewLine|System\.lineSeparator\(\)|PHP_EOL|EOL|os\.linesep|vbCrLf|vbLf)[ \t\r\"'`,.&;()*\\+_]*)?")
+_KEY_WORDS = re.compile(r"(?:[A-Za-z0-9+/=* \t\r]|\.{3}|…)++")
 # One pattern a notation, each with a literal or small set in front, which the engine skips to.
 _SPECIFIC = (
     ("address", re.compile(r"://[^\s:/@\"'<>`]*:([^\s@/\"'`]{3,})@(?=[\w\[])")),
@@ -74,6 +78,43 @@ class Candidate:
     context: str
 
 
+def key_blocks(text: str) -> Iterator[tuple[int, int, int, str]]:
+    """Start, start of the body, end and label of the key blocks, in order.
+
+    A block ends at its own END, at the next BEGIN or behind its last line of key text, whichever comes first. Without
+    an END, a line shorter than the one before it is the last.
+    """
+    at = text.find("-----BEGIN ")
+    while at >= 0:
+        m = _BLOCK.match(text, at)
+        if not m:
+            at = text.find("-----BEGIN ", at + 10)
+            continue
+        following = text.find("-----BEGIN ", m.end())
+        limit = following if following >= 0 else len(text)
+        own = text.find(f"-----END {m[1]}-----", m.end(), limit)
+        limit = own if own >= 0 else limit
+        stop = last = m.end()
+        width = 0
+        if own >= 0 and _KEY_WORDS.fullmatch(text, last, own):
+            stop = last = own
+        while last < limit:
+            line = _LINE.match(text, last, limit)
+            body = _KEY_LINE.fullmatch(line[1])
+            if not body or own < 0 and width and len(body[1]) > width:
+                break
+            last = line.end()
+            if own >= 0 and last >= own:
+                stop = own
+            elif body[1]:
+                stop = line.start() + body.end(1)
+                if own < 0 and len(body[1]) < width:
+                    break
+                width = len(body[1])
+        yield at, m.end(), stop, m[1]
+        at = following
+
+
 def candidates(text: str) -> list[Candidate]:
     """Values that may be credentials, in order of position; lines are counted from 1 and split at line feeds.
 
@@ -81,16 +122,10 @@ def candidates(text: str) -> list[Candidate]:
     """
     blocks: list[tuple[int, int]] = []
     found: list[tuple[int, int, str, str]] = []
-    at = text.find("-----BEGIN ")
-    while at >= 0:
-        m = _BLOCK.match(text, at)
-        close = text.find("-----END", at)
-        stop = close if close >= 0 else len(text)
-        if m and "PRIVATE KEY" in m[1]:
-            found.append((at, stop, "block", text[m.end() : stop]))
-        if m:
-            blocks.append((at, stop))
-        at = text.find("-----BEGIN ", max(stop, at + 10))
+    for at, body, stop, label in key_blocks(text):
+        blocks.append((at, stop))
+        if "PRIVATE KEY" in label:
+            found.append((at, stop, "block", text[body:stop]))
     specific = [(m.start(1), m.end(1), kind, m[1]) for kind, pattern in _SPECIFIC for m in pattern.finditer(text)]
     general = []
     for m in _QUOTED.finditer(text):
@@ -328,13 +363,13 @@ def _redacted_rows(evidence: str | None, redacted: str, found: list[Candidate])
         return [c for c in candidates(redacted) if c.kind == "block" or c.value.count("*") * 2 < len(c.value)]
     lines, others = evidence.split("\n"), redacted.split("\n")
     out = []
+    blocks = (b for b in key_blocks(redacted) if "PRIVATE KEY" in b[3])
     for c in found:
         if c.kind == "block":
             body = lambda t: len(re.sub(r"[^A-Za-z0-9+/=]", "", re.sub(r"\[removed\]|-----[A-Z ]*-----", "", t)))
-            begin = redacted.find("-----BEGIN")
-            close = redacted.find("-----END", begin)
-            if begin >= 0 and body(redacted[begin + 11 : close if close >= 0 else None].split("-----", 1)[-1]) * 2 > body(c.value):
-                out.append(Candidate(redacted.count("\n", 0, begin) + 1, begin, len(redacted) if close < 0 else close, c.kind, c.value, c.context))
+            begin, inner, close, _ = next(blocks, (-1, 0, 0, ""))
+            if begin >= 0 and body(redacted[inner:close]) * 2 > body(c.value):
+                out.append(Candidate(redacted.count("\n", 0, begin) + 1, begin, close, c.kind, c.value, c.context))
             continue
         if c.line > len(others):
             continue

@@ -67,6 +67,23 @@ def test_values_of_letters_only(model):
         assert C.weak_label("bare", name, "password = ") == 0.0
 
 
+def test_blocks_end_at_their_own_end(model):
+    rows = [word(64) for _ in range(4)]
+    cut = "-----BEGIN CERTIFICATE-----\n" + "\n".join(rows)
+    assert lines(model, f'if "-----BEGIN CERTIFICATE-----" in text:\n    token = "{TOKEN}"\n') == [2]
+    assert lines(model, f'{cut}\n{rows[0][:20]}\ntoken = "{TOKEN}"\n') == [7]
+    assert lines(model, f"{cut}\n{BLOCK}\n") == [6]
+    assert lines(model, f"-----BEGIN PUBLIC KEY-----\n{rows[0]}\n{BLOCK}\npassword: {PASSWORD}\n") == [3, 11]
+    whole = BLOCK.split("\n")
+    head, body, foot = whole[0], whole[1:-1], whole[-1]
+    for text in (BLOCK, "\n".join("  " + x for x in whole), BLOCK.replace("\n", "\r\n"), "K=" + BLOCK.replace("\n", "\\n"), "k = " + " +\n  ".join(f'"{x}\\n"' for x in whole), "K=" + " ".join(whole), "\n".join("# " + x for x in whole), "\n".join([head, "Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0A", "", *body, foot])):
+        (c,) = (c for c in C.candidates(text) if c.kind == "block")
+        assert text.startswith(foot, c.end), text
+        assert lines(model, text) == [1], text
+    assert [c.kind for c in C.candidates("\n".join([head, *body]) + f'\ntoken = "{TOKEN}"')] == ["block", "known"]
+    assert [(c.kind, c.line) for c in C._redacted_rows(BLOCK, cut + "\n" + BLOCK, C.candidates(BLOCK))] == [("block", 6)]
+
+
 def test_redaction_keeps_the_rest():
     for name, text in (("python", f'a = "{TOKEN}"\nb = """{BLOCK}"""\n'), ("json", '{"token": "' + TOKEN + '"}'), ("yaml", f"password: {PASSWORD}\nb: 1\n"), ("java", 'class A { String k = "' + BLOCK.replace("\n", '\\n" +\n "') + '"; }')):
         spans = [(c.start, c.end) for c in C.candidates(text)]
