@@ -47,23 +47,26 @@ _SPECIFIC = (
     ("connection", re.compile(r"assword=([^;\"'`\s&]{4,})(?=[;\"'&])")),
     ("connection", re.compile(r"[Pp]wd=([^;\"'`\s&]{4,})(?=[;&])")),
     ("connection", re.compile(r"(?:AccountKey|SharedAccessKey|SharedSecret)=([^;\"'`\s&]{4,})")),
-    ("login", re.compile(r"(?:-u|--user)[ \t]+[\w.-]+:([^\s\"'`]{4,200})")),
+    ("login", re.compile(r"(?:-u|--user)[ \t]+[\w.-]+:([^\s\"'`]{4,}+)")),
     *((("known", re.compile(f"({x})")) for x in _KNOWN.split("|"))),
 )
-_QUOTED = re.compile(r"([\"'`])([^\"'`\s\\<>]{4,4000})\1((?:[ \t]*[+.]?\s*\1[^\"'`\s\\<>]{2,400}\1)*)")
-_ELEMENT = re.compile(r">([^\s\"'`<>]{6,400})</")
-_BARE = re.compile(r"^(?:[^\n=:\"'`(){}<>]{0,60}?[\w.-]+[ \t]*(?:[=:]|->)[ \t]*|[+-]?[ \t]*(?:ENV|ARG)[ \t]+\w+[ \t]+)([^\s\"'`<>(){}\[\],;]{6,400})[ \t\r]*$", re.MULTILINE)
+_QUOTED = re.compile(r"([\"'`])([^\"'`\s\\<>]{4,}+)\1((?:[ \t]*+[+.]?\s*+\1[^\"'`\s\\<>]{2,}+\1)*+)")
+# Assigned literals that hold what the pattern above leaves out; no prose between two literals.
+_WIDE = re.compile(r"[=:>][ \t]*+(?:[bBrRuUL@]{1,2})?([\"'`])(?![ \t]*[)\],;]|[ \t]+[-+.%&|?:*=<>{])((?:[^\"'`\\\n]|\\.|(?!\1)[\"'`])++)\1")
+_WIDER = re.compile(r"[\s\\<>\"'`]")
+_ELEMENT = re.compile(r">([^\s\"'`<>]{6,}+)</")
+_BARE = re.compile(r"^(?:[^\n=:\"'`(){}<>]{0,60}?[\w.-]+[ \t]*(?:[=:]|->)[ \t]*|[+-]?[ \t]*(?:ENV|ARG)[ \t]+\w+[ \t]+)([^\s\"'`<>(){}\[\],;]{6,}+)[ \t\r]*+$", re.MULTILINE)
 _PIECE = re.compile(r"[\"'`]([^\"'`\s\\<>]+)[\"'`]")
 _WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 _HINT = re.compile(r"(?i)pass|pwd|_pw\b|secret|token|cred|auth|key")
-_HEADER_LINE = re.compile(r"-H[ \t]+[\"'][\w.-]+:[ \t]*([^\"'\s]{6,400})[\"']")
+_HEADER_LINE = re.compile(r"-H[ \t]+[\"'][\w.-]+:[ \t]*([^\"'\s]{6,}+)[\"']")
 _NAMING = re.compile(r"(?:<\w+[^<>]*\s(?:key|name|id)=|(?i:getenv|environ\.get|\benv|get_env)\s*[\[(]\s*)$")
 _ASSIGNED = re.compile(r"[A-Za-z_][\w.-]*=(?=[^=])(?!$)")
 _REMARK = re.compile(r"(?:#|//|;|\b[a-z]+)[ \t]*:[ \t]*$|(?:#|//)[ \t]*(?:[a-z]+[ \t]+)*$")
 _DIGIT = re.compile(r"\d")
 _RUN = re.compile(r"[0-9]+|[a-z]+|[A-Z]+|[^0-9a-zA-Z]+")
 # A name or words: pieces of three letters and more, of camel case or between _ and dots, each with a vowel.
-_PLAIN = re.compile(r"(?:(?=[A-Z]?[a-z]*[aeiouy]|[AEIOU])(?:[A-Z][a-z]{2,}|[a-z]{3,})|(?=[A-Z]*[AEIOUY])[A-Z]{3,}(?![a-z])|[_.])++")
+_PLAIN = re.compile(r"(?:(?:[a-zA-Z]{1,2}(?![a-zA-Z])|[,:;!?'()-])?[ ]|(?=[A-Z]?[a-z]*[aeiouy]|[AEIOU])(?:[A-Z][a-z]{2,}|[a-z]{3,})|(?=[A-Z]*[AEIOUY])[A-Z]{3,}(?![a-z])|[_.])++")
 _CONSONANTS = re.compile(r"(?i)[bcdfghjklmnpqrstvwxz]{6}")
 _KEYWORDS = frozenset("const let var export static final private public string char str env arg was old one fallback if request headers get or set entry kind svc curl h s x http https run os environ process".split())
 
@@ -142,6 +145,9 @@ def candidates(text: str) -> list[Candidate]:
                     break
         if len(value) >= 6 and (kind != "quoted" or _DIGIT.search(value) or not value.isalnum() and len(value) >= 16 or text[max(0, m.start() - 4) : m.start()].rstrip()[-1:] in ("=", ":", ">") or _HINT.search(text, max(0, m.start() - 60), m.start())):
             general.append((m.start(2), m.end() - 1, kind, value))
+    for m in _WIDE.finditer(text):
+        if len(m[2]) >= 6 and _WIDER.search(m[2]) and _HINT.search(text, max(0, m.start() - 60), m.start()):
+            general.append((m.start(2), m.end(2), "quoted", m[2]))
     for pattern, kind in ((_ELEMENT, "element"), (_BARE, "bare"), (_HEADER_LINE, "bare")):
         for m in pattern.finditer(text):
             nested = _ASSIGNED.match(m[1]) if _REMARK.search(text, max(0, m.start(1) - 24), m.start(1)) else None  # "was NAME=value"
@@ -219,7 +225,9 @@ def plain(value: str) -> bool:
 
 
 def weak_label(kind: str, value: str, context: str) -> float | None:
-    """1 or 0 where a pattern says so, None where none does."""
+    """1 or 0 where a pattern says so, None where none does, as for literals with blanks."""
+    if kind == "quoted" and " " in value:
+        return None
     if placeholder(kind, value) or _REFERENCE.search(value):
         return 0.0
     if kind in ("block", "address", "header", "login", "connection") or _KNOWN_RX.match(value):
@@ -252,7 +260,7 @@ class Markov:
     def __init__(self, values: list[str], labels: list[float]):
         counts = np.full((2, 97, 97), 0.2)
         for value, label in zip(values, labels):
-            codes = self.codes(value[:400])
+            codes = self.codes(value)
             np.add.at(counts[int(label)], (codes[:-1], codes[1:]), 1)
         chains = counts / counts.sum(axis=2, keepdims=True)
         self.ratio = np.log(chains[1] / chains[0])
@@ -262,7 +270,7 @@ class Markov:
         return _CODES[np.frombuffer(b"\x1f" + value.encode("latin-1", "replace"), np.uint8)]
 
     def score(self, value: str) -> float:
-        codes = self.codes(value[:400])
+        codes = self.codes(value)
         return float(self.ratio[codes[:-1], codes[1:]].mean()) if value else 0.0
 
 
@@ -273,7 +281,7 @@ def features(markov: Markov, kind: str, value: str, context: str, path: str) ->
     near = names[-4:]
     inner = _decoded(value)
     digits, upper, other = sum(map(str.isdigit, value)), sum(map(str.isupper, value)), len(value) - sum(map(str.isalnum, value))
-    changes = max(0, len(_RUN.findall(value, 0, 200)) - 1)
+    changes = max(0, len(_RUN.findall(value)) - 1)
     fake, known, name_like = placeholder(kind, value), bool(_KNOWN_RX.match(value)), plain(value)
     dense = [
         1.0, markov.score(value), math.log(n) / 3, digits / n, upper / n, other / n, changes / n,

@@ -84,6 +84,19 @@ def test_blocks_end_at_their_own_end(model):
     assert [(c.kind, c.line) for c in C._redacted_rows(BLOCK, cut + "\n" + BLOCK, C.candidates(BLOCK))] == [("block", 6)]
 
 
+def test_long_values_and_any_character_inside_quotes(model):
+    long = word(5001)
+    for text, value in ((f"client-key-data: {long}", long), (f'api_key = "{long}"', long), (f"<entry key='api_key'>{long}</entry>", long), (f"curl -H 'X-api-token: {long}' https://a.invalid", long), (f"curl -u bot:{long} https://a.invalid", long), (f'api_key = "{TOKEN}" + "{long}"', TOKEN + long)):
+        assert [c.value for c in C.candidates(text)] == [value], text[:40]
+    for value in ("p@ss <w0" + "rd7", 'st\\"one9' + "42-x", "r1ver>St" + "one42!", "it's R1v" + "er-42"):
+        text = f'a = 1\npassword = "{value}"\nb = 2'
+        assert [(c.line, c.value) for c in C.candidates(text)] == [(2, value)], text
+    assert " + t1 + " not in [c.value for c in C.candidates('u = "token=" + t1 + "&x=1"')]
+    assert model.markov.score("a1" * 200 + "zq" * 4000) != model.markov.score("a1" * 200)
+    changes = lambda v: C.features(model.markov, "quoted", v, "", "")[0][6]
+    assert changes("aB1-" * 1000) > 0.99
+
+
 def test_redaction_keeps_the_rest():
     for name, text in (("python", f'a = "{TOKEN}"\nb = """{BLOCK}"""\n'), ("json", '{"token": "' + TOKEN + '"}'), ("yaml", f"password: {PASSWORD}\nb: 1\n"), ("java", 'class A { String k = "' + BLOCK.replace("\n", '\\n" +\n "') + '"; }')):
         spans = [(c.start, c.end) for c in C.candidates(text)]
