@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from siltline.llm.origin import file_origins, not_handwritten
+from siltline.llm.origin import file_origins, measure, not_handwritten
 from siltline.llm.repair import grammar_sizes, shared_phrases
 
 
@@ -78,3 +78,11 @@ def test_same_repository_shares_nothing(spark):
     df = spark.createDataFrame([(1, "a", "python", False, lib), (2, "a", "python", False, lib)], SCHEMA)
     assert not_handwritten(df).count() == 0
     assert not_handwritten(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_literals_are_measured_to_their_end():
+    rng = random.Random(5)
+    noise = lambda n: "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=n))
+    texts = ['P = "' + "A" * 210_000 + '"\nD = "' + noise(400_000) + '"\n', 'D = "' + noise(200_000) + '"\nP = "' + "A" * 600_000 + '"\n', 'D = "' + noise(300_000) + '"\n', 'D = "' + noise(3_000) + '"\n']
+    late, early, long, short = measure(texts)[0]["literal_ratio"]
+    assert late > 0.5 and early < 0.25 and long > 0.75 and short > 0.75
