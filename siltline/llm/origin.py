@@ -128,9 +128,16 @@ _CHUNK_BYTES = 1_500_000
 
 # A library's own head: name with version, and a licence that isn't this repository's.
 _FOREIGN_HEAD = re.compile(r"\bv\d+\.\d+(?:\.\d+)?\b[\s\S]{0,200}?\b(?:released|licen[sc]ed|distributed) under the (?:MIT|BSD|Apache|ISC|MPL|L?GPL|zlib)", re.IGNORECASE)
+# What may stand before a file's first code: blanks and comments.
+_LEADING = re.compile(r"(?:[\s\ufeff]++|<\?php\b|//[^\n]*+|#[^\n]*+|--[^\n]*+|/\*(?:[^*]|\*(?!/))*+\*/|<!--(?:[^-]|-(?!->))*+-->|\"\"\"(?:[^\"]|\"(?!\"\"))*+\"\"\")*+")
 _FIGURES = "file_id long, repo string, language string, tokens long, ratio double, longest long, chars double, long_share double, number_share double, numbers double, literal_ratio double, tokens_per_line double, blank_share double, foreign_head boolean, phrases array<long>, widths array<int>"
 
 
+def foreign_head(text: str) -> bool:
+    """Whether a library's own head stands in the leading comments, or in the first 800 characters if code comes before."""
+    return _FOREIGN_HEAD.search(text, 0, max(800, _LEADING.match(text).end())) is not None
+
+
 def _measure_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         sizes = np.cumsum([len(c) for c in batch["content"]]) // _CHUNK_BYTES
@@ -143,7 +150,7 @@ def _measure_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             frame.insert(0, "file_id", part["file_id"].to_numpy())
             frame.insert(1, "repo", part["repo"].to_numpy())
             frame.insert(2, "language", part["language"].to_numpy())
-            frame["foreign_head"] = [_FOREIGN_HEAD.search(t[:800]) is not None for t in texts]
+            frame["foreign_head"] = [foreign_head(t) for t in texts]
             frame["phrases"], frame["widths"] = np.split(phrase, cuts), np.split(width, cuts)
             yield frame
 

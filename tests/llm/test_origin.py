@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from siltline.llm.origin import file_origins, measure, not_handwritten
+from siltline.llm.origin import file_origins, foreign_head, measure, not_handwritten
 from siltline.llm.repair import grammar_sizes, shared_phrases
 
 
@@ -86,3 +86,10 @@ def test_literals_are_measured_to_their_end():
     texts = ['P = "' + "A" * 210_000 + '"\nD = "' + noise(400_000) + '"\n', 'D = "' + noise(200_000) + '"\nP = "' + "A" * 600_000 + '"\n', 'D = "' + noise(300_000) + '"\n', 'D = "' + noise(3_000) + '"\n']
     late, early, long, short = measure(texts)[0]["literal_ratio"]
     assert late > 0.5 and early < 0.25 and long > 0.75 and short > 0.75
+
+
+def test_head_of_a_library_behind_a_banner():
+    head = "relay.js v1.2.3 - released under the MIT licence"
+    for banner in ("// " + "=" * 900 + "\n// ", "/*\n" + " * bundled with care\n" * 60 + " * ", "#!/bin/sh\n" + "# a\n" * 300 + "# ", '"""' + "x y\n" * 300, "<?php\n/* " + "-" * 900 + " */\n// "):
+        assert foreign_head(banner + head + ' */ """\n'), banner[:9]
+    assert foreign_head("a = 1\n// " + head) and not foreign_head("a = 1\n" * 200 + "// " + head) and not foreign_head("")
