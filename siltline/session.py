@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = "*", memory: str = "8g", name: str = "siltline") -> SparkSession:
@@ -41,5 +42,10 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def hash_below(order: Column, share: float) -> Column:
+    """Whether a 64-bit hash lies in the lowest part of its range: any share, however small, keeps its part of the rows."""
+    return order <= F.lit(min(2**63 - 1, int(-(2**63) + max(0.0, share) * 2**64)))
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
