@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltline.session import cut
+from siltline.session import cut, hash_below
 
 #: Labelled candidates the classifier is fitted on; a bound on the driver's work, whatever the size of the corpus.
 SAMPLE = 12_000
@@ -432,9 +432,11 @@ def score_credentials(files: DataFrame, findings: DataFrame, sample: int = SAMPL
     found = cut(find_candidates(files, findings).dropDuplicates(["place", "row_id", "start", "end", "value"]))
     order = F.xxhash64("value", "context", "path")
     labelled = found.where("label is not null")
-    share = min(1.0, 1.5 * sample / max(1, labelled.count()))  # what goes to the driver is bounded before it is sorted
-    labelled = labelled.where(F.pmod(order, F.lit(1_000_000)) < int(1_000_000 * share))
-    rows = labelled.orderBy(order, "place", "row_id", "start").limit(sample).select("kind", "value", "context", "path", "label").toPandas()
+    n = labelled.count()
+    chosen = labelled.where(hash_below(order, 1.5 * sample / max(1, n)))  # what goes to the driver is bounded before it is sorted
+    rows = chosen.orderBy(order, "place", "row_id", "start").limit(sample).select("kind", "value", "context", "path", "label").toPandas()
+    if n and not len(rows):
+        raise ValueError("no labelled candidate fell into the sample")
     model = fit(rows)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -9,6 +9,7 @@ import random
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from siltline.llm.tokens import BYTE_BPE_50K, FOLDER, encode_documents
 from siltline.session import cut
@@ -16,6 +17,8 @@ from siltline.session import cut
 #: Documents of one source that one task balances at a time; what stays fractional goes into the next round.
 BLOCK_DOCS = 4_000
 _EPS = 1e-9
+#: Tasks of a round at most; each takes several blocks beyond that.
+_MOST_TASKS = 10_000
 
 
 def flight(chance: list[float], size: list[int], rng: random.Random) -> list[float]:
@@ -24,8 +27,8 @@ def flight(chance: list[float], size: list[int], rng: random.Random) -> list[flo
     Three open units at a time move along the null space of the two constraints (count and size), in either direction
     with the odds that keep every expectation.
     """
-    chance = list(chance)
-    waiting = [i for i, p in enumerate(chance) if _EPS < p < 1 - _EPS]
+    chance = [0.0 if p <= _EPS else 1.0 if p >= 1 - _EPS else p for p in chance]
+    waiting = [i for i, p in enumerate(chance) if 0 < p < 1]
     active: list[int] = []
     at = 0
     while True:
@@ -87,8 +90,6 @@ def mix_rates(sizes: DataFrame, targets: DataFrame, total: float | None = None)
     stock = sizes.where("tokens > 0").groupBy("source").agg(F.count("*").alias("documents"), F.sum("tokens").alias("stock_tokens"))
     plans = targets.groupBy("plan", "source").agg(F.greatest(F.lit(0.0), F.coalesce(F.max("weight"), F.lit(0.0))).alias("weight"), F.coalesce(F.max("max_repeats"), F.lit(1)).alias("max_repeats"))
     rows = plans.join(stock, "source", "left").fillna(0, ["documents", "stock_tokens"])
-    from pyspark.sql.window import Window
-
     plan = Window.partitionBy("plan")  # a row per source
     usable = F.when((F.col("documents") > 0) & (F.col("max_repeats") > 0), F.col("weight")).otherwise(0.0)
     rows = rows.withColumn("target_share", F.try_divide("weight", F.sum("weight").over(plan))).withColumn("reachable_share", F.coalesce(F.try_divide(usable, F.sum(usable).over(plan)), F.lit(0.0)))
@@ -103,10 +104,12 @@ def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, se
     """(chosen, shares): plan, source, doc_id, tokens, repeats; and per plan and source the shares wanted and reached.
 
     A document is used floor(copies) times, and once more if the balanced sample takes it. Documents without tokens
-    (null or empty text) and with a null source aren't chosen. Copies of a doc_id count once.
+    (null or empty text) and with a null source aren't chosen. Of the deliveries of a doc_id the one loaded last counts
+    (without loaded_at, or at a tie, the one with the greatest hash).
     """
-    spark = documents.sparkSession
-    keyed = documents.where(F.col("source").isNotNull()).select("doc_id", "source", "text").dropDuplicates(["doc_id"])
+    order = F.struct(F.col("loaded_at").isNotNull(), "loaded_at", F.xxhash64("source", "text")) if "loaded_at" in documents.columns else F.xxhash64("source", "text")
+    latest = documents.groupBy("doc_id").agg(F.max_by(F.struct("source", "text"), order).alias("d")).select("doc_id", "d.*")
+    keyed = latest.where(F.col("source").isNotNull())
     sizes = cut(encode_documents(keyed, keep=("doc_id", "source"), path=path, count=True).where("tokens > 0"))
     rates = cut(mix_rates(sizes, targets, total))
     used = rates.where("copies > 0").select("plan", "source", "copies", "documents")
@@ -119,11 +122,14 @@ def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, se
     )
     schema = left.schema
     done: list[DataFrame] = []
-    n = max((r[0] for r in used.agg(F.max("documents")).collect() if r[0]), default=0)
+    used_plans = used.groupBy("plan").agg(F.max("documents").alias("documents")).collect()  # a row a plan
+    n = max((r["documents"] for r in used_plans if r["documents"]), default=0)
     while True:
         parts = -(-n // BLOCK_DOCS)
         last = parts <= 1
-        moved = cut(left.groupBy("plan", "source", "_block").applyInPandas(_balance(last, seed), schema))
+        # blocks are bound by rows, not bytes: the number of tasks is given, so that small rows don't all end in one
+        placed = left.repartition(max(1, min(_MOST_TASKS, parts * len(used_plans))), "plan", "source", "_block")
+        moved = cut(placed.groupBy("plan", "source", "_block").applyInPandas(_balance(last, seed), schema))
         settled = moved.where("_chance <= 0 or _chance >= 1")
         done.append(settled)
         if last:
@@ -136,9 +142,6 @@ def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, se
         every = every.unionByName(part)
     chosen = every.select("plan", "source", F.col("_id").alias("doc_id"), "tokens", (F.col("_whole") + F.col("_chance").cast("int")).alias("repeats")).where("repeats > 0")
     reached = chosen.groupBy("plan", "source").agg(F.count("*").alias("chosen_documents"), F.sum(F.col("tokens") * F.col("repeats")).alias("mixed_tokens"), F.max("repeats").alias("most_repeats"))
-    from pyspark.sql.window import Window
-
     shares = rates.join(reached, ["plan", "source"], "left").fillna(0, ["chosen_documents", "mixed_tokens", "most_repeats"])
     shares = shares.withColumn("actual_share", F.try_divide("mixed_tokens", F.sum("mixed_tokens").over(Window.partitionBy("plan"))))
-    del spark
     return chosen, shares.select("plan", "source", "target_share", "reachable_share", "max_repeats", "documents", "stock_tokens", "chosen_documents", "mixed_tokens", "most_repeats", "actual_share")

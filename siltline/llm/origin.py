@@ -16,24 +16,58 @@ from siltline.llm.parsing import decoded
 from siltline.llm.repair import grammar_sizes, shared_phrases
 from siltline.session import cut
 
-_TOKEN = re.compile(r"[A-Za-z_$][\w$]*+|\d[\w.]*+|\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'|`[^`]*+`|[^\s\w]")
-_COMMENT_LINES = re.compile(r"(?m)^[ \t]*(?://|#(?!\s*(?:include|define|if|ifdef|ifndef|endif|else|pragma)\b)|\*|/\*|<!--|--)[^\n]*+\n?")
+_TOKEN = re.compile(r"[A-Za-z_$][\w$]*+|\d[\w.]*+|\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'|`[^`]*+`|\n|[^\s\w]")
 _KEYWORDS = frozenset("if else for while do return def class function func var let const import from package public private static final void int string new try catch except finally switch case break continue struct type interface export extends implements this self in of and or not is null None true false True False end then fi done esac local echo".split())
 
-_NAME, _NUMBER, _TEXT, _LONG = 1, 2, 3, 4
+# Whole lines of comment, by the signs of the language; others are left in place, where they weigh little.
+_HASH_LINES, _DASH_LINES, _SLASH_LINES = r"^[ \t]*#[^\n]*+\n?", r"^[ \t]*--[^\n]*+\n?", r"^[ \t]*//[^\n]*+\n?|^[ \t]*/\*(?:[^*]|\*(?!/))*+\*/[ \t]*\n?"
+_TAG_LINES = r"^[ \t]*<!--(?:[^-]|-(?!->))*+-->[ \t]*\n?"
+# Languages whose comments begin with other signs than // and /*.
+_HASH_LANGUAGES = ("python", "shell", "bash", "ruby", "perl", "r", "powershell", "terraform", "makefile", "yaml", "toml", "julia", "elixir")
+_DASH_LANGUAGES = ("sql", "lua", "haskell", "ada", "vhdl", "elm")
+_TAG_LANGUAGES = ("html", "xml", "vue", "svelte")
+_COMMENTS = {
+    **{name: re.compile(_HASH_LINES, re.MULTILINE) for name in _HASH_LANGUAGES},
+    **{name: re.compile(f"{_DASH_LINES}|{_SLASH_LINES}", re.MULTILINE) for name in _DASH_LANGUAGES},
+    **{name: re.compile(f"{_TAG_LINES}|{_SLASH_LINES}", re.MULTILINE) for name in _TAG_LANGUAGES},
+    "php": re.compile(f"{_HASH_LINES}|{_SLASH_LINES}", re.MULTILINE),
+}
+_OTHER_COMMENTS = re.compile(_SLASH_LINES, re.MULTILINE)
+
+_NAME, _NUMBER, _TEXT, _LONG, _LINE_END = 1, 2, 3, 4, 5
 #: String literals from so many characters on are looked at by character.
 LONG_LITERAL = 48
-#: Characters of long literals that share a grammar. It bounds memory, not what is measured, and keeps ratios comparable: random base64
-#: has 0.80 symbols a character at this length, 0.64 at 200 000, which would pass for compressible.
+#: Numbers that follow one another with at most two signs between them are a literal from so many on.
+LONG_ARRAY = 16
+#: Characters of long literals that share a grammar; it bounds memory, not what is measured.
 LITERAL_BLOCK = 24_000
 
 
+#: Languages of configuration, which is not written as a program.
+CONFIGURATION = ("json", "yaml", "xml", "properties", "dotenv", "dockerfile", "toml", "ini", "markdown", "text")
+#: Limits of the classes. Generated: a grammar of at most so many symbols a token, at 100 tokens and less by the slope for ten times
+#: as many (any text compresses better the longer it is), but never below the floor.
+GENERATED_RATIO, GENERATED_SLOPE, GENERATED_FLOOR, GENERATED_TOKENS = 0.34, 0.13, 0.06, 40
+#: Minified: of at least so many rules of the grammar with line ends at most such a share runs over a line end; it is a half in written code.
+MINIFIED_RULES, MINIFIED_BROKEN, MINIFIED_TOKENS = 8, 0.05, 80
+#: Data: share of characters in long literals and arrays of numbers, and size of their grammars against random text.
+DATA_LITERALS, DATA_RATIO, DATA_CHARS = 0.50, 0.85, 1000
+#: Vendored: share of tokens in phrases that other repositories have too.
+SHARED, SHARED_TOKENS = 0.60, 80
+
+
+def without_comments(text: str, language: str) -> str:
+    return _COMMENTS.get(language.lower(), _OTHER_COMMENTS).sub("", text)
+
+
 def _kind(token: str) -> int:
     first = token[0]
-    if first in "\"'`":
-        return _LONG if len(token) >= LONG_LITERAL else _TEXT
+    if first in "\"'`":  # a key or certificate kept in code is none of its data
+        return _LONG if len(token) >= LONG_LITERAL and token[1:12] != "-----BEGIN " else _TEXT
     if first.isdigit():
         return _NUMBER
+    if first == "\n":
+        return _LINE_END
     if first.isalpha() or first in "_$":
         return 16 + xxhash.xxh32_intdigest(token) if token in _KEYWORDS else _NAME
     return 8 + (ord(first) << 33)
@@ -41,96 +75,112 @@ def _kind(token: str) -> int:
 
 @dataclass
 class Lexicon:
-    """Numbers, kinds and hashes of the tokens seen by one worker."""
+    """Numbers, kinds and hashes of the tokens of a batch."""
 
     numbers: dict[str, int]
-    kinds: list[int]
-    hashes: list[int]
+    kinds: np.ndarray
+    hashes: np.ndarray
+    lengths: np.ndarray
 
     @classmethod
-    def empty(cls) -> Lexicon:
-        return cls({}, [], [])
-
-    def ids(self, tokens: list[str]) -> list[int]:
-        numbers = self.numbers
-        out = [numbers.get(t, -1) for t in tokens]
-        for i, n in enumerate(out):
-            if n < 0:
-                t = tokens[i]
-                n = numbers.get(t)
-                if n is None:
-                    n = numbers[t] = len(self.kinds)
-                    self.kinds.append(_kind(t))
-                    self.hashes.append(xxhash.xxh64_intdigest(t))
-                out[i] = n
-        return out
+    def of(cls, tokens: list[str]) -> Lexicon:
+        numbers = {t: i for i, t in enumerate(dict.fromkeys(tokens))}
+        fill = lambda f, kind: np.fromiter(map(f, numbers), kind, len(numbers))
+        return cls(numbers, fill(_kind, np.uint64), fill(xxhash.xxh64_intdigest, np.uint64), fill(len, np.int64))
+
+    def ids(self, tokens: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.numbers.__getitem__, tokens), np.int64, len(tokens))
+
+
+def _bits(codes: np.ndarray) -> float:
+    """Entropy of the characters, in bits a character."""
+    share = np.bincount(codes) / max(1, len(codes))
+    share = share[share > 0]
+    return float(-(share * np.log2(share)).sum())
 
 
 def literal_ratios(codes: list[np.ndarray]) -> np.ndarray:
-    """Symbols of the character grammars a character, for each sequence; one longer than a block has a grammar for each block, and their sizes are summed."""
+    """Size of the character grammars of each sequence against that of the same characters in random order: 1 is incompressible.
+
+    The comparison makes up for length and alphabet: a grammar of random hex saves more than one of random base64, and
+    any the more the longer the text. A sequence longer than a block has a grammar for each block, whose ratios are
+    averaged by length; blocks of less than one bit a character, in any order, count the less.
+    """
     blocks = [(j, c[at : at + LITERAL_BLOCK]) for j, c in enumerate(codes) for at in range(0, len(c), LITERAL_BLOCK)]
-    sizes = np.zeros(len(codes))
-    ends = np.cumsum([len(c) for _, c in blocks]) // (40 * LITERAL_BLOCK)  # blocks of a round, which bound the memory
-    for part in range(int(ends[-1]) + 1 if len(ends) else 0):
-        chosen = [blocks[b] for b in np.flatnonzero(ends == part)]
+    total = np.zeros(len(codes))
+    rounds = np.cumsum([len(c) for _, c in blocks]) // (20 * LITERAL_BLOCK)  # blocks of a round, which bound the memory
+    for part in range(int(rounds[-1]) + 1 if len(blocks) else 0):
+        chosen = [blocks[b] for b in np.flatnonzero(rounds == part)]
         if chosen:
-            n, r, _ = grammar_sizes(np.concatenate([c for _, c in chosen]).astype(np.uint64), np.repeat(np.arange(len(chosen)), [len(c) for _, c in chosen]), len(chosen))
-            np.add.at(sizes, [j for j, _ in chosen], n + 2 * r)
-    return sizes / np.maximum(1, [len(c) for c in codes])
+            owners, lengths = [j for j, _ in chosen], np.array([len(c) for _, c in chosen])
+            mixed = [np.random.default_rng(len(c)).permutation(c) for _, c in chosen]
+            n, r, _ = grammar_sizes(np.concatenate([*(c for _, c in chosen), *mixed]).astype(np.uint64), np.repeat(np.arange(2 * len(chosen)), np.r_[lengths, lengths]), 2 * len(chosen))
+            size = n + 2 * r
+            weight = lengths * np.minimum(1.0, [_bits(c) for _, c in chosen])
+            np.add.at(total, owners, weight * size[: len(chosen)] / np.maximum(1, size[len(chosen) :]))
+    return total / np.maximum(1, [len(c) for c in codes])
+
+
+def _core(token: str) -> str:
+    """What a literal holds: a string without its quotes, a number without its notation (0x, leading zeros, decimal point)."""
+    return token.lstrip("0xX").replace(".", "") if token[0].isdigit() else token.strip("\"'`")
+
+
+def _arrays(numbers: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Of the places of numbers those in an array of LONG_ARRAY and more."""
+    if not len(numbers):
+        return numbers
+    new = np.r_[True, (np.diff(numbers) > 3) | (owner[numbers][1:] != owner[numbers][:-1])]
+    run = np.cumsum(new) - 1
+    return numbers[np.bincount(run)[run] >= LONG_ARRAY]
 
 
-def measure(texts: list[str]) -> tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]:
+def measure(texts: list[str], languages: list[str]) -> tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]:
     """One row of grammar figures a text, and (hash, owner, width) of the phrases of all texts."""
-    lexicon = Lexicon.empty()
-    bodies = [_COMMENT_LINES.sub("", t.replace("\0", "") if "\0" in t else t) for t in texts]  # blocks of NUL bytes are damage, not repetition
-    lists = [lexicon.ids(_TOKEN.findall(b)) for b in bodies]
-    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-    ids = np.fromiter((i for x in lists for i in x), np.int64, int(sizes.sum()))
-    owner = np.repeat(np.arange(len(lists)), sizes)
-    kinds = np.array(lexicon.kinds or [0], np.uint64)[ids] if len(ids) else np.zeros(0, np.uint64)
-    hashes = np.array(lexicon.hashes or [0], np.uint64)[ids] if len(ids) else np.zeros(0, np.uint64)
-    left, rules, longest = grammar_sizes(kinds, owner, len(lists))
-
-    lengths = np.array([len(t) for t in lexicon.numbers] or [0], np.int64)
-    per = lambda mask: np.bincount(owner[mask], weights=lengths[ids[mask]], minlength=len(lists)) if len(ids) else np.zeros(len(lists))
-    long_chars, number_chars = per(kinds == _LONG), per(kinds == _NUMBER)
-    chars = per(np.ones(len(ids), bool))
-    numbers = np.bincount(owner[kinds == _NUMBER], minlength=len(lists)) if len(ids) else np.zeros(len(lists))
-    # long literals by character: near-incompressible ones are data
-    literal = np.ones(len(lists))
-    texts_of = list(lexicon.numbers)
-    big = [i for i in range(len(lists)) if long_chars[i] > 0.3 * max(chars[i], 1)]
-    if big:
-        literal[big] = literal_ratios([np.frombuffer("".join(texts_of[k].strip("\"'`") for k in lists[i] if lexicon.kinds[k] == _LONG).encode("latin-1", "replace"), np.uint8) for i in big])
-    lines = np.array([b.count("\n") + 1 for b in bodies], np.int64)
-    blanks = np.array([sum(map(b.count, (" ", "\t", "\n"))) for b in bodies], np.int64)
+    count = len(texts)
+    bodies = [without_comments(t.replace("\0", "") if "\0" in t else t, g) for t, g in zip(texts, languages)]  # blocks of NUL bytes are damage, not repetition
+    lists = [_TOKEN.findall(b) for b in bodies]
+    tokens = [t for x in lists for t in x]
+    lexicon = Lexicon.of(tokens)
+    every = lexicon.ids(tokens)
+    owners = np.repeat(np.arange(count), np.fromiter(map(len, lists), np.int64, count))
+    ends = lexicon.kinds[every] == _LINE_END if len(every) else np.zeros(0, bool)
+    _, line_rules, broken = grammar_sizes(lexicon.kinds[every], owners, count, ends) if len(every) else [np.zeros(count, np.int64)] * 3
+
+    ids, owner = every[~ends], owners[~ends]
+    kinds = lexicon.kinds[ids] if len(ids) else np.zeros(0, np.uint64)
+    hashes = lexicon.hashes[ids] if len(ids) else np.zeros(0, np.uint64)
+    lengths = lexicon.lengths[ids] if len(ids) else np.zeros(0, np.int64)
+    left, rules, _ = grammar_sizes(kinds, owner, count)
+    sizes = np.bincount(owner, minlength=count)
+    chars = np.bincount(owner, weights=lengths, minlength=count)
+    # long literals and arrays of numbers by character: near-incompressible ones are data
+    literal = kinds == _LONG
+    literal[_arrays(np.flatnonzero(kinds == _NUMBER), owner)] = True
+    share = np.bincount(owner[literal], weights=lengths[literal], minlength=count) / np.maximum(chars, 1)
+    ratios = np.full(count, np.nan)
+    big = np.flatnonzero((share >= DATA_LITERALS) & (chars >= DATA_CHARS))
+    if len(big):
+        names = list(lexicon.numbers)
+        places = np.flatnonzero(literal)
+        first, last = np.searchsorted(owner[places], big), np.searchsorted(owner[places], big, side="right")
+        ratios[big] = literal_ratios([np.frombuffer("".join(_core(names[k]) for k in ids[places[a:b]]).encode("latin-1", "replace"), np.uint8) for a, b in zip(first, last)])
     frame = pd.DataFrame({
-        "tokens": sizes, "ratio": (left + 2 * rules) / np.maximum(sizes, 1), "longest": longest, "chars": chars, "long_share": long_chars / np.maximum(chars, 1),
-        "number_share": number_chars / np.maximum(chars, 1), "numbers": numbers, "literal_ratio": literal, "tokens_per_line": sizes / lines, "blank_share": blanks / np.maximum(blanks + chars, 1),
+        "tokens": sizes, "ratio": (left + 2 * rules) / np.maximum(sizes, 1), "chars": chars, "literal_share": share, "literal_ratio": ratios,
+        "line_rules": line_rules, "broken_share": broken / np.maximum(line_rules, 1),
     })
     return (frame, *shared_phrases(hashes, owner))
 
 
 # -- tables --------------------------------------------------------------------------------------------------------------
 
-#: Languages of configuration, which is not written as a program.
-CONFIGURATION = ("json", "yaml", "xml", "properties", "dotenv", "dockerfile", "toml", "ini", "markdown", "text")
-#: Limits of the classes. Generated: a grammar of at most so many symbols a token, at 100 tokens and less by the slope for ten times
-#: as many (any text compresses better the longer it is), but never below the floor.
-GENERATED_RATIO, GENERATED_SLOPE, GENERATED_FLOOR, GENERATED_TOKENS = 0.34, 0.13, 0.06, 40
-#: Tokens a line and share of blanks: minified.
-MINIFIED_TOKENS, MINIFIED_BLANKS = 40, 0.10
-#: Share of characters in numbers, or in long literals of which the grammar saves less than a quarter: data.
-DATA_NUMBERS, DATA_LITERALS, DATA_RATIO, DATA_CHARS = 0.60, 0.50, 0.75, 1000
-#: Share of tokens in phrases that other repositories have too: vendored.
-SHARED, SHARED_TOKENS, SHARED_REPOSITORIES = 0.60, 80, 2
-_CHUNK_BYTES = 1_500_000
+_CHUNK_BYTES = 600_000
 
 # A library's own head: name with version, and a licence that isn't this repository's.
 _FOREIGN_HEAD = re.compile(r"\bv\d+\.\d+(?:\.\d+)?\b[\s\S]{0,200}?\b(?:released|licen[sc]ed|distributed) under the (?:MIT|BSD|Apache|ISC|MPL|L?GPL|zlib)", re.IGNORECASE)
 # What may stand before a file's first code: blanks and comments.
 _LEADING = re.compile(r"(?:[\s\ufeff]++|<\?php\b|//[^\n]*+|#[^\n]*+|--[^\n]*+|/\*(?:[^*]|\*(?!/))*+\*/|<!--(?:[^-]|-(?!->))*+-->|\"\"\"(?:[^\"]|\"(?!\"\"))*+\"\"\")*+")
-_FIGURES = "file_id long, repo string, language string, tokens long, ratio double, longest long, chars double, long_share double, number_share double, numbers double, literal_ratio double, tokens_per_line double, blank_share double, foreign_head boolean, phrases array<long>, widths array<int>"
+_FIGURES = "file_id long, repo string, language string, at long, tokens long, ratio double, chars double, literal_share double, literal_ratio double, line_rules long, broken_share double, foreign_head boolean, phrases array<long>, widths array<int>"
 
 
 def foreign_head(text: str) -> bool:
@@ -143,13 +193,12 @@ def _measure_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sizes = np.cumsum([len(c) for c in batch["content"]]) // _CHUNK_BYTES
         for _, part in batch.groupby(sizes, sort=False):
             texts = [decoded(c) for c in part["content"]]
-            frame, phrase, owner, width = measure(texts)
+            frame, phrase, owner, width = measure(texts, part["language"].tolist())
             keep = width >= 4
             phrase, owner, width = phrase[keep], owner[keep], width[keep].astype(np.int32)
             cuts = np.searchsorted(owner, np.arange(1, len(texts)))
-            frame.insert(0, "file_id", part["file_id"].to_numpy())
-            frame.insert(1, "repo", part["repo"].to_numpy())
-            frame.insert(2, "language", part["language"].to_numpy())
+            for i, name in enumerate(("file_id", "repo", "language", "at")):
+                frame.insert(i, name, part[name].to_numpy())
             frame["foreign_head"] = [foreign_head(t) for t in texts]
             frame["phrases"], frame["widths"] = np.split(phrase, cuts), np.split(width, cuts)
             yield frame
@@ -158,26 +207,33 @@ def _measure_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def file_origins(files: DataFrame) -> DataFrame:
     """Grammar figures and the flags generated, minified, data and vendored of every non-binary source file.
 
-    Files of unknown or configuration languages and null contents aren't judged. A file delivered twice counts once.
-    A repository counts once however many copies it holds; a null repository is one repository.
+    ``literal_ratio`` is null where literals are too few or too short to matter. All four flags come from the grammars. ``foreign_head`` tells apart, and sets no flag, whether a library's licence
+    head stands in the leading comments, as a hint at copies that only one repository holds.
+
+    Files of unknown or configuration languages and null contents aren't judged. A file delivered several times counts
+    once, by its latest delivery. A repository counts once however many copies it holds; a null repository is one
+    repository.
     """
     rows = files.where(~F.coalesce("is_binary", F.lit(False)) & F.col("content").isNotNull() & F.col("language").isNotNull())
-    rows = rows.where(~F.lower("language").isin(*CONFIGURATION)).select("file_id", F.coalesce("repo", F.lit("")).alias("repo"), "language", "content")
-    figures = cut(rows.mapInPandas(_measure_batches, _FIGURES).dropDuplicates(["file_id"]))
+    at = F.coalesce(F.unix_micros("discovered_at") if "discovered_at" in files.columns else F.lit(None).cast("long"), F.lit(-(2**62))).alias("at")
+    rows = rows.where(~F.lower("language").isin(*CONFIGURATION)).select("file_id", F.coalesce("repo", F.lit("")).alias("repo"), "language", at, "content")
+    measured = rows.mapInPandas(_measure_batches, _FIGURES)
+    others = [c for c in measured.columns if c != "file_id"]
+    latest = F.max_by(F.struct(*others), F.struct("at", F.xxhash64(*others))).alias("f")
+    figures = cut(measured.groupBy("file_id").agg(latest).select("file_id", "f.*").drop("at"))
     phrases = figures.select("file_id", "repo", F.explode(F.arrays_zip("phrases", "widths")).alias("p")).select("file_id", "repo", F.col("p.phrases").alias("phrase"), F.col("p.widths").alias("width"))
     # lowest and highest repository by hash: two numbers tell whether there are at least two, without a set for each phrase
     place = F.xxhash64("repo")
     spread = phrases.groupBy("phrase").agg(F.min(place).alias("_a"), F.max(place).alias("_b")).where("_a <> _b").select("phrase")
     shared = phrases.join(spread, "phrase", "left_semi").groupBy("file_id").agg(F.sum("width").alias("_shared"))
     out = figures.drop("phrases", "widths").join(shared, "file_id", "left").withColumn("shared_share", F.coalesce(F.col("_shared") / F.col("tokens"), F.lit(0.0))).drop("_shared")
-    data = (F.col("chars") >= DATA_CHARS) & ((F.col("number_share") >= DATA_NUMBERS) | ((F.col("long_share") >= DATA_LITERALS) & (F.col("literal_ratio") >= DATA_RATIO)))
     generated_limit = F.greatest(F.lit(GENERATED_FLOOR), GENERATED_RATIO - GENERATED_SLOPE * F.log10(F.greatest(F.lit(1), F.col("tokens")) / 100.0))
     return out.select(
         "*",
         ((F.col("tokens") >= GENERATED_TOKENS) & (F.col("ratio") <= generated_limit)).alias("generated"),
-        ((F.col("tokens_per_line") >= MINIFIED_TOKENS) & (F.col("blank_share") <= MINIFIED_BLANKS) & (F.col("tokens") >= SHARED_TOKENS)).alias("minified"),
-        data.alias("data"),
-        ((F.col("tokens") >= SHARED_TOKENS) & ((F.col("shared_share") >= SHARED) | F.col("foreign_head"))).alias("vendored"),
+        ((F.col("tokens") >= MINIFIED_TOKENS) & (F.col("line_rules") >= MINIFIED_RULES) & (F.col("broken_share") <= MINIFIED_BROKEN)).alias("minified"),
+        ((F.col("chars") >= DATA_CHARS) & (F.col("literal_share") >= DATA_LITERALS) & (F.col("literal_ratio") >= DATA_RATIO)).alias("data"),
+        ((F.col("tokens") >= SHARED_TOKENS) & (F.col("shared_share") >= SHARED)).alias("vendored"),
     )
 
 

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from siltline.llm.languages import EXTENSIONS, JUDGED, NAMES, language
 
+#: Frames of a parse at most, some 0.4 kB each; about 15 a bracket of depth.
+FRAMES = 1_000_000
 _CONFLICT = re.compile(r"(?m)^(?:<{7}|>{7}|\|{7})(?: |$)|^={7}$")
 
 
@@ -26,8 +28,11 @@ def decoded(content: bytes) -> str:
     return text.replace("\r\n", "\n").replace("\r", "\n") if "\r" in text else text
 
 
-def judge(name: str, content: bytes) -> tuple[bool, int | None, int | None, int | None, str | None]:
-    """(valid, furthest offset, line, column, cause) of one file; offset, line and column are null if it is valid."""
+def judge(name: str, content: bytes) -> tuple[bool | None, int | None, int | None, int | None, str | None]:
+    """(valid, furthest offset, line, column, cause) of one file; offset, line and column are null if it is valid.
+
+    A file nested too deep for the parser's stack is neither valid nor invalid: valid is null, the cause undecided.
+    """
     text = decoded(content)
     lang = language(name)
     try:
@@ -36,7 +41,7 @@ def judge(name: str, content: bytes) -> tuple[bool, int | None, int | None, int
             return True, None, None, None, None
         offset = min(lang.offset(text, lang.grammar.furthest(kinds)), len(text))
     except RecursionError:
-        offset = 0
+        return None, None, None, None, "undecided"
     line = text.count("\n", 0, offset) + 1
     return False, offset, line, offset - text.rfind("\n", 0, offset), _cause(text, offset)
 
@@ -78,7 +83,7 @@ def parse_files(files: DataFrame) -> DataFrame:
     found = "repo string, language string, valid boolean, error_offset int, error_line int, error_column int, cause string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sys.setrecursionlimit(max(sys.getrecursionlimit(), 60_000))
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), FRAMES))
         for batch in batches:
             results = list(map(judge, batch["_language"], batch["content"]))
             got = pd.DataFrame(results, columns=["valid", "error_offset", "error_line", "error_column", "cause"])
@@ -98,8 +103,20 @@ def parse_files(files: DataFrame) -> DataFrame:
     return judged.groupBy("file_id").agg(latest).select("file_id", "f.*")
 
 
+#: Levels of the rates by the columns that are summed over.
+LEVELS = {0: "repo and language", 1: "repo", 2: "language", 3: "all"}
+
+
 def parse_rates(judged: DataFrame) -> DataFrame:
-    """Files, invalid files and rate per repository and language, with totals (null repo or language, level tells which)."""
-    return judged.groupBy("repo", "language").agg(
-        F.count("*").alias("files"), F.count_if(~F.col("valid")).alias("invalid"), F.count_if(F.col("cause") == "conflict").alias("conflicts")
-    ).withColumn("rate", F.col("invalid") / F.col("files"))
+    """level, repo, language, files, invalid, undecided, conflicts and rate: per repository and language, with totals.
+
+    ``level`` says what a row sums up; the columns summed over are null, as is the repo of files without one. The rate
+    is that of the decided files; null where none is.
+    """
+    rows = judged.cube("repo", "language").agg(
+        F.grouping_id("repo", "language").alias("_level"), F.count("*").alias("files"), F.count_if(~F.col("valid")).alias("invalid"),
+        F.count_if(F.col("valid").isNull()).alias("undecided"), F.count_if(F.col("cause") == "conflict").alias("conflicts"),
+    )
+    names = F.create_map(*[F.lit(x) for p in LEVELS.items() for x in p])
+    rate = F.try_divide(F.col("invalid"), F.col("files") - F.col("undecided"))
+    return rows.select(names[F.col("_level").cast("int")].alias("level"), "repo", "language", "files", "invalid", "undecided", "conflicts", rate.alias("rate"))

@@ -19,52 +19,50 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def grammar_sizes(symbols: np.ndarray, owner: np.ndarray, count: int, rounds: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(length left, rules, longest expansion of a rule) of each of ``count`` sequences.
+def grammar_sizes(symbols: np.ndarray, owner: np.ndarray, count: int, marked: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(length left, rules, rules with a marked symbol in their expansion) of each of ``count`` sequences.
 
     ``symbols`` holds the sequences one after the other, ``owner`` the sequence of each symbol, ascending.
     """
     sym, own = symbols.astype(np.uint64), owner.astype(np.int64)
-    width = np.ones(len(sym), np.int64)
-    rules = np.zeros(count, np.int64)
-    longest = np.ones(count, np.int64)
+    mark = np.zeros(len(sym), bool) if marked is None else marked.copy()
+    left, rules, with_mark = (np.zeros(count, np.int64) for _ in range(3))
     with np.errstate(over="ignore"):
-        for _ in range(rounds):
-            if len(sym) < 2:
-                break
+        while len(sym) > 1:
             inside = own[1:] == own[:-1]
             pair = mix(sym[:-1] * _P[1] + mix(sym[1:]))
             key = mix(pair ^ (own[:-1].astype(np.uint64) * _P[2]))
             border = np.flatnonzero(~inside)
             key[border] = mix(_P[0] ^ border.astype(np.uint64))  # pairs across two sequences count for neither
-            _, index, counts = np.unique(key, return_inverse=True, return_counts=True)
-            often = counts[index]
+            order = np.argsort(key)
+            ends = np.flatnonzero(np.r_[key[order[1:]] != key[order[:-1]], True])
+            counts = np.diff(np.r_[-1, ends])
+            often = np.empty(len(key), np.int64)
+            often[order] = np.repeat(counts, counts)
             able = inside & (often > 1)
             same = inside & (sym[1:] == sym[:-1])
             if same.any():  # in a run of one symbol every other pair may be taken
                 place = np.arange(len(same))
                 start = np.maximum.accumulate(np.where(same & ~np.r_[False, same[:-1]], place, 0))
                 able &= ~(same & ((place - start) % 2 == 1))
-            if not able.any():
-                break
-            rank = np.where(able, (often.astype(np.int64) << 24) + (pair >> np.uint64(41)).astype(np.int64), 0)
-            left, right = np.r_[0, rank[:-1]], np.r_[rank[1:], 0]
-            chosen = able & (rank > left) & (rank >= right)
-            at = np.flatnonzero(chosen)
+            rank = np.where(able, (often << 24) + (pair >> np.uint64(41)).astype(np.int64), 0)
+            before, after = np.r_[0, rank[:-1]], np.r_[rank[1:], 0]
+            at = np.flatnonzero(able & (rank > before) & (rank >= after))
             # a rule must be used twice after overlaps are settled
-            _, again, uses = np.unique(key[at], return_inverse=True, return_counts=True)
-            at = at[uses[again] > 1]
-            if not len(at):
-                break
-            _, first = np.unique(key[at], return_index=True)
-            np.add.at(rules, own[at[first]], 1)
+            _, first, again, uses = np.unique(key[at], return_index=True, return_inverse=True, return_counts=True)
+            new, at = at[first[uses > 1]], at[uses[again] > 1]
+            mark[at] |= mark[at + 1]
+            np.add.at(rules, own[new], 1)
+            np.add.at(with_mark, own[new], mark[new])
             sym[at] = pair[at] | np.uint64(1 << 63)
-            width[at] += width[at + 1]
-            np.maximum.at(longest, own[at], width[at])
-            keep = np.ones(len(sym), bool)
+            # sequences without a new rule are done and leave
+            open_still = np.zeros(count, bool)
+            open_still[own[new]] = True
+            keep = open_still[own]
+            left += np.bincount(own[~keep], minlength=count)
             keep[at + 1] = False
-            sym, own, width = sym[keep], own[keep], width[keep]
-    return np.bincount(own, minlength=count), rules, longest
+            sym, own, mark = sym[keep], own[keep], mark[keep]
+    return left + np.bincount(own, minlength=count), rules, with_mark
 
 
 def shared_phrases(symbols: np.ndarray, owner: np.ndarray, levels: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
