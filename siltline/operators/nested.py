@@ -8,12 +8,16 @@ paths leave the parser.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator, Sequence
+import re
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltline.session import cut
+
 NODE_SCHEMA = "dewey string, schema_path string, kind string, value string"
 
 
@@ -37,27 +41,28 @@ def plain_name(name: str) -> str:
 
 
 def _unpacked(value: object) -> object:
-    """A list or object given as JSON text is that list or object."""
-    for _ in range(4):
-        if not (isinstance(value, str) and value.lstrip()[:1] in ("[", "{", '"') and len(value) > 1):
-            return value
-        ok, inner = parse_json(value)
-        if not ok or not isinstance(inner, (dict, list, str)) or isinstance(inner, str) and inner.lstrip()[:1] not in ("[", "{"):
+    """A list or object given as JSON text, itself quoted any number of times, is that list or object."""
+    inner = value
+    while isinstance(inner, str) and inner.lstrip()[:1] in ("[", "{", '"'):
+        ok, inner = parse_json(inner)
+        if not ok:
             return value
-        value = inner
-    return value
+    return inner if isinstance(inner, (dict, list)) else value
 
 
-def label_nodes(root: object, lists: frozenset[str], wanted: Callable[[str], bool]) -> Iterator[tuple[str, str, str, str | None]]:
+def label_nodes(root: object, lists: frozenset[str], wanted: Callable[[str], bool], packed: frozenset[str] = frozenset()) -> Iterator[tuple[str, str, str, str | None]]:
     """(dewey, schema_path, kind, value) of the wanted nodes, parents first.
 
     In a schema path names are plain and list elements are ``[]``. A field of ``lists`` that holds a lone value is
-    taken as a list of one; null is no list. Values of objects and lists are their JSON text.
+    taken as a list of one; null is no list. JSON text is unpacked in the fields of ``packed`` only (``x[]`` means the
+    elements of x); any other string stays as it is, whatever it begins with. Values of objects and lists are their
+    JSON text.
     """
     stack: list[tuple[object, str, str, str]] = [(root, "0", "$", "")]
     while stack:
         value, dewey, path, name = stack.pop()
-        value = _unpacked(value)
+        if name in packed:
+            value = _unpacked(value)
         if name in lists and value is not None and not isinstance(value, list):
             value = [value]
         kind = "object" if isinstance(value, dict) else "list" if isinstance(value, list) else "null" if value is None else "bool" if isinstance(value, bool) else "number" if isinstance(value, (int, float)) else "string"
@@ -68,7 +73,7 @@ def label_nodes(root: object, lists: frozenset[str], wanted: Callable[[str], boo
             # an object's members are numbered in the order in which they stand
             stack.extend(reversed([(v, f"{dewey}.{i}", f"{path}.{plain_name(k)}", plain_name(k)) for i, (k, v) in enumerate(value.items())]))
         elif kind == "list":
-            stack.extend(reversed([(v, f"{dewey}.{i}", f"{path}[]", "") for i, v in enumerate(value)]))
+            stack.extend(reversed([(v, f"{dewey}.{i}", f"{path}[]", f"{name}[]") for i, v in enumerate(value)]))
 
 
 def dewey_parent(dewey: Column, levels: int = 1) -> Column:
@@ -80,18 +85,22 @@ def dewey_ordinal(dewey: Column) -> Column:
     return F.substring_index(dewey, ".", -1).cast("int")
 
 
-def shred(df: DataFrame, keys: Sequence[str], text: str, lists: Sequence[str] = (), wanted: str = ".") -> DataFrame:
+def shred(
+    df: DataFrame, keys: Sequence[str], text: str, lists: Sequence[str] = (), wanted: str = ".", packed: Sequence[str] = (), latest_by: str | None = None, distinct: bool = True
+) -> DataFrame:
     """One row per wanted node of each record: the keys, then dewey, schema_path, kind, value.
 
-    ``wanted`` is a regular expression searched in schema paths. Copies of a record (same keys, same text) count once;
-    null and invalid texts give no rows.
+    ``wanted`` is a regular expression searched in schema paths, ``packed`` names the fields that may be JSON text.
+    Of several deliveries with the same keys the one with the greatest ``latest_by`` counts (ties, and without
+    ``latest_by``: the one whose text has the greatest hash). Null and invalid texts give no rows, but an invalid
+    latest delivery stands for its record. Texts are parsed where they are read; deliveries are told apart by keys and
+    hashes. Exact copies of a delivery give each node once, or without ``distinct`` once each, for callers that
+    aggregate anyway.
     """
-    names = frozenset(map(plain_name, lists))
-    schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys) + ", " + NODE_SCHEMA
+    names, inside = frozenset(map(plain_name, lists)), frozenset(map(plain_name, packed))
+    schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys) + ", _hash long, " + NODE_SCHEMA
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import re
-
         seen: dict[str, bool] = {}
         pattern = re.compile(wanted)
 
@@ -108,77 +117,102 @@ def shred(df: DataFrame, keys: Sequence[str], text: str, lists: Sequence[str] =
             for i, report in enumerate(batch["_text"]):
                 ok, root = parse_json(report)
                 if ok:
-                    nodes.extend(label_nodes(root, names, want))
+                    nodes.extend(label_nodes(root, names, want, inside))
                     owners.extend([i] * (len(nodes) - len(owners)))
             out = pd.DataFrame(nodes, columns=["dewey", "schema_path", "kind", "value"])
-            for i, k in enumerate(keys):
+            for i, k in enumerate([*keys, "_hash"]):
                 out.insert(i, k, batch.iloc[:, i].take(owners).array)
             yield out
 
-    rows = df.select(*keys, F.col(text).alias("_text")).where(F.col("_text").isNotNull()).dropDuplicates()
-    return rows.mapInPandas(run, schema)
+    delivered = df.where(F.col(text).isNotNull()).select(*keys, F.xxhash64(F.col(text)).alias("_hash"), F.col(text).alias("_text"), (F.col(latest_by) if latest_by else F.lit(0)).alias("_at"))
+    newest = delivered.groupBy(*keys).agg(F.max_by("_hash", F.struct(F.col("_at").isNotNull(), "_at", "_hash")).alias("_hash"))
+    nodes = delivered.select(*keys, "_hash", "_text").mapInPandas(run, schema)
+    same = [F.col(f"n.{c}").eqNullSafe(F.col(f"l.{c}")) for c in [*keys, "_hash"]]
+    nodes = nodes.alias("n").join(newest.alias("l"), reduce(Column.__and__, same), "left_semi").drop("_hash")
+    return nodes.dropDuplicates([*keys, "dewey"]) if distinct else nodes
+
+
+def table_of(nodes: DataFrame, keys: Sequence[str], path: str, fields: Mapping[str, str], levels: int = 1) -> DataFrame:
+    """The nodes of one schema path as a table: keys, dewey, parent_dewey and a column of text for each field.
+
+    ``path`` is a regular expression of the whole schema path of the table's rows, a field's one of the path below it.
+    A row is a node with any of the fields; its label is that of the field less one component a step, and its parent's
+    label is its own less ``levels`` components. Of equal fields of a row the greatest value counts.
+    """
+    at = F.col("schema_path")
+    row, columns = F.lit(None).cast("string"), []
+    for name, below in fields.items():
+        here = at.rlike(f"^{path}{below}$")
+        row = F.when(here, dewey_parent(F.col("dewey"), len(re.findall(r"\\\.|\[\\?\]", below)) or 1)).otherwise(row)
+        columns.append(F.max(F.when(here, F.col("value"))).alias(name))
+    rows = nodes.withColumn("_row", row).where(F.col("_row").isNotNull()).groupBy(*keys, F.col("_row").alias("dewey")).agg(*columns)
+    return rows.select(*keys, "dewey", dewey_parent(F.col("dewey"), levels).alias("parent_dewey"), *fields)
 
 
 # -- reports of the scanner --------------------------------------------------------------------------------------------
 
 REPORT_LISTS = ("findings", "taintPath", "evidenceChain", "attackPath")
-_FINDING = r"\.findings\[\]"
+#: Fields, and elements of lists, that may be given as JSON text.
+REPORT_PACKED = (*REPORT_LISTS, "findings[]", "taintPath[]", "ai", "aiAnalysis", "riskScore", "contributors", "contributors[]", "result", "scanners", "tool")
+_FINDING = r"\$\.(?:.*\.)?findings\[\]"
+_AI = r"\.(?:ai|aianalysis)"
 #: Schema path of each child list's elements below a finding, and the levels from an element up to its finding.
-CHILDREN = {"taint_step": (r"\.taintpath\[\]", 2), "evidence_step": (r"\.evidencechain\[\]", 2), "attack_step": (r"\.(?:ai|aianalysis)\.attackpath\[\]", 3)}
+CHILDREN = {"taint_step": (r"\.taintpath\[\]", 2), "evidence_step": (r"\.evidencechain\[\]", 2), "attack_step": (_AI + r"\.attackpath\[\]", 3)}
+_FINDING_FIELDS = {
+    "finding_id": r"\.findingid", "rule_id": r"\.id", "scanner": r"\.scanner", "category": r"\.category", "severity": r"\.severity", "confidence": r"\.confidence", "title": r"\.title",
+    "file": r"\.file", "line": r"\.line", "ai_verdict": _AI + r"\.verdict", "ai_confidence": _AI + r"\.confidence", "ai_severity": _AI + r"\.severity",
+}
+_HEAD_FIELDS = {"tool_name": r"\.tool\.name", "tool_version": r"\.tool\.version", "target": r"\.target", "score": r"\.riskscore\.score"}
+_PART, _PART_FIELDS = r"\$\.riskscore\.contributors\[\]", {"name": r"\.name", "count": r"\.count"}
 
 
-def report_nodes(reports: DataFrame, wanted: str = ".") -> DataFrame:
-    return shred(reports, ["scan_id"], "report", REPORT_LISTS, wanted)
+def report_nodes(reports: DataFrame, wanted: str = ".", distinct: bool = True) -> DataFrame:
+    """The nodes of the report received last of each scan."""
+    return shred(reports, ["scan_id"], "report", REPORT_LISTS, wanted, REPORT_PACKED, "received_at" if "received_at" in reports.columns else None, distinct)
 
 
-def report_steps(reports: DataFrame) -> DataFrame:
-    """(scan_id, finding_id, child, child_no, finding_dewey, value): the elements of all child lists; null elements keep their position but are no rows."""
-    ids = rf"{_FINDING}\.findingid$"
-    nodes = report_nodes(reports, "|".join([ids, *(rf"{_FINDING}{p}$" for p, _ in CHILDREN.values())]))
+_STEPS = "|".join([rf"^{_FINDING}\.findingid$", *(rf"^{_FINDING}{p}$" for p, _ in CHILDREN.values())])
+
+
+def _steps(nodes: DataFrame) -> DataFrame:
     path = F.col("schema_path")
-    child, up = F.lit(None).cast("string"), F.lit(1)
-    owner = dewey_parent(F.col("dewey"), 1)
+    child, owner = F.lit(None).cast("string"), F.when(path.rlike(rf"^{_FINDING}\.findingid$"), dewey_parent(F.col("dewey"), 1))
     for name, (below, levels) in CHILDREN.items():
-        here = path.rlike(rf"{_FINDING}{below}$")
+        here = path.rlike(rf"^{_FINDING}{below}$")
         child, owner = F.when(here, name).otherwise(child), F.when(here, dewey_parent(F.col("dewey"), levels)).otherwise(owner)
-    del up
-    steps = nodes.select("scan_id", owner.alias("finding_dewey"), child.alias("child"), dewey_ordinal(F.col("dewey")).alias("child_no"), "kind", "value")
+    steps = nodes.select("scan_id", owner.alias("finding_dewey"), child.alias("child"), dewey_ordinal(F.col("dewey")).alias("child_no"), "kind", "value").where("finding_dewey is not null")
     # ids and steps of a finding meet by its label: one aggregate over (scan, label), no join of the table with itself
     found = F.expr("try_cast(trim(value) as bigint)")
     grouped = steps.groupBy("scan_id", "finding_dewey").agg(
         F.max(F.when(F.col("child").isNull(), found)).alias("finding_id"),
-        F.collect_list(F.when(F.col("child").isNotNull() & (F.col("kind") != "null"), F.struct("child", "child_no", "value"))).alias("steps"),
+        F.collect_set(F.when(F.col("child").isNotNull() & (F.col("kind") != "null"), F.struct("child", "child_no", "value"))).alias("steps"),
     )
     return grouped.select("scan_id", "finding_id", "finding_dewey", F.explode("steps").alias("s")).select(
         "scan_id", "finding_id", "s.child", "s.child_no", "finding_dewey", "s.value"
     )
 
 
+def report_steps(reports: DataFrame) -> DataFrame:
+    """(scan_id, finding_id, child, child_no, finding_dewey, value): the elements of all child lists; null elements keep their position but are no rows."""
+    return _steps(report_nodes(reports, _STEPS, distinct=False))
+
+
 def report_tables(reports: DataFrame) -> dict[str, DataFrame]:
-    """Flat tables with parent keys: reports, findings, steps, contributors.
+    """Flat tables with parent keys: reports, findings, steps, contributors. Reports are parsed once for all of them.
 
     reports and findings carry (scan_id, dewey); the rows below carry the label of their parent.
     """
-    names = {
-        "finding_id": "findingid", "rule_id": "id", "scanner": "scanner", "category": "category", "severity": "severity", "confidence": "confidence", "title": "title",
-        "file": "file", "line": "line", "ai_verdict": "(?:ai|aianalysis)\\.verdict", "ai_confidence": "(?:ai|aianalysis)\\.confidence", "ai_severity": "(?:ai|aianalysis)\\.severity",
-    }
-    path, value = F.col("schema_path"), F.col("value")
-    nodes = report_nodes(reports, "|".join(rf"{_FINDING}\.{p}$" for p in names.values()))
-    owner = F.when(path.rlike(r"\.(?:ai|aianalysis)\."), dewey_parent(F.col("dewey"), 2)).otherwise(dewey_parent(F.col("dewey"), 1))
-    findings = nodes.groupBy("scan_id", owner.alias("dewey")).agg(*[F.max(F.when(path.rlike(rf"{_FINDING}\.{p}$"), value)).alias(n) for n, p in names.items()])
-    findings = findings.withColumn("parent_dewey", dewey_parent(F.col("dewey"), 2))
+    paths = [r"^\$$", *(rf"^\${p}$" for p in _HEAD_FIELDS.values()), *(f"^{_FINDING}{p}$" for p in _FINDING_FIELDS.values()), *(f"^{_PART}{p}$" for p in _PART_FIELDS.values()), _STEPS]
+    nodes = cut(report_nodes(reports, "|".join(paths), distinct=False))
+    findings = table_of(nodes, ["scan_id"], _FINDING, _FINDING_FIELDS, 2)
     for name, kind in (("finding_id", "bigint"), ("confidence", "int"), ("line", "int"), ("ai_confidence", "double")):
         findings = findings.withColumn(name, F.expr(f"try_cast({name} as {kind})"))
-    scalars = {"tool_name": r"^\$\.tool\.name$", "tool_version": r"^\$\.tool\.version$", "target": r"^\$\.target$", "score": r"^\$\.riskscore\.score$"}
-    heads = report_nodes(reports, "|".join([r"^\$$", *scalars.values()])).groupBy("scan_id").agg(
-        *[F.max(F.when(path.rlike(p), value)).alias(n) for n, p in scalars.items()]
-    ).withColumn("score", F.expr("try_cast(score as int)")).withColumn("dewey", F.lit("0"))
-    parts = report_nodes(reports, r"^\$\.riskscore\.contributors\[\]\.(?:name|count)$")
-    contributors = parts.groupBy("scan_id", dewey_parent(F.col("dewey"), 1).alias("dewey")).agg(
-        F.max(F.when(path.endswith(".name"), value)).alias("name"), F.max(F.when(path.endswith(".count"), value)).cast("bigint").alias("count")
-    )
-    return {"reports": heads, "findings": findings, "steps": report_steps(reports), "contributors": contributors.withColumn("parent_dewey", dewey_parent(F.col("dewey"), 2))}
+    path = F.col("schema_path")
+    heads = nodes.groupBy("scan_id").agg(
+        F.count_if(path == "$").alias("_n"), *[F.max(F.when(path.rlike(rf"^\${p}$"), F.col("value"))).alias(n) for n, p in _HEAD_FIELDS.items()]
+    ).where("_n > 0").drop("_n").withColumn("score", F.expr("try_cast(score as int)")).withColumn("dewey", F.lit("0"))
+    parts = table_of(nodes, ["scan_id"], _PART, _PART_FIELDS, 2).withColumn("count", F.expr("try_cast(count as bigint)"))
+    return {"reports": heads, "findings": findings, "steps": _steps(nodes), "contributors": parts}
 
 
 def report_children(reports: DataFrame) -> DataFrame:

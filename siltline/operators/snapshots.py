@@ -4,8 +4,8 @@ The rows of all snapshots of a group are range-partitioned by (group, key), so a
 tasks as its size asks for while all snapshots of one key meet in one task. Within a task the key-sorted rows are cut
 wherever the hash of a key falls on a multiple of ``chunk_rows``: cut points depend on keys alone, so an insertion or
 deletion moves no other cut. A chunk of a snapshot is represented by its row count and two 64-bit sums of row hashes.
-Chunks whose digests agree with the same chunk of the neighbouring snapshot are dropped there and then; only rows of
-unmatched chunks go through the second shuffle, which classifies them.
+Chunks whose digests agree with the same chunk of the snapshot before are dropped; the rows of unmatched chunks are
+joined by key there and then. So there is one shuffle, of keys and row hashes.
 """
 
 from __future__ import annotations
@@ -18,7 +18,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from siltline.session import cut
+
 _ABSENT = -(2**62)
+#: Snapshots of all groups up to which their list (four numbers and names each) is broadcast.
+_FEW_SNAPSHOTS = 100_000
 
 
 def _chunk_ids(batch: pd.DataFrame, chunk_rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -29,28 +33,38 @@ def _chunk_ids(batch: pd.DataFrame, chunk_rows: int) -> tuple[np.ndarray, np.nda
     return np.cumsum(starts), new_key
 
 
-def _unmatched(batch: pd.DataFrame, chunk_rows: int) -> pd.DataFrame:
-    """Rows of the chunks that differ from the chunk before or after them; each row once per side."""
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """Another hash of a hash, so that two sums of a chunk are independent."""
+    u = h.astype(np.uint64)
+    u = (u ^ (u >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return (u ^ (u >> np.uint64(29))).astype(np.int64)
+
+
+def _changes(batch: pd.DataFrame, chunk_rows: int) -> pd.DataFrame:
+    """The changes among the rows of whole chunks."""
     batch = batch.reset_index(drop=True)
     chunk, new_key = _chunk_ids(batch, chunk_rows)
     version = batch["_v"].to_numpy()
     last = np.r_[new_key[1:] | (version[1:] != version[:-1]), True]  # the latest delivery of an entry counts
-    batch = batch.assign(_c=chunk)[last]
-    chunks = batch.groupby(["_c", "_v"], as_index=False).agg(_n=("_h1", "size"), _s1=("_h1", "sum"), _s2=("_h2", "sum"), _p=("_p", "first"), _q=("_q", "first"))
-    other = chunks[["_c", "_v", "_n", "_s1", "_s2"]]
+    with np.errstate(over="ignore"):
+        batch = batch.assign(_c=chunk, _n=np.cumsum(new_key), _m=_mixed(batch["_h"].to_numpy()))[last]
+        chunks = batch.groupby(["_c", "_v"], as_index=False).agg(_rows=("_h", "size"), _s1=("_h", "sum"), _s2=("_m", "sum"), _p=("_p", "first"), _q=("_q", "first"))
+    other = chunks[["_c", "_v", "_rows", "_s1", "_s2"]]
 
     def differs(neighbour: str) -> np.ndarray:
         both = chunks.merge(other, left_on=["_c", neighbour], right_on=["_c", "_v"], how="left", suffixes=("", "_o"))
-        same = (both["_n"] == both["_n_o"]) & (both["_s1"] == both["_s1_o"]) & (both["_s2"] == both["_s2_o"])
+        same = (both["_rows"] == both["_rows_o"]) & (both["_s1"] == both["_s1_o"]) & (both["_s2"] == both["_s2_o"])
         return ((both[neighbour] != _ABSENT) & ~same).to_numpy()
 
-    chunks = chunks.assign(_cur=differs("_p"), _old=differs("_q"))
-    rows = batch.merge(chunks[["_c", "_v", "_cur", "_old"]], on=["_c", "_v"])
-    parts = []
-    for flag, at, side in (("_cur", "_v", True), ("_old", "_q", False)):
-        part = rows[rows[flag]]
-        parts.append(pd.DataFrame({"_g": part["_g"], "_at": part[at], "_k": part["_k"], "_now": side, "_h1": part["_h1"], "_h2": part["_h2"]}))
-    return pd.concat(parts, ignore_index=True)
+    chunks = chunks.assign(_now=differs("_p"), _then=differs("_q"))
+    rows = batch.merge(chunks[["_c", "_v", "_now", "_then"]], on=["_c", "_v"])
+    now, then = rows[rows["_now"]], rows[rows["_then"]]
+    # a row counts under its own snapshot and, as the old side, under the next one
+    both = now[["_n", "_v", "_h", "_g", "_k"]].merge(then[["_n", "_q", "_h", "_g", "_k"]].rename(columns={"_q": "_v"}), on=["_n", "_v"], how="outer", suffixes=("", "_o"), indicator=True)
+    side = both["_merge"].to_numpy()
+    kind = np.where(side == "left_only", "added", np.where(side == "right_only", "removed", np.where(both["_h"] != both["_h_o"], "changed", "")))
+    found = pd.DataFrame({"_g": both["_g"].where(side != "right_only", both["_g_o"]), "_at": both["_v"], "_k": both["_k"].where(side != "right_only", both["_k_o"]), "change": kind})
+    return found[kind != ""]
 
 
 def _scan(chunk_rows: int):
@@ -63,10 +77,10 @@ def _scan(chunk_rows: int):
             chunk, _ = _chunk_ids(both, chunk_rows)
             closed = int(np.searchsorted(chunk, chunk[-1]))  # the last chunk may go on in the next batch
             if closed:
-                yield _unmatched(both.iloc[:closed], chunk_rows)
+                yield _changes(both.iloc[:closed], chunk_rows)
             open_rows = [both.iloc[closed:]]
         if open_rows:
-            yield _unmatched(open_rows[0], chunk_rows)
+            yield _changes(open_rows[0], chunk_rows)
 
     return run
 
@@ -83,7 +97,7 @@ def snapshot_changes(
     """(group, version, key, change) for every snapshot but the first of each group, against the delivered one before.
 
     Repeated rows count once; if one key has different rows within a snapshot, the one with the greatest ``latest_by``
-    counts (ties: greatest row hash). Nulls are values, in keys, groups and compared columns alike; a row without a
+    counts (ties: greatest row hash). Rows are compared by a 64-bit hash of their values. Nulls are values, in keys, groups and compared columns alike; a row without a
     version belongs to no snapshot. An empty table gives no rows; other columns are ignored whatever their names.
     """
     key = F.col(key) if isinstance(key, str) else key
@@ -93,27 +107,22 @@ def snapshot_changes(
         F.coalesce(F.concat(F.lit("="), F.col(group)), F.lit("")).alias("_g"),
         F.col(version).cast("long").alias("_v"),
         F.coalesce(F.concat(F.lit("="), key), F.lit("")).alias("_k"),
-        F.xxhash64(key, F.lit("cut")).alias("_kh"),
-        F.xxhash64(key, values).alias("_h1"),
-        F.xxhash64(values, F.lit("second"), key).alias("_h2"),
+        F.xxhash64(key, values).alias("_h"),
         (F.col(latest_by) if latest_by else F.lit(0)).alias("_t"),
     )
     ordered = Window.partitionBy("_g").orderBy("_v")  # one row per snapshot
-    versions = (
+    versions = cut(
         rows.select("_g", "_v").distinct()
         .select("_g", "_v", F.lag("_v", 1, _ABSENT).over(ordered).alias("_p"), F.lead("_v", 1, _ABSENT).over(ordered).alias("_q"))
     )
-    placed = rows.join(versions, ["_g", "_v"]).repartitionByRange("_g", "_k").sortWithinPartitions("_g", "_k", "_v", "_t", "_h1")
-    left = placed.select("_g", "_v", "_k", "_kh", "_h1", "_h2", "_p", "_q").mapInPandas(
-        _scan(chunk_rows), "_g string, _at long, _k string, _now boolean, _h1 long, _h2 long"
-    )
-    hashes = F.struct("_h1", "_h2")
-    sides = left.groupBy("_g", "_at", "_k").agg(F.max(F.when(F.col("_now"), hashes)).alias("_new"), F.max(F.when(~F.col("_now"), hashes)).alias("_old"))
-    change = F.when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "removed").when(F.col("_new") != F.col("_old"), "changed")
+    if versions.count() <= _FEW_SNAPSHOTS:  # a checked size: broadcast after the one shuffle, which so carries less
+        placed = rows.repartitionByRange("_g", "_k").join(F.broadcast(versions), ["_g", "_v"])
+    else:
+        placed = rows.join(versions, ["_g", "_v"]).repartitionByRange("_g", "_k")
+    placed = placed.sortWithinPartitions("_g", "_k", "_v", "_t", "_h").select("_g", "_v", "_k", F.xxhash64("_k").alias("_kh"), "_h", "_p", "_q")
+    found = placed.mapInPandas(_scan(chunk_rows), "_g string, _at long, _k string, change string")
     value = lambda c: F.when(F.col(c) != "", F.expr(f"substring({c}, 2)"))
-    return sides.select(
-        value("_g").alias(group), F.col("_at").cast(df.schema[version].dataType).alias(version), value("_k").alias("key"), change.alias("change")
-    ).where(F.col("change").isNotNull())
+    return found.select(value("_g").alias(group), F.col("_at").cast(df.schema[version].dataType).alias(version), value("_k").alias("key"), "change")
 
 
 def baseline_changes(snapshots: DataFrame, chunk_rows: int = 16) -> DataFrame:
