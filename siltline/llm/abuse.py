@@ -58,6 +58,7 @@ _LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t
 _HIDDEN = re.compile(r"[​-‏⁠﻿­]")
 _SPACED = re.compile(r"\b(?:[^\W\d_][ .\-_*]){3,}[^\W\d_]{1,5}\b")
 _LEETED = re.compile(r"(?<![\w/.])(?=[a-z]*+[013457@$])(?=[\w@$]*[a-z])[a-z013457@$]{4,}(?![\w/.(])")
+_LEET_SIGNS = frozenset("013457@$")
 _REPEATED = re.compile(r"(\w)\1{2,}")
 _MASKED = re.compile(r"\b\w+\*+\w*|\b\w\*+\w+")
 #: Words of an instance; longer sentences (often several without marks between them) are cut into windows that overlap by half.
@@ -76,7 +77,9 @@ def folded(text: str) -> str:
 
 def undisguised(text: str) -> str:
     """Letters for the digits and signs that stand for them; runs of a letter are one."""
-    return _REPEATED.sub(r"\1", _LEETED.sub(lambda m: m[0].translate(_LEET), text))
+    if not _LEET_SIGNS.isdisjoint(text):
+        text = _LEETED.sub(lambda m: m[0].translate(_LEET), text)
+    return _REPEATED.sub(r"\1", text)
 
 
 def normal(text: str) -> str:
@@ -195,6 +198,12 @@ def _spread(ends: np.ndarray, values: np.ndarray, rows: np.ndarray, owner: np.nd
     return values[offsets + np.arange(len(offsets))], np.repeat(owner, sizes)
 
 
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """In ascending order; sorting beats hashing for so many."""
+    values = np.sort(values)
+    return values[np.r_[True, values[1:] != values[:-1]]] if len(values) else values
+
+
 def sentence_features(parts: list[str], known: Pieces | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(columns, sentence of each), ascending and without repeats, of many sentences in one vectorised step.
 
@@ -231,8 +240,7 @@ def sentence_features(parts: list[str], known: Pieces | None = None) -> tuple[np
     for column, chosen in ((_SECOND_COLUMN, second), (_GROUP_COLUMN, group)):
         owners.append(filled[chosen])
         columns.append(np.full(len(owners[-1]), column, np.int32))
-    both = np.sort(np.concatenate(owners) * WIDTH + np.concatenate(columns))
-    both = both[np.r_[True, both[1:] != both[:-1]]] if len(both) else both
+    both = _distinct(np.concatenate(owners) * WIDTH + np.concatenate(columns))
     return (both % WIDTH).astype(np.int32), both // WIDTH
 
 
@@ -284,18 +292,19 @@ def _fit_bags(columns: np.ndarray, owner: np.ndarray, scale: np.ndarray, bag: np
     by_column = np.argsort(columns, kind="stable")
     used, first = np.unique(columns[by_column], return_index=True)
     holder = owner[by_column]
-    place = np.searchsorted(used, columns)
+    place = np.searchsorted(used, columns).astype(np.int32)
+    holder, scale = holder.astype(np.int32), scale.astype(np.float32)
     weights, bias = (model.weights[used].astype(np.float64), model.bias) if model else (start[used], -5.0)
     m, v, mb, vb = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
     for t in range(1, steps + 1):
         z = np.full(n, bias)
-        z[sentence] += np.add.reduceat(weights[place], begin) * scale[sentence] if len(columns) else 0.0
+        z[sentence] += np.add.reduceat(weights.astype(np.float32)[place], begin) * scale[sentence] if len(columns) else 0.0
         p = np.clip(1 / (1 + np.exp(-np.clip(z, -30, 30))), 1e-7, 1 - 1e-7)
         none = np.exp(np.bincount(bag, weights=np.log1p(-p)[part], minlength=len(target)))
         whole = np.clip(1 - none, 1e-6, 1 - 1e-6)
         # d loss / d z = p * (1 - target / whole)
         slope = p * np.bincount(part, weights=((1 - target / whole) * importance)[bag], minlength=n) / len(target)
-        g = (np.add.reduceat((slope * scale)[holder], first) if len(columns) else np.zeros(0)) + decay / len(target) * (weights - start[used])
+        g = (np.add.reduceat((slope * scale).astype(np.float32)[holder], first) if len(columns) else np.zeros(0)) + decay / len(target) * (weights - start[used])
         gb = slope.sum()
         m = 0.9 * m + 0.1 * g
         v = 0.999 * v + 0.001 * g**2
@@ -316,7 +325,7 @@ def _starting_weights(lexicon: bool) -> np.ndarray:
     return start
 
 
-def fit(texts: pd.DataFrame, votes: pd.DataFrame, background: pd.DataFrame | None = None, rounds: int = 3, steps: int = 120, decay: float = 0.06, lexicon: bool = True) -> Model:
+def fit(texts: pd.DataFrame, votes: pd.DataFrame, background: pd.DataFrame | None = None, rounds: int = 3, steps: int = 100, decay: float = 0.06, lexicon: bool = True) -> Model:
     """texts and background: doc_id, text; votes: doc_id, annotator, y (0 or 1). Without votes the lexicon's prior is all that is known.
 
     The first round trusts votes and takes background documents for ordinary; later rounds weigh the votes by each
@@ -339,10 +348,10 @@ def fit(texts: pd.DataFrame, votes: pd.DataFrame, background: pd.DataFrame | Non
         own = ~np.isin(columns, [*_LISTED.ravel(), _SECOND_COLUMN, _GROUP_COLUMN])
         columns, owner = columns[own], owner[own]
     # what fewer than LEAST_DOCUMENTS documents have says nothing; it keeps its starting weight
-    pairs = np.unique(bag * len(number) + part)
+    pairs = _distinct(bag * len(number) + part)
     ends = np.r_[0, np.cumsum(np.bincount(owner, minlength=len(number)))]
     spread, holder = _spread(ends, columns, pairs % len(number), pairs // len(number))
-    seen_in = np.bincount(np.unique(spread.astype(np.int64) * len(held) + holder) // len(held), minlength=WIDTH)
+    seen_in = np.bincount(_distinct(spread.astype(np.int64) * len(held) + holder) // len(held), minlength=WIDTH)
     often = seen_in[columns] >= LEAST_DOCUMENTS
     columns, owner = columns[often], owner[often]
     mean = votes.groupby("doc_id")["y"].mean()

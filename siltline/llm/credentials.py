@@ -14,6 +14,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -226,10 +227,10 @@ def plain(value: str) -> bool:
 
 def weak_label(kind: str, value: str, context: str) -> float | None:
     """1 or 0 where a pattern says so, None where none does, as for literals with blanks."""
-    if kind == "quoted" and " " in value:
-        return None
     if placeholder(kind, value) or _REFERENCE.search(value):
         return 0.0
+    if kind == "quoted" and " " in value:
+        return None
     if kind in ("block", "address", "header", "login", "connection") or _KNOWN_RX.match(value):
         return 1.0
     inner = _decoded(value)
@@ -295,6 +296,11 @@ def features(markov: Markov, kind: str, value: str, context: str, path: str) ->
     return dense, sorted(hashed)
 
 
+_MARKOV = 1  # the dense feature with the likelihood
+#: Dense features that the weak labels are made of: placeholder, reference, known shape, words near the value, inner shape, kinds that label.
+_LABELLING = [7, 8, 9, 10, 11, 12, 13, 14, 15, 19, 20, 21, 22, 23, 24, 26]
+
+
 @dataclass
 class Model:
     markov: Markov
@@ -303,7 +309,7 @@ class Model:
     scale: tuple[float, float]
 
     def raw(self, kind: str, value: str, context: str, path: str) -> float:
-        x, h = features(self.markov, kind, value, context, path)
+        x, h = features(self.markov, kind, value, context, path)  # weights of features left out are 0
         return float(np.dot(self.dense, x) + self.hashed[h].sum())
 
     def probability(self, kind: str, value: str, context: str, path: str) -> float:
@@ -311,10 +317,11 @@ class Model:
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
 
 
-def _descend(x: np.ndarray, y: np.ndarray, decay: np.ndarray, steps: int = 150) -> np.ndarray:
+def _descend(x: np.ndarray, y: np.ndarray, decay: np.ndarray, balanced: bool = True, steps: int = 150) -> np.ndarray:
+    """Weights of a logistic regression, by Adam; balanced means that both labels weigh alike."""
     x, y, decay = x.astype(np.float32), y.astype(np.float32), decay.astype(np.float32)
     w, m, v = (np.zeros(x.shape[1], np.float32) for _ in range(3))
-    weight = np.where(y > 0, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6)).astype(np.float32)
+    weight = np.where(y > 0, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6)).astype(np.float32) if balanced else np.float32(1)
     for t in range(1, steps + 1):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
         g = x.T @ ((p - y) * weight) / len(y) + decay * w
@@ -323,33 +330,39 @@ def _descend(x: np.ndarray, y: np.ndarray, decay: np.ndarray, steps: int = 150)
     return w
 
 
-def fit(sample: pd.DataFrame) -> Model:
-    """kind, value, context, path, label → model; even rows train, odd rows calibrate (of fewer than 400, all do both). Without both labels every candidate scores by its weak label's prior."""
+def fit(sample: pd.DataFrame, rules: bool = True) -> Model:
+    """kind, value, context, path, label → model; trained on all rows, calibrated on scores of rows held out in turn. Without both labels every candidate scores by its weak label's prior."""
     if not len(sample) or sample["label"].nunique() < 2:
         both = pd.DataFrame({"kind": ["known", "quoted"], "value": ["ghp_" + "a1B2c3D4e5" * 3, "relay-ivory"], "context": ["token = ", "name = "], "path": ["a.py", "a.py"], "label": [1.0, 0.0]})
-        sample = pd.concat([sample, both, both], ignore_index=True)
-    train, held = (sample.iloc[::2], sample.iloc[1::2]) if len(sample) >= 400 else (sample, sample)
-    markov = Markov(train["value"].tolist(), train["label"].tolist())
-
-    def matrix(rows: pd.DataFrame) -> np.ndarray:
-        made = [features(markov, *r) for r in zip(rows["kind"], rows["value"], rows["context"], rows["path"])]
-        x = np.zeros((len(made), len(made[0][0]) + _HASHED), np.float32)
-        for i, (dense, hashed) in enumerate(made):
-            x[i, : len(dense)] = dense
-            x[i, [len(dense) + h for h in hashed]] = 1
-        return x
-
-    x = matrix(train)
-    n = x.shape[1] - _HASHED
-    w = _descend(x, train["label"].to_numpy(), np.full(x.shape[1], 1e-4))
-    z = matrix(held) @ w
-    a, b = _descend(np.c_[z, np.ones(len(z))], held["label"].to_numpy(), np.array([1e-4, 1e-4]))
+        sample = pd.concat([sample, both, both, both, both], ignore_index=True)
+    labels = sample["label"].to_numpy()
+    markov = Markov(sample["value"].tolist(), labels.tolist())
+    made = [features(markov, *r) for r in zip(sample["kind"], sample["value"], sample["context"], sample["path"])]
+    n = len(made[0][0])
+    x = np.zeros((len(made), n + _HASHED), np.float32)
+    for i, (dense, hashed) in enumerate(made):
+        x[i, :n] = dense
+        x[i, [n + h for h in hashed]] = 1
+    if not rules:
+        x[:, _LABELLING] = 0
+    decay = np.full(x.shape[1], 1e-4)
+    # each of three parts of the sample is scored by a model of the other two; these scores calibrate the model of all
+    turn = sample.groupby("label").cumcount().to_numpy() % 3
+    z = np.zeros(len(x))
+    for part in range(3):
+        train, held = x[turn != part], x[turn == part]
+        chain = Markov(sample["value"][turn != part].tolist(), labels[turn != part].tolist())
+        of_part = np.array([chain.score(v) for v in sample["value"]])
+        train[:, _MARKOV], held[:, _MARKOV] = of_part[turn != part], of_part[turn == part]
+        z[turn == part] = held @ _descend(train, labels[turn != part], decay)
+    a, b = _descend(np.c_[z, np.ones(len(z))], labels, np.array([1e-4, 1e-4]), balanced=False)
+    w = _descend(x, labels, decay)
     return Model(markov, w[:n], w[n:], (float(a), float(b)))
 
 
 # -- tables --------------------------------------------------------------------------------------------------------------
 
-_CANDIDATES = "place string, row_id long, path string, line_no int, start int, end int, kind string, value string, context string, label double"
+_CANDIDATES = "place string, row_id long, delivery long, path string, line_no int, start int, end int, kind string, value string, context string, label double"
 
 
 def readable_share(value: str, line: str, start: int, end: int, other: str) -> float:
@@ -392,44 +405,51 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=[c.split()[0] for c in _CANDIDATES.split(", ")]).astype({"label": "float64"})
 
 
-def _row(place: str, row_id: int, path: str | None, c: Candidate) -> tuple:
-    return place, row_id, path or "", c.line, c.start, c.end, c.kind, c.value, c.context, weak_label(c.kind, c.value, c.context)
+def _row(place: str, row_id: int, delivery: int, path: str | None, c: Candidate) -> tuple:
+    return place, row_id, delivery, path or "", c.line, c.start, c.end, c.kind, c.value, c.context, weak_label(c.kind, c.value, c.context)
+
+
+def _text(content: bytes) -> str:
+    """Characters are counted in this text, here and where spans are blotted out."""
+    return content.decode("utf-8", "replace")
 
 
 def _file_candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
-        for file_id, path, content in zip(batch["file_id"], batch["rel_path"], batch["content"]):
-            text = content.decode("utf-8", "replace")
-            rows.extend(_row("content", file_id, path, c) for c in candidates(text))
+        for file_id, delivery, path, content in zip(batch["file_id"], batch["delivery"], batch["rel_path"], batch["content"]):
+            rows.extend(_row("content", file_id, delivery, path, c) for c in candidates(_text(content)))
         yield _frame(rows)
 
 
 def _evidence_candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
-        for finding_id, path, evidence, redacted in zip(batch["finding_id"], batch["file"], batch["evidence"], batch["redacted_evidence"]):
+        for finding_id, one, other, path, evidence, redacted in zip(batch["finding_id"], batch["delivery"], batch["delivery2"], batch["file"], batch["evidence"], batch["redacted_evidence"]):
             found = candidates(evidence) if evidence is not None else []
-            rows.extend(_row("evidence", finding_id, path, c) for c in found)
+            rows.extend(_row("evidence", finding_id, one, path, c) for c in found)
             if redacted is not None and (found or evidence is None):
-                rows.extend(_row("redacted_evidence", finding_id, path, c) for c in _redacted_rows(evidence, redacted, found))
+                rows.extend(_row("redacted_evidence", finding_id, other, path, c) for c in _redacted_rows(evidence, redacted, found))
         yield _frame(rows)
 
 
 def find_candidates(files: DataFrame, findings: DataFrame) -> DataFrame:
-    """All candidates of non-binary contents, evidence and redacted evidence, with weak labels; null texts have none."""
-    contents = files.where(~F.coalesce("is_binary", F.lit(False)) & F.col("content").isNotNull()).select("file_id", "rel_path", "content")
-    evidence = findings.where("evidence is not null or redacted_evidence is not null").select("finding_id", "file", "evidence", "redacted_evidence")
+    """All candidates of non-binary contents, evidence and redacted evidence, with weak labels; null texts have none. ``delivery`` is the hash of the text."""
+    contents = files.where(~F.coalesce("is_binary", F.lit(False)) & F.col("content").isNotNull()).select("file_id", F.xxhash64("content").alias("delivery"), "rel_path", "content")
+    evidence = findings.where("evidence is not null or redacted_evidence is not null").select(
+        "finding_id", F.xxhash64(F.col("evidence").cast("binary")).alias("delivery"), F.xxhash64(F.col("redacted_evidence").cast("binary")).alias("delivery2"), "file", "evidence", "redacted_evidence"
+    )
     return contents.mapInPandas(_file_candidates, _CANDIDATES).unionByName(evidence.mapInPandas(_evidence_candidates, _CANDIDATES))
 
 
-def score_credentials(files: DataFrame, findings: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """Every candidate with its calibrated probability: place, row_id, line_no, start, end, kind, value, probability.
+def score_credentials(files: DataFrame, findings: DataFrame, sample: int = SAMPLE, rules: bool = True) -> DataFrame:
+    """Every candidate with its calibrated probability: place, row_id, delivery, line_no, start, end, kind, value, probability.
 
     The sample is the labelled candidates with the smallest hashes, so it is the same at every run and spread over the
-    corpus. Deliveries of the same row give the same rows once. Characters are counted from 0 in the decoded text.
+    corpus. Equal deliveries of a row give the same rows once, others their own. Characters are counted from 0 in the decoded
+    text. Without ``rules`` the tests that give weak labels are no features.
     """
-    found = cut(find_candidates(files, findings).dropDuplicates(["place", "row_id", "start", "end", "value"]))
+    found = cut(find_candidates(files, findings).dropDuplicates(["place", "row_id", "delivery", "start", "end", "value"]))
     order = F.xxhash64("value", "context", "path")
     labelled = found.where("label is not null")
     n = labelled.count()
@@ -437,15 +457,15 @@ def score_credentials(files: DataFrame, findings: DataFrame, sample: int = SAMPL
     rows = chosen.orderBy(order, "place", "row_id", "start").limit(sample).select("kind", "value", "context", "path", "label").toPandas()
     if n and not len(rows):
         raise ValueError("no labelled candidate fell into the sample")
-    model = fit(rows)
+    model = fit(rows, rules)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             p = [model.probability(*r) for r in zip(batch["kind"], batch["value"], batch["context"], batch["path"])]
             yield batch.drop(columns=["context", "path"]).assign(probability=pd.Series(p, dtype="float64"))
 
-    return found.select("place", "row_id", "line_no", "start", "end", "kind", "value", "context", "path").mapInPandas(
-        run, "place string, row_id long, line_no int, start int, end int, kind string, value string, probability double"
+    return found.select("place", "row_id", "delivery", "line_no", "start", "end", "kind", "value", "context", "path").mapInPandas(
+        run, "place string, row_id long, delivery long, line_no int, start int, end int, kind string, value string, probability double"
     )
 
 
@@ -467,18 +487,17 @@ def blot(text: str, spans: list[tuple[int, int]], fill: str = "X") -> str:
 
 
 def redact_texts(files: DataFrame, findings: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """place, row_id, redacted: the texts in which credentials were found, with them blotted out."""
-    spans = score_credentials(files, findings).where(F.col("probability") >= threshold).groupBy("place", "row_id").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    decoded = F.expr("make_valid_utf8(cast(content as string))")
-    texts = (
-        files.where(F.col("content").isNotNull()).select(F.lit("content").alias("place"), F.col("file_id").alias("row_id"), decoded.alias("text"))
-        .unionByName(findings.where("evidence is not null").select(F.lit("evidence").alias("place"), F.col("finding_id").alias("row_id"), F.col("evidence").alias("text")))
-        .unionByName(findings.where("redacted_evidence is not null").select(F.lit("redacted_evidence").alias("place"), F.col("finding_id").alias("row_id"), F.col("redacted_evidence").alias("text")))
-    )
+    """place, row_id, redacted: the texts in which credentials were found, with them blotted out; differing deliveries of a row each by their own places."""
+    key = ["place", "row_id", "delivery"]
+    spans = score_credentials(files, findings).where(F.col("probability") >= threshold).groupBy(*key).agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    parts = [files.select(F.lit("content").alias("place"), F.col("file_id").alias("row_id"), F.col("content").alias("text"))]
+    parts += [findings.select(F.lit(c).alias("place"), F.col("finding_id").alias("row_id"), F.col(c).cast("binary").alias("text")) for c in ("evidence", "redacted_evidence")]
+    texts = reduce(DataFrame.unionByName, parts).where(F.col("text").isNotNull()).withColumn("delivery", F.xxhash64("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            done = [blot(t, [(s["start"], s["end"]) for s in spans]) for t, spans in zip(batch["text"], batch["spans"])]
+            done = [blot(_text(t), [(s["start"], s["end"]) for s in spans]) for t, spans in zip(batch["text"], batch["spans"])]
             yield batch[["place", "row_id"]].assign(redacted=pd.Series(done, dtype=object))
 
-    return texts.join(spans, ["place", "row_id"]).mapInPandas(run, "place string, row_id long, redacted string").distinct()
+    same = reduce(lambda a, b: a & b, [F.col(f"t.{c}").eqNullSafe(F.col(f"s.{c}")) for c in key])  # a null id is a row too
+    return texts.alias("t").join(spans.alias("s"), same).select("t.place", "t.row_id", "t.text", "s.spans").mapInPandas(run, "place string, row_id long, redacted string").distinct()
