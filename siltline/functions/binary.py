@@ -14,7 +14,7 @@ MAGIC = (
     ("4D5A", "PE", True), ("7F454C46", "ELF", True), ("FEEDFACE", "MACHO", True), ("FEEDFACF", "MACHO", True), ("CFFAEDFE", "MACHO", True), ("CAFEBABE", "MACHO", True),
     ("504B0304", "ZIP", False), ("504B0506", "ZIP", False), ("1F8B", "GZIP", False), ("89504E47", "PNG", False), ("FFD8FF", "JPEG", False),
 )
-PROGRAM_EXTENSIONS = "exe dll so dylib bin out com"
+PROGRAM_EXTENSIONS = ("exe", "dll", "so", "dylib", "bin", "out", "com")
 ZIP_BOMB_RATIO, ZIP_BOMB_BYTES = 100, 20 * 1024 * 1024
 
 
@@ -35,7 +35,7 @@ def sniff(content: Column) -> Column:
 
 def is_disguised(executable: Column, extension: Column) -> Column:
     """A program under a name that doesn't say so; a name without extension doesn't."""
-    return executable & ~extension.isin(*PROGRAM_EXTENSIONS.split())
+    return executable & ~extension.isin(*PROGRAM_EXTENSIONS)
 
 
 def printable_strings(content: Column, least: int = 5, most: int = 3000) -> Column:

@@ -1,11 +1,13 @@
 """Unsafe calls in JavaScript and TypeScript, found in the token stream.
 
-There is no parser here: tokens know strings, templates, comments and regular expressions, and calls are matched with
-their arguments by bracket depth. Tainted names are kept by name, in source order, without scopes.
+There is no parser here: tokens know strings, templates, comments and regular expressions, calls are matched with their
+arguments by bracket depth, and a finding stands where its expression begins: a call at the head of its chain, an
+assignment at its left side, ``new`` at that word. Tainted names are kept by name, in source order, without scopes.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -19,11 +21,11 @@ from siltline.plans import rules as R
 
 _TOKEN = re.compile(
     r"(?P<skip>\s+|//[^\n]*|/\*[\s\S]*?(?:\*/|$))|(?P<text>\"(?:[^\"\\\n]|\\[\s\S])*\"|'(?:[^'\\\n]|\\[\s\S])*')|(?P<template>`(?:[^`\\]|\\[\s\S])*(?:`|$))"
-    r"|(?P<name>[A-Za-z_$][\w$]*)|(?P<number>\d[\w.]*)|(?P<sign>=>|===|!==|==|!=|<=|>=|&&|\|\||\?\?|\?\.|\+\+|--|\+=|-=|\*=|\.\.\.|[^\s\w])"
+    r"|(?P<name>[A-Za-z_$][\w$]*)|(?P<number>\d[\w.]*)|(?P<sign>=>|===|!==|==|!=|<=|>=|\*\*=|&&=|\|\|=|\?\?=|&&|\|\||\?\?|\?\.(?!\d)|\+\+|--|\+=|-=|\*=|/=|%=|&=|\|=|\^=|\*\*|\.\.\.|[^\s\w])"
 )
 _REGEX = re.compile(r"/(?![*/])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*")
 _SOURCE = re.compile(r"(?i)req\.(?:query|body|params|headers|cookies)|location\.(?:search|hash)|window\.location")
-_BEFORE_REGEX = frozenset("( , = : [ ! & | ? { } ; + - * % < > ~ ^ => && || ?? return typeof case == === != !==".split())
+_BEFORE_REGEX = frozenset("( , = : [ ! & | ? { } ; + - * % < > ~ ^ => && || ?? return typeof case == === != !== += -= *= /= %= **= &= |= ^= &&= ||= ??= **".split())
 
 
 class Token:
@@ -53,104 +55,219 @@ def tokens(code: str) -> list[Token]:
     return out
 
 
+_OPENING, _CLOSING = frozenset("([{"), frozenset(")]}")
+_WORDS_BEFORE_VALUES = frozenset("return typeof case in of instanceof new delete void throw else do await yield".split())
+_ASSIGNMENTS = frozenset("= += -= *= /= %= **= &= |= ^= &&= ||= ??= <<= >>= >>>=".split())
+_NOT_BINARY = frozenset("? => && || ??".split()) | _ASSIGNMENTS
+#: Binary operators by how loosely they bind, the loosest first.
+_BINARY = ("|", "^", "&", "== != === !==", "< > <= >= in instanceof", "<< >> >>>", "+ -", "* / %", "**")
+_LOOSENESS = {sign: i for i, level in enumerate(_BINARY) for sign in level.split()}
+_BEFORE_MEMBERS = frozenset("{ } ; async public private protected static override abstract get set *".split())
+
+
+def _ends_value(t: Token) -> bool:
+    """Whether an operand may end with this token, so that an operator or a new statement may follow."""
+    return t.kind in ("text", "template", "number", "regex") or t.text in _CLOSING or t.kind == "name" and t.text not in _WORDS_BEFORE_VALUES
+
+
+def _closing(toks: list[Token], opening: int) -> int:
+    """The place of the bracket that closes the one at ``opening``, or the end."""
+    depth = 0
+    for i in range(opening, len(toks)):
+        if toks[i].kind == "sign":
+            depth += (toks[i].text in _OPENING) - (toks[i].text in _CLOSING)
+            if depth <= 0:
+                return i
+    return len(toks)
+
+
+def _opening(toks: list[Token], closing: int) -> int:
+    depth = 0
+    for i in range(closing, -1, -1):
+        if toks[i].kind == "sign":
+            depth += (toks[i].text in _CLOSING) - (toks[i].text in _OPENING)
+            if depth <= 0:
+                return i
+    return 0
+
+
 def _arguments(toks: list[Token], opening: int) -> tuple[list[tuple[int, int]], int]:
     """Token ranges of the arguments of the call whose bracket stands at ``opening``, and the place of its end."""
-    depth, start, parts, i = 0, opening + 1, [], opening
-    while i < len(toks):
-        t = toks[i].text
-        if toks[i].kind == "sign":
-            if t in "([{":
-                depth += 1
-            elif t in ")]}":
-                depth -= 1
-                if depth == 0:
-                    break
-            elif t == "," and depth == 1:
-                parts.append((start, i))
-                start = i + 1
+    end = _closing(toks, opening)
+    parts, start, i = [], opening + 1, opening + 1
+    while i < end:
+        if toks[i].kind == "sign" and toks[i].text in _OPENING:
+            i = _closing(toks, i)
+        elif toks[i].text == "," and toks[i].kind == "sign":
+            parts.append((start, i))
+            start = i + 1
         i += 1
-    if i > start:
-        parts.append((start, i))
-    return parts, i
+    if end > start:
+        parts.append((start, end))
+    return parts, end
+
+
+def _call_bracket(toks: list[Token], i: int) -> int | None:
+    """The opening bracket of a call of the name at ``i``, behind type arguments if there are any."""
+    j = i + 1
+    if j < len(toks) and toks[j].text == "<" and toks[j].kind == "sign":
+        depth = 0
+        while j < len(toks) and (toks[j].kind in ("name", "text", "number") or toks[j].text in "<>,.[]|&{}:;?()=>"):
+            depth += (toks[j].text == "<") - (toks[j].text == ">")
+            j += 1
+            if depth == 0:
+                break
+        if depth:
+            return None
+    return j if j < len(toks) and toks[j].text == "(" and toks[j].kind == "sign" else None
+
+
+def _chain(toks: list[Token], i: int) -> tuple[int, bool, bool]:
+    """(head, optional, constructed) of the member chain that ends with the name at ``i``.
+
+    optional: the chain holds ``?.``; constructed: ``new`` stands before it and takes the bracket behind it.
+    """
+    optional, called = False, False
+    while i >= 2 and toks[i - 1].text in (".", "?."):
+        optional |= toks[i - 1].text == "?."
+        i -= 2
+        while toks[i].text in (")", "]") and toks[i].kind == "sign":
+            called |= toks[i].text == ")"
+            i = _opening(toks, i)
+            before = toks[i - 1] if i else None
+            if before is None or not _ends_value(before):
+                break
+            i -= 1
+    if i and toks[i - 1].text == "new" and toks[i - 1].kind == "name":
+        return (i - 1, optional, False) if called else (i, optional, True)
+    return i, optional, False
+
+
+def _operator(toks: list[Token], a: int, b: int) -> str | None:
+    """The operator of the tokens as a binary expression, None if they are something else."""
+    found = None
+    i = a
+    while i < b:
+        t = toks[i]
+        if t.kind == "sign" and t.text in _OPENING:
+            i = _closing(toks, i) + 1
+            continue
+        if t.text in _NOT_BINARY and t.kind == "sign" or t.text in ("as", "satisfies") and t.kind == "name" and i > a:
+            return None
+        if t.text in _LOOSENESS and i > a and _ends_value(toks[i - 1]) and (found is None or _LOOSENESS[t.text] <= _LOOSENESS[found]):
+            found = t.text
+        i += 1
+    return found
+
+
+def _is_definition(toks: list[Token], i: int, end: int, parts: list[tuple[int, int]]) -> bool:
+    """Whether the name at ``i`` with its brackets is a method or signature rather than a call."""
+    after = toks[end + 1].text if end + 1 < len(toks) else ""
+    if after == "{":
+        return True
+    typed = any(b - a >= 3 and toks[a].kind == "name" and toks[a + 1].text in (":", "?") and toks[a + 1].kind == "sign" and _operator(toks, a, b) is None and "?" not in [x.text for x in toks[a + 2 : b]] for a, b in parts)
+    return typed or after == ":" and i > 0 and toks[i - 1].text in _BEFORE_MEMBERS
+
+
+def _declared(toks: list[Token], i: int, code: str) -> Iterator[tuple[int, int, int]]:
+    """(name, begin, end) of the plain names that a declaration at ``i`` sets, with the token range of their values."""
+    at = i + 1
+    while at < len(toks):
+        name = at if toks[at].kind == "name" else None
+        at = at + 1 if name is not None else _closing(toks, at) + 1 if toks[at].text in _OPENING else len(toks)
+        if at < len(toks) and toks[at].text == "!":
+            at += 1
+        if at < len(toks) and toks[at].text == ":":  # a type goes on to the value
+            at += 1
+            while at < len(toks) and toks[at].text not in ("=", ";", ",", ")") and not (_new_statement(toks, at, code)):
+                at = _closing(toks, at) + 1 if toks[at].text in _OPENING else at + 1
+        if at < len(toks) and toks[at].text == "=":
+            begin = at + 1
+            at = begin
+            while at < len(toks) and toks[at].text not in (";", ",") and toks[at].text not in _CLOSING and not (at > begin and _new_statement(toks, at, code)):
+                at = _closing(toks, at) + 1 if toks[at].kind == "sign" and toks[at].text in _OPENING else at + 1
+            if name is not None and at > begin:
+                yield name, begin, at
+        if at >= len(toks) or toks[at].text != ",":
+            return
+        at += 1
+
+
+def _new_statement(toks: list[Token], i: int, code: str) -> bool:
+    """Whether a statement begins here without a semicolon before it."""
+    t, before = toks[i], toks[i - 1]
+    return t.kind in ("name", "text", "number") and t.text not in ("in", "instanceof", "as", "satisfies") and _ends_value(before) and "\n" in code[before.end : t.at]
 
 
 def analyse(code: str) -> list[tuple]:
     """(rule_id, severity, confidence, title, line, col, evidence, taint) of each unsafe call; line from 1, column from 0.
 
-    ``taint`` is the line and name of the source, where the first argument is a tainted name.
+    ``taint`` is the line and name of the source, where the first argument is a tainted name. Calls by way of ``?.``
+    are left out, as are methods and signatures that only bear such a name.
     """
     toks = tokens(code)
     tainted: dict[str, int] = {}
     found: list[tuple] = []
+    starts = [0, *(m.end() for m in re.finditer("\n", code))]
     text_of = lambda a, b: code[toks[a].at : toks[b - 1].end] if b > a else ""
-    line_of = lambda at: code.count("\n", 0, at) + 1
+    line_of = lambda at: bisect.bisect_right(starts, at)
 
     def put(rule_id: str, confidence: int, title: str, i: int, taint: tuple | None = None, severity: str | None = None) -> None:
-        at = toks[i].at
-        begin = code.rfind("\n", 0, at) + 1
-        end = code.find("\n", at)
-        line = code[begin : end if end >= 0 else len(code)].strip()
-        found.append((rule_id, severity or R.by_id(rule_id).severity, confidence, title, line_of(at), at - begin, sanitize_text(line[:400]), taint))
+        line = line_of(toks[i].at)
+        begin = starts[line - 1]
+        text = code[begin : starts[line] - 1 if line < len(starts) else len(code)].strip()
+        found.append((rule_id, severity or R.by_id(rule_id).severity, confidence, title, line, toks[i].at - begin, sanitize_text(text), taint))
 
     for i, t in enumerate(toks):
         if t.kind != "name":
             continue
         before, after = toks[i - 1].text if i else "", toks[i + 1].text if i + 1 < len(toks) else ""
         member = before in (".", "?.")
-        if t.text in ("const", "let", "var") and i + 2 < len(toks) and toks[i + 1].kind == "name":
-            j = i + 2
-            while j < len(toks) and toks[j].text not in ("=", ";") and j < i + 20:
-                j += 1
-            if j < len(toks) and toks[j].text == "=":
-                k, depth = j + 1, 0
-                while k < len(toks) and not (depth == 0 and (toks[k].text in (";", ",") or code.count("\n", toks[k - 1].end, toks[k].at) and k > j + 1 and toks[k].kind == "name")):
-                    depth += (toks[k].text in "([{") - (toks[k].text in ")]}") if toks[k].kind == "sign" else 0
-                    if depth < 0:
-                        break
-                    k += 1
-                value = text_of(j + 1, k)
-                if _SOURCE.search(value) or k == j + 2 and toks[j + 1].kind == "name" and toks[j + 1].text in tainted:
-                    tainted[toks[i + 1].text] = line_of(toks[i].at)
-        if t.text == "innerHTML" and member and after == "=":
-            put("SEC-004", 85, "markup set from text", i)
+        if t.text in ("const", "let", "var") and not member:
+            for name, a, b in _declared(toks, i, code):
+                if _SOURCE.search(text_of(a, b)) or b == a + 1 and toks[a].kind == "name" and toks[a].text in tainted:
+                    tainted[toks[name].text] = line_of(toks[name].at)
+        if t.text == "innerHTML" and member and after in _ASSIGNMENTS:
+            put("SEC-004", 85, "markup set from text", _chain(toks, i)[0])
         elif t.text == "dangerouslySetInnerHTML" and not member and after == "=":
             put("SEC-004", 90, "markup set from text in a component", i)
-        elif t.text == "Function" and before == "new" and after == "(":
-            put("SEC-002", 95, "code made from text", i)
-        if after != "(" or before == "function":
+        elif t.text == "Function" and before == "new":
+            put("SEC-002", 95, "code made from text", i - 1)
+        if t.text not in _CALLED or before == "function":
+            continue
+        opening = _call_bracket(toks, i)
+        if opening is None:
             continue
+        head, optional, constructed = _chain(toks, i)
+        parts, end = _arguments(toks, opening)
+        if optional or constructed or not member and _is_definition(toks, i, end, parts):
+            continue
+        owner = toks[i - 2] if member else None
+        # a named object is a plain name; anything else (a call, a member, this) has none
+        named = owner.text if owner is not None and owner.kind == "name" and owner.text not in ("this", "super") and head == i - 2 else None
+        a, b = parts[0] if parts else (0, 0)
+        filled = b == a + 1 and toks[a].kind == "template" and "${" in toks[a].text
         if t.text == "eval" and not member:
-            put("SEC-002", 95, "text evaluated as code", i)
-        elif t.text in ("exec", "execSync"):
-            owner = toks[i - 2] if member and i >= 2 else None
-            if owner is not None and owner.kind == "name" and owner.text not in ("child_process", "cp"):
-                continue
-            parts, _ = _arguments(toks, i + 1)
-            confidence, taint = 70, None
-            if parts:
-                a, b = parts[0]
-                first = toks[a]
-                if b == a + 1 and first.kind == "name":
-                    confidence = 98 if first.text in tainted else 90
-                    taint = (tainted[first.text], first.text) if first.text in tainted else None
-                elif first.kind == "template" and "${" in first.text or any(x.text == "+" for x in toks[a:b]):
-                    confidence = 90
-            put("SEC-001", confidence, "shell command from input" if taint else "shell command put together" if confidence == 90 else "shell command", i, taint)
-        elif t.text in ("spawn", "spawnSync") and member:
-            parts, _ = _arguments(toks, i + 1)
-            if len(parts) >= 3 and re.search(r"shell\s*:\s*true", text_of(*parts[2])):
-                put("SEC-001", 85, "process started through a shell", i, severity="HIGH")
-        elif t.text in ("query", "raw") and member or t.text in ("query", "dbQuery") and not member:
-            parts, _ = _arguments(toks, i + 1)
-            if parts:
-                a, b = parts[0]
-                if toks[a].kind == "template" and b == a + 1 and "${" in toks[a].text or any(x.text == "+" for x in toks[a:b]):
-                    put("SEC-003", 90, "query text put together", i)
-        elif t.text == "createCipher" and member and i >= 2 and toks[i - 2].text == "crypto":
-            put("SEC-008", 95, "weak cipher", i)
+            put("SEC-002", 95, "text evaluated as code", head)
+        elif t.text in ("exec", "execSync") and parts and (not member or named in (None, "child_process", "cp")):
+            name = toks[a].text if b == a + 1 and toks[a].kind == "name" and toks[a].text not in ("this", "null", "true", "false") else None
+            taint = (tainted[name], name) if name in tainted else None
+            confidence = 98 if taint else 90 if name or filled or _operator(toks, a, b) else 70
+            put("SEC-001", confidence, "shell command from input" if taint else "shell command put together" if confidence == 90 else "shell command", head, taint)
+        elif t.text in ("spawn", "spawnSync") and member and len(parts) >= 3:
+            if re.search(r"shell\s*:\s*true", text_of(*parts[2])):
+                put("SEC-001", 85, "process started through a shell", head, severity="HIGH")
+        elif (t.text in ("query", "raw") if member else t.text in ("query", "dbQuery")) and parts:
+            if filled or _operator(toks, a, b) == "+":
+                put("SEC-003", 90, "query text put together", head)
+        elif t.text == "createCipher" and named == "crypto":
+            put("SEC-008", 95, "weak cipher", head)
     return found
 
 
+_CALLED = frozenset("eval exec execSync spawn spawnSync query raw dbQuery createCipher".split())
+
+
 def script_findings(files: DataFrame, keys: tuple[str, ...] = ("rel_path",), text: str = "text") -> DataFrame:
     """Findings of all JavaScript and TypeScript files, with a two-step taint path where input reaches a shell."""
     rows = files.where(F.col("language").isin("javascript", "typescript") & F.col(text).isNotNull()).select(*keys, F.col(text).alias("_text"))

@@ -8,30 +8,70 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Languages by extension and by file name.
+# The extensions of each language, and the file names of some.
 LANGUAGES = {
-    "javascript": "js mjs cjs jsx", "typescript": "ts mts cts tsx", "python": "py pyw", "php": "php phtml", "go": "go", "java": "java", "kotlin": "kt", "rust": "rs", "ruby": "rb", "c": "c h",
-    "cpp": "cpp cc cxx hpp", "csharp": "cs", "shell": "sh bash zsh", "powershell": "ps1 psm1", "batch": "bat cmd", "html": "html htm", "css": "css scss sass", "json": "json", "yaml": "yaml yml",
-    "xml": "xml", "sql": "sql", "terraform": "tf tfvars", "dockerfile": "dockerfile", "toml": "toml", "ini": "ini", "dotenv": "env", "properties": "properties",
-}
+    "javascript": ("js", "mjs", "cjs", "jsx"),
+    "typescript": ("ts", "mts", "cts", "tsx"),
+    "python": ("py", "pyw"),
+    "php": ("php", "phtml"),
+    "go": ("go",),
+    "java": ("java",),
+    "kotlin": ("kt",),
+    "rust": ("rs",),
+    "ruby": ("rb",),
+    "c": ("c", "h"),
+    "cpp": ("cpp", "cc", "cxx", "hpp"),
+    "csharp": ("cs",),
+    "shell": ("sh", "bash", "zsh"),
+    "powershell": ("ps1", "psm1"),
+    "batch": ("bat", "cmd"),
+    "html": ("html", "htm"),
+    "css": ("css", "scss", "sass"),
+    "json": ("json",),
+    "yaml": ("yaml", "yml"),
+    "xml": ("xml",),
+    "sql": ("sql",),
+    "terraform": ("tf", "tfvars"),
+    "dockerfile": ("dockerfile",),
+    "toml": ("toml",),
+    "ini": ("ini",),
+    "dotenv": ("env",),
+    "properties": ("properties",),
+}
 FILE_NAMES = {
-    "dockerfile": "Dockerfile", "yaml": "docker-compose.yml docker-compose.yaml", "makefile": "Makefile", "groovy": "Jenkinsfile", "ruby": "Vagrantfile Gemfile Rakefile",
-}
-
-# Names that tell a project's type, as manifest or lock file; the last three tell the type only.
+    "dockerfile": ("Dockerfile",),
+    "yaml": ("docker-compose.yml", "docker-compose.yaml"),
+    "makefile": ("Makefile",),
+    "groovy": ("Jenkinsfile",),
+    "ruby": ("Vagrantfile", "Gemfile", "Rakefile"),
+}
+
+# Names that tell a project's type, as manifest or lock file.
 MANIFESTS = {
-    "nodejs": "package.json", "python": "requirements.txt setup.py pyproject.toml Pipfile", "php": "composer.json", "go": "go.mod", "java": "pom.xml build.gradle build.gradle.kts", "ruby": "Gemfile", "rust": "Cargo.toml",
-}
+    "nodejs": ("package.json",),
+    "python": ("requirements.txt", "setup.py", "pyproject.toml", "Pipfile"),
+    "php": ("composer.json",),
+    "go": ("go.mod",),
+    "java": ("pom.xml", "build.gradle", "build.gradle.kts"),
+    "ruby": ("Gemfile",),
+    "rust": ("Cargo.toml",),
+}
 LOCKFILES = {
-    "nodejs": "package-lock.json yarn.lock pnpm-lock.yaml npm-shrinkwrap.json", "python": "poetry.lock Pipfile.lock", "php": "composer.lock", "go": "go.sum", "ruby": "Gemfile.lock", "rust": "Cargo.lock",
-}
+    "nodejs": ("package-lock.json", "yarn.lock", "pnpm-lock.yaml", "npm-shrinkwrap.json"),
+    "python": ("poetry.lock", "Pipfile.lock"),
+    "php": ("composer.lock",),
+    "go": ("go.sum",),
+    "ruby": ("Gemfile.lock",),
+    "rust": ("Cargo.lock",),
+}
 
 # Path parts that are never looked into, and ignored patterns.
-HARD_IGNORED = "node_modules .git .svn .hg coverage .cache .next .nuxt __pycache__"
+HARD_IGNORED = (
+    "node_modules", ".git", ".svn", ".hg", "coverage", ".cache", ".next", ".nuxt", "__pycache__",
+)
 DEFAULT_IGNORED = (
-    "node_modules/** node_modules .git/** .git .svn/** .svn .hg/** .hg dist/** dist build/** build coverage/** coverage .cache/** .cache .next/** .next .nuxt/** .nuxt "
-    "vendor/** vendor target/** target *.pyc __pycache__/** .turbo/** .gradle/** out/** bin/** obj/**"
-)
+    "node_modules/**", "node_modules", ".git/**", ".git", ".svn/**", ".svn", ".hg/**", ".hg", "dist/**", "dist", "build/**", "build", "coverage/**", "coverage", ".cache/**", ".cache", ".next/**", ".next", ".nuxt/**", ".nuxt", "vendor/**", "vendor", "target/**", "target", "*.pyc", "__pycache__/**", ".turbo/**", ".gradle/**", "out/**", "bin/**", "obj/**",
+)
 IGNORE_FILES = (".siltlineignore", ".gitignore")
 
 
@@ -48,8 +88,8 @@ def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(basename(path), r"^.+\.([^.]*)$", 1))
 
 
-def _lookup(table: dict[str, str]) -> Column:
-    pairs = [(name, value) for value, names in table.items() for name in names.split()]
+def _lookup(table: dict[str, tuple[str, ...]]) -> Column:
+    pairs = [(name, value) for value, names in table.items() for name in names]
     return F.create_map(*[F.lit(x) for pair in pairs for x in pair])
 
 
@@ -67,7 +107,7 @@ def language(path: Column) -> Column:
 def project_type(path: Column) -> Column:
     """Types that this file's name gives, as an array."""
     base = basename(path)
-    kinds = [F.when(base.isin(*(MANIFESTS.get(t, "") + " " + LOCKFILES.get(t, "")).split()), t) for t in dict.fromkeys([*MANIFESTS, *LOCKFILES])]
+    kinds = [F.when(base.isin(*MANIFESTS.get(t, ()), *LOCKFILES.get(t, ())), t) for t in dict.fromkeys([*MANIFESTS, *LOCKFILES])]
     kinds += [
         F.when(base.rlike(r"\.(?:csproj|sln)$"), "csharp"),
         F.when(F.lower(base).startswith("dockerfile") | base.isin("docker-compose.yml", "docker-compose.yaml"), "docker"),
@@ -77,15 +117,15 @@ def project_type(path: Column) -> Column:
 
 
 def is_manifest(path: Column) -> Column:
-    return basename(path).isin(*" ".join(MANIFESTS.values()).split()) | basename(path).rlike(r"\.(?:csproj|sln)$")
+    return basename(path).isin(*[name for names in MANIFESTS.values() for name in names]) | basename(path).rlike(r"\.(?:csproj|sln)$")
 
 
 def is_lockfile(path: Column) -> Column:
-    return basename(path).isin(*" ".join(LOCKFILES.values()).split())
+    return basename(path).isin(*[name for names in LOCKFILES.values() for name in names])
 
 
 def in_hard_ignored(path: Column) -> Column:
-    return F.arrays_overlap(F.split(normalised(path), "/"), F.array(*[F.lit(x) for x in HARD_IGNORED.split()]))
+    return F.arrays_overlap(F.split(normalised(path), "/"), F.array(*[F.lit(x) for x in HARD_IGNORED]))
 
 
 def ignore_regex(pattern: str) -> str | None:
@@ -111,13 +151,13 @@ def ignore_regex(pattern: str) -> str | None:
 
 def ignored(path: Column, patterns: Iterable[str] = ()) -> Column:
     """Hard-ignored parts, the default patterns and the given ones, as one regular expression."""
-    rules = [r for r in map(ignore_regex, [*DEFAULT_IGNORED.split(), *patterns]) if r]
+    rules = [r for r in map(ignore_regex, [*DEFAULT_IGNORED, *patterns]) if r]
     return in_hard_ignored(path) | normalised(path).rlike("|".join(rules))
 
 
 def ignores(path: str, patterns: Iterable[str] = ()) -> bool:
     """The same for one path, on the driver."""
     norm = path.replace("\\", "/")
-    if set(norm.split("/")) & set(HARD_IGNORED.split()):
+    if set(norm.split("/")) & set(HARD_IGNORED):
         return True
-    return any(re.search(r, norm) for r in map(ignore_regex, [*DEFAULT_IGNORED.split(), *patterns]) if r)
+    return any(re.search(r, norm) for r in map(ignore_regex, [*DEFAULT_IGNORED, *patterns]) if r)

@@ -58,23 +58,35 @@ _VIRTUAL = f"(SELECT doc_id, source, concat_ws(chr(10), text, {_case(2)}) AS tex
 _VIRTUAL_LINES = f"(SELECT doc_id, source, rel_path, language, unnest(string_split_regex(text, '\\r?\\n')) AS text, generate_subscripts(string_split_regex(text, '\\r?\\n'), 1) AS line FROM {_VIRTUAL})"
 _T = "regexp_replace(text, '^\\s+|\\s+$', '', 'g')"
 
-# Scripts, one for each document: text, then rule, severity, confidence, line, column and steps of what is in it.
+# Scripts, one for each document: text, then rule, severity, confidence, line, column and steps of what is in it. They follow from
+# what a syntax tree gives: a call stands at the head of its chain, an assignment at its left side, a construction at its new.
 _SCRIPTS = (
     ("const a = req.query.name;\nexec(a);", ("SEC-001", "CRITICAL", 98, 2, 0, 2)),
-    ("const a = req.body.x;\nconst b = a;\nchild_process.execSync(b);", ("SEC-001", "CRITICAL", 98, 3, 14, 2)),
+    ("const a = req.body.x;\nconst b = a;\nchild_process.execSync(b);", ("SEC-001", "CRITICAL", 98, 3, 0, 2)),
     ("exec('ls ' + dir);", ("SEC-001", "CRITICAL", 90, 1, 0, 0)),
     ("exec('ls');", ("SEC-001", "CRITICAL", 70, 1, 0, 0)),
     ("db.exec(sql); obj.execute(x); // eval(y)\nlet s = 'eval(z)';", None),
-    ("cp.spawn('ls', [], { shell: true });", ("SEC-001", "HIGH", 85, 1, 3, 0)),
+    ("cp.spawn('ls', [], { shell: true });", ("SEC-001", "HIGH", 85, 1, 0, 0)),
     ("cp.spawn('ls', []);", None),
-    ("db.query(`select ${x}`);", ("SEC-003", "CRITICAL", 90, 1, 3, 0)),
+    ("db.query(`select ${x}`);", ("SEC-003", "CRITICAL", 90, 1, 0, 0)),
     ("db.query('select 1', [x]);", None),
-    ("crypto.createCipher('des', k);", ("SEC-008", "MEDIUM", 95, 1, 7, 0)),
-    ("let f = new Function('return 1');", ("SEC-002", "CRITICAL", 95, 1, 12, 0)),
-    ("el.innerHTML = text; if (el.innerHTML == '') {}", ("SEC-004", "HIGH", 85, 1, 3, 0)),
+    ("  crypto.createCipher('des', k);", ("SEC-008", "MEDIUM", 95, 1, 2, 0)),
+    ("let f = new Function('return 1');", ("SEC-002", "CRITICAL", 95, 1, 8, 0)),
+    ("el.innerHTML = text; if (el.innerHTML == '') {}", ("SEC-004", "HIGH", 85, 1, 0, 0)),
     ("return <div dangerouslySetInnerHTML={{__html: x}} />;", ("SEC-004", "HIGH", 90, 1, 12, 0)),
     ("if (a / b > c / d) { eval(code); }", ("SEC-002", "CRITICAL", 95, 1, 21, 0)),
-)
+    ("exec();\nchild_process.exec();", None),
+    ("let n = 1,\n  cmd: string = location.search;\nexec(cmd);", ("SEC-001", "CRITICAL", 98, 3, 0, 2)),
+    ("const r = await this.pool\n  .client()\n  .query<Row>('select ' + id);", ("SEC-003", "CRITICAL", 90, 1, 16, 0)),
+    ("db.query(build(a + b)); db.query(a + b > c);", None),
+    ("this.runner.exec(f(a + b));", ("SEC-001", "CRITICAL", 70, 1, 0, 0)),
+    ("new Runner('a').exec(x * 2);", ("SEC-001", "CRITICAL", 90, 1, 0, 0)),
+    ("class R { exec(cmd) { return cmd; } query(sql: string): void {} }", None),
+    ("tool?.exec(x); new cp.exec(y);", None),
+    ("a.b[0].innerHTML += text;", ("SEC-004", "HIGH", 85, 1, 0, 0)),
+    ("db.raw(ok ? 'a' + b : c); dbQuery('a' + (b || c));", ("SEC-003", "CRITICAL", 90, 1, 26, 0)),
+    ("let s\ns = req.query.x\nexec(s)", ("SEC-001", "CRITICAL", 90, 3, 0, 0)),
+)
 
 
 def virtual_scripts(spark: SparkSession, d: str) -> DataFrame:
@@ -188,7 +200,7 @@ def ignore_flags(spark, d):
 
 _IGNORE_SQL = (
     "SELECT file_id, len(list_intersect(string_split(replace(rel_path, '\\', '/'), '/'), ["
-    + ", ".join(map(q, paths.HARD_IGNORED.split()))
+    + ", ".join(map(q, paths.HARD_IGNORED))
     + "])) > 0 OR "
     + " OR ".join(
         [f"(replace(rel_path, '\\', '/') || '/') LIKE {q(p + '/%')}" for p in "node_modules .git .svn .hg dist build coverage .cache .next .nuxt vendor target __pycache__ .turbo .gradle out bin obj docs tests".split()]
@@ -207,14 +219,14 @@ def path_parts(spark, d):
 _BASE = "regexp_extract(replace(path, '\\', '/'), '[^/]*$')"
 _LANGUAGE_CASE = (
     "CASE "
-    + " ".join(f"WHEN base IN ({', '.join(map(q, names.split()))}) THEN {q(value)}" for value, names in paths.FILE_NAMES.items())
+    + " ".join(f"WHEN base IN ({', '.join(map(q, names))}) THEN {q(value)}" for value, names in paths.FILE_NAMES.items())
     + " WHEN starts_with(lower(base), 'dockerfile') THEN 'dockerfile' WHEN starts_with(base, '.env') THEN 'dotenv' "
-    + " ".join(f"WHEN ext IN ({', '.join(map(q, names.split()))}) THEN {q(value)}" for value, names in paths.LANGUAGES.items())
+    + " ".join(f"WHEN ext IN ({', '.join(map(q, names))}) THEN {q(value)}" for value, names in paths.LANGUAGES.items())
     + " END"
 )
 
 _TYPE_CASES = ", ".join(
-    [f"CASE WHEN base IN ({', '.join(map(q, (paths.MANIFESTS.get(t, '') + ' ' + paths.LOCKFILES.get(t, '')).split()))}) THEN {q(t)} END" for t in dict.fromkeys([*paths.MANIFESTS, *paths.LOCKFILES])]
+    [f"CASE WHEN base IN ({', '.join(map(q, (*paths.MANIFESTS.get(t, ()), *paths.LOCKFILES.get(t, ()))))}) THEN {q(t)} END" for t in dict.fromkeys([*paths.MANIFESTS, *paths.LOCKFILES])]
     + ["CASE WHEN regexp_matches(base, '\\.(?:csproj|sln)$') THEN 'csharp' END", "CASE WHEN starts_with(lower(base), 'dockerfile') OR base IN ('docker-compose.yml', 'docker-compose.yaml') THEN 'docker' END", "CASE WHEN regexp_matches(base, '\\.tf(?:vars)?$') THEN 'terraform' END"]
 )
 
@@ -233,7 +245,7 @@ def file_metrics(spark, d):
     )
 
 
-_MANIFEST_NAMES = ", ".join(map(q, " ".join(paths.MANIFESTS.values()).split()))
+_MANIFEST_NAMES = ", ".join(map(q, [name for names in paths.MANIFESTS.values() for name in names]))
 
 QUERIES = {
     **{name: _rules_query(rules) for name, rules in _SETS.items()},
