@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siltline.functions.paths import basename
-from siltline.functions.text import is_placeholder, sanitized, shannon_entropy, split_lines, trimmed
+from siltline.functions.text import is_placeholder, mask_secret, sanitized, shannon_entropy, split_lines, trimmed
 from siltline.operators.findings import adjusted_confidence
 from siltline.plans import rules as R
 
@@ -241,6 +241,12 @@ def binary_findings(files: DataFrame, keys: Sequence[str] = ("rel_path",)) -> Da
     return a.unionByName(b)
 
 
+def signature_findings(matches: DataFrame) -> DataFrame:
+    """One finding for each match (rule, rel_path) of the outside signature scanner."""
+    rule = R.Rule("MAL-001", "yara", "Malware Indicator", "HIGH", 90, "signature matched", cwe=("CWE-506",))
+    return matches.select("rel_path", *_finding(rule, F.concat(F.lit("signature "), F.col("rule")), title=F.concat(F.lit("signature matched: "), F.col("rule"))))
+
+
 def archive_findings(files: DataFrame, keys: Sequence[str] = ("rel_path",)) -> DataFrame:
     """ZIP archives that unpack to far more than their size, or outside of their folder."""
     from siltline.functions.binary import zip_report
@@ -252,7 +258,12 @@ def archive_findings(files: DataFrame, keys: Sequence[str] = ("rel_path",)) -> D
     return zips.where("z.bomb").select(*keys, *_finding(bomb, note)).unionByName(zips.where("z.traversal").select(*keys, *_finding(outside, note, order=1)))
 
 
+def masked_values(secrets: DataFrame) -> DataFrame:
+    """Findings whose evidence is a bare secret, with all but its ends starred."""
+    return secrets.withColumn("evidence", mask_secret(F.col("evidence")))
+
+
 def complete(findings: DataFrame) -> DataFrame:
-    """All columns of a finding: redacted evidence and the rest filled in."""
+    """All columns of a finding. Evidence leaves the detectors redacted: no sink sees what was found in clear."""
     out = findings.drop("entropy") if "entropy" in findings.columns else findings
-    return out.withColumn("redacted_evidence", sanitized(F.col("evidence"))).withColumn("remediation", F.lit(None).cast("string")).withColumn("detection_method", F.lit(None).cast("string"))
+    return out.withColumn("evidence", sanitized(F.col("evidence"))).withColumn("redacted_evidence", F.col("evidence")).withColumn("remediation", F.lit(None).cast("string")).withColumn("detection_method", F.lit(None).cast("string"))

@@ -16,11 +16,19 @@ from siltline.plans import rules as R
 
 def git_log(root: str, commits: int = 30, timeout: float = 15, limit: int = 10 * 2**20) -> str | None:
     """The log with patches of the last commits; None if git fails, takes too long or prints more than the limit."""
+    return read_log(root, commits, timeout, limit)[1]
+
+
+def read_log(root: str, commits: int = 30, timeout: float = 15, limit: int = 10 * 2**20) -> tuple[dict, str | None]:
+    """(run, log): how the reading fared, as a row of a scan's runs, and the log."""
+    run = {"scanner": "git", "status": "completed", "commits": commits}
     try:
         done = subprocess.run(["git", "-C", root, "log", "-p", "-n", str(commits), "--no-color"], capture_output=True, timeout=timeout, check=True)
-    except (OSError, subprocess.SubprocessError):
-        return None
-    return done.stdout.decode("utf-8", "replace") if len(done.stdout) <= limit else None
+    except (OSError, subprocess.SubprocessError) as error:
+        return run | {"status": "skipped", "message": f"no history: {type(error).__name__}"}, None
+    if len(done.stdout) > limit:
+        return run | {"status": "incomplete", "message": f"history of {len(done.stdout)} bytes is above the limit of {limit} and was left out"}, None
+    return run, done.stdout.decode("utf-8", "replace")
 
 
 def log_frame(spark: SparkSession, text: str | None) -> DataFrame:

@@ -38,28 +38,51 @@ def ignore_patterns(root: str, names: Sequence[str] = paths.IGNORE_FILES) -> lis
     return out
 
 
-def walk(root: str, patterns: Sequence[str] = (), limits: Limits = Limits()) -> Iterator[tuple[str, str, int, int]]:
+@dataclass
+class Coverage:
+    """What a walk took, and what its limits cut off."""
+
+    files: int = 0
+    bytes: int = 0
+    too_large: int = 0
+    too_deep: int = 0
+    stopped: str | None = None
+
+    def run(self) -> dict:
+        """The walk as a row of a scan's runs: incomplete if anything was cut off."""
+        cuts = [f"{self.too_large} files above the size limit"] * bool(self.too_large) + [f"{self.too_deep} folders below the depth limit"] * bool(self.too_deep) + [f"stopped at the limit of {self.stopped}"] * bool(self.stopped)
+        return {"scanner": "walk", "status": "incomplete" if cuts else "completed", "files": self.files, "bytes": self.bytes} | ({"message": "; ".join(cuts)} if cuts else {})
+
+
+def walk(root: str, patterns: Sequence[str] = (), limits: Limits = Limits(), coverage: Coverage | None = None) -> Iterator[tuple[str, str, int, int]]:
     """(path, rel_path, size, mode) in directory order; symbolic links are never followed.
 
-    The caps on number and sum stop the walk after the file that reaches them; larger files than the limit are left out.
+    The caps on number and sum stop the walk after the file that reaches them; larger files than the limit are left
+    out. ``coverage`` is filled with what was taken and what was cut off.
     """
     rules = [*ignore_patterns(root), *patterns]
-    count = total = 0
+    seen = coverage if coverage is not None else Coverage()
     for folder, folders, names in os.walk(root, followlinks=False):
         rel = os.path.relpath(folder, root).replace(os.sep, "/")
         depth = 0 if rel == "." else rel.count("/") + 1
         prefix = "" if rel == "." else rel + "/"
-        folders[:] = sorted(f for f in folders if depth < limits.depth and not os.path.islink(os.path.join(folder, f)) and not paths.ignores(prefix + f, rules))
+        folders[:] = sorted(f for f in folders if not os.path.islink(os.path.join(folder, f)) and not paths.ignores(prefix + f, rules))
+        if depth >= limits.depth:
+            seen.too_deep += len(folders)
+            folders.clear()
         for name in sorted(names):
             path = os.path.join(folder, name)
             if os.path.islink(path) or not os.path.isfile(path) or paths.ignores(prefix + name, rules):
                 continue
             info = os.stat(path)
             if info.st_size > limits.file_bytes:
+                seen.too_large += 1
                 continue
             yield path, prefix + name, info.st_size, info.st_mode & 0o777
-            count, total = count + 1, total + info.st_size
-            if count >= limits.files or total >= limits.total_bytes:
+            seen.files, seen.bytes = seen.files + 1, seen.bytes + info.st_size
+            reached = "files" if seen.files >= limits.files else "bytes" if seen.bytes >= limits.total_bytes else None
+            if reached:
+                seen.stopped = reached
                 return
 
 
@@ -88,9 +111,12 @@ def describe(files: DataFrame) -> DataFrame:
     )
 
 
-def read_tree(spark: SparkSession, root: str, patterns: Sequence[str] = (), limits: Limits = Limits()) -> DataFrame:
-    """The described files below a root; unreadable files are left out, a missing root gives an empty table."""
-    rows = list(walk(root, patterns, limits))
+def read_tree(spark: SparkSession, root: str, patterns: Sequence[str] = (), limits: Limits = Limits(), coverage: Coverage | None = None) -> DataFrame:
+    """The described files below a root; unreadable files are left out, a missing root gives an empty table.
+
+    Tasks read the files by the paths that the driver lists: on a cluster the root must be a folder that all mount.
+    """
+    rows = list(walk(root, patterns, limits, coverage))
     if not rows:
         return describe(spark.createDataFrame([], _FILES))
     listed = spark.createDataFrame(rows, "path string, rel_path string, size bigint, mode int").repartition(max(1, min(len(rows), 4 * spark.sparkContext.defaultParallelism)))
