@@ -107,10 +107,12 @@ def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, se
     (null or empty text) and with a null source aren't chosen. Of the deliveries of a doc_id the one loaded last counts
     (without loaded_at, or at a tie, the one with the greatest hash).
     """
-    order = F.struct(F.col("loaded_at").isNotNull(), "loaded_at", F.xxhash64("source", "text")) if "loaded_at" in documents.columns else F.xxhash64("source", "text")
-    latest = documents.groupBy("doc_id").agg(F.max_by(F.struct("source", "text"), order).alias("d")).select("doc_id", "d.*")
-    keyed = latest.where(F.col("source").isNotNull())
-    sizes = cut(encode_documents(keyed, keep=("doc_id", "source"), path=path, count=True).where("tokens > 0"))
+    at = F.col("loaded_at") if "loaded_at" in documents.columns else F.lit(None).cast("timestamp")
+    rows = documents.select("doc_id", "source", "text", at.alias("_at"), F.xxhash64("source", "text").alias("_hash"))
+    # texts become numbers where they are read; only those are shuffled to tell deliveries apart
+    counted = encode_documents(rows, keep=("doc_id", "source", "_at", "_hash"), path=path, count=True)
+    latest = F.max_by(F.struct("source", "tokens"), F.struct(F.col("_at").isNotNull(), "_at", "_hash")).alias("d")
+    sizes = cut(counted.groupBy("doc_id").agg(latest).select("doc_id", "d.*").where("source is not null and tokens > 0"))
     rates = cut(mix_rates(sizes, targets, total))
     used = rates.where("copies > 0").select("plan", "source", "copies", "documents")
     # a row per plan and source: the targets' own size, which grows with plans, not with documents
