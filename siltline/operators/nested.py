@@ -67,7 +67,7 @@ def label_nodes(root: object, lists: frozenset[str], wanted: Callable[[str], boo
             value = [value]
         kind = "object" if isinstance(value, dict) else "list" if isinstance(value, list) else "null" if value is None else "bool" if isinstance(value, bool) else "number" if isinstance(value, (int, float)) else "string"
         if wanted(path):
-            text = value if kind == "string" else None if kind == "null" else json.dumps(value, ensure_ascii=False)
+            text = value if kind == "string" else None if kind == "null" else json.dumps(value, ensure_ascii=False, separators=(",", ":"))
             yield dewey, path, kind, text
         if kind == "object":
             # an object's members are numbered in the order in which they stand

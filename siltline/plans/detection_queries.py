@@ -179,6 +179,12 @@ def _meta(spark, d):
     return _files(spark, d).drop("content", "discovered_at").dropDuplicates(["file_id"])
 
 
+def _sniffed(spark, d):
+    """All files with the flag of a program under another name, told from content and name."""
+    files = _files(spark, d)
+    return files.withColumn("is_disguised", binary.is_disguised(binary.sniff(F.coalesce("content", F.lit(b"")))["is_executable"], paths.extension(F.col("rel_path"))))
+
+
 def _finding_sql(rule_id: str, source: str, where: str, line: str = "NULL", confidence: str | None = None, severity: str | None = None) -> str:
     rule = R.by_id(rule_id)
     return f"SELECT DISTINCT file_id, rel_path, {q(rule_id)} AS rule_id, {q(severity or rule.severity)} AS severity, CAST({confidence or rule.confidence} AS INTEGER) AS confidence, CAST({line} AS INTEGER) AS line FROM {source} WHERE {where}"
@@ -247,7 +253,21 @@ def file_metrics(spark, d):
 
 _MANIFEST_NAMES = ", ".join(map(q, [name for names in paths.MANIFESTS.values() for name in names]))
 
+#: Scanners whose findings over all files are united; each of them is a query of its own.
+_UNITED = {"secrets": ("secret_findings", "multiline_private_key"), "sast": ("attack_chain",), "configuration": ("environment_files", "dockerfile_last_from"), "suspicious": ("large_literals", "decoded_evaluation"), "permissions": ("permissions_mode",), "malware": ("disguised_files",), "binaries": ("binary_findings",)}
+
+
+def scanner_union(spark, d):
+    """Findings of several scanners as one table, whose columns differ, and what each adds to it."""
+    parts = [QUERIES[name](spark, d).withColumn("scanner", F.lit(scanner)) for scanner, names in _UNITED.items() for name in names]
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part, allowMissingColumns=True)
+    return every.groupBy("scanner").agg(F.count("*").alias("n"), F.countDistinct("file_id").alias("files"), F.countDistinct("rule_id").alias("rules"), F.max("confidence").alias("most"))
+
+
 QUERIES = {
+    "scanner_union": scanner_union,
     **{name: _rules_query(rules) for name, rules in _SETS.items()},
     "secret_findings": secrets,
     "secret_counts": lambda s, d: secrets(s, d).groupBy("rule_id").agg(F.count("*").alias("n"), F.countDistinct("value").alias("n_values")),
@@ -260,12 +280,13 @@ QUERIES = {
     "large_literals": lambda s, d: _shown(detect.large_literals(text_files(s, d), KEYS), "evidence"),
     "decoded_evaluation": lambda s, d: _shown(detect.decoded_evaluation(text_files(s, d), KEYS)),
     "permissions_mode": lambda s, d: _shown(detect.writable_files(_meta(s, d), KEYS), "evidence"),
-    "disguised_files": lambda s, d: _shown(detect.disguised_files(_meta(s, d), KEYS)),
+    "disguised_files": lambda s, d: _shown(detect.disguised_files(_sniffed(s, d), KEYS)),
     "threat_hash_join": threat_join,
     "zip_inspect": lambda s, d: _files(s, d).select("file_id", binary.zip_report("content").alias("z")).select("file_id", "z.is_archive", "z.entries", "z.uncompressed", "z.bomb", "z.traversal").distinct(),
     "magic_sniff": lambda s, d: _files(s, d).select("file_id", binary.sniff(F.col("content")).alias("m")).select("file_id", "m.type", "m.is_executable", "m.is_binary").distinct(),
     "printable_strings": lambda s, d: _files(s, d).where("is_binary").select("file_id", binary.printable_strings(F.col("content")).alias("t")).select("file_id", F.size("t").cast("bigint").alias("n"), F.array_join(F.slice("t", 1, 3), "|").alias("first")).distinct(),
     "binary_findings": lambda s, d: detect.binary_findings(_files(s, d), KEYS).select("file_id", "rel_path", "rule_id", "severity", "confidence").distinct(),
+    "archive_findings": lambda s, d: detect.archive_findings(_files(s, d), KEYS).select("file_id", "rel_path", "rule_id", "severity", "confidence").distinct(),
     "content_hash": lambda s, d: _files(s, d).select("file_id", F.sha2("content", 256).alias("sha"), (F.lower("sha256") == F.sha2("content", 256)).alias("agrees")).distinct(),
     "path_functions": path_parts,
     "ignore_filter": ignore_flags,
@@ -285,6 +306,18 @@ _CHAIN = {
     "net": f"regexp_matches(text, {q(detect._SENDS)})",
     "run": f"regexp_matches(text, {q(detect._RUNS)})",
 }
+EVALUATED = (
+    "NOT regexp_matches(rel_path, '\\.min\\.js$|\\.bundle\\.js$|\\.min\\.css$') AND (regexp_matches(text, " + q(r"(?i)eval\s*\(\s*(?:String\.fromCharCode|atob|Buffer\.from\s*\([^)]*['\"]base64['\"]\))")
+    + ") OR regexp_matches(text, " + q(r"(?i)\b(?:Function|eval)\s*\(\s*[\"']\\x[0-9a-fA-F]{2}") + ") OR (contains(text, 'String.fromCharCode') AND regexp_matches(text, '\\beval\\s*\\(')))"
+)
+
+
+def chain_sql(source: str, keys: str) -> str:
+    steps = "'1. reads credentials' || CASE WHEN b THEN '; 2. encodes them; 3. talks to the network' ELSE '; 2. talks to the network' END || CASE WHEN r AND b THEN '; 4. runs code' WHEN r THEN '; 3. runs code' ELSE '' END"
+    tests = f"{_CHAIN['cred']} AS a, {_CHAIN['enc']} AS b, {_CHAIN['net']} AS n, {_CHAIN['run']} AS r"
+    return f"WITH c AS (SELECT {keys}, {tests} FROM {source} WHERE language IN ('javascript', 'typescript')) SELECT DISTINCT {keys}, 'MAL-CHAIN-001' AS rule_id, 'CRITICAL' AS severity, CASE WHEN r THEN 99 ELSE 96 END AS confidence, 1 AS line, {steps} AS evidence FROM c WHERE a AND n"
+
+
 _TEMPLATE = "regexp_matches(rel_path, '(?i)\\.(?:example|sample|template|dist|default|test)$|(?:example|sample|template)\\.env$')"
 _SECRET_FILE = "(regexp_matches(base, '(?i)^\\.env(?:\\.(?:local|production|prod|development|dev|staging|stage|secret|vault))?$') OR contains(rel_path, 'id_rsa') OR regexp_matches(base, '\\.(?:key|pem)$') OR base = '.npmrc')"
 _MODE = "'mode ' || CASE WHEN mode & 511 = 0 THEN '0' ELSE ltrim(CAST((mode & 511) >> 6 AS VARCHAR) || CAST(((mode & 511) >> 3) & 7 AS VARCHAR) || CAST(mode & 7 AS VARCHAR), '0') END AS evidence"
@@ -306,7 +339,13 @@ def hidden_contacts(column: str) -> str:
 
 _SCRIPT_ROWS = ", ".join(f"({i}, {q(x[1][0])}, {q(x[1][1])}, {', '.join(map(str, x[1][2:]))})" for i, x in enumerate(_SCRIPTS) if x[1])
 
+# Runs of printable bytes, found among pairs of hex digits with a blank behind each.
+_RUNS_SQL = "SELECT DISTINCT file_id, rel_path, is_binary, is_executable, list_transform(regexp_extract_all(regexp_replace(hex(content), '(..)', '\\1 ', 'g'), '(?:(?:[2-6][0-9A-F]|7[0-9A-E]) ){5,}')[1:3000], lambda m: decode(unhex(replace(m, ' ', '')))) AS t FROM files"
+_COMMAND = r"(?i)powershell.*-(?:enc|encodedcommand)|IEX\s*\(New-Object|cmd\.exe\s*/c|nc\s+-e\s+/bin/sh|/bin/bash\s+-i|HKEY_LOCAL_MACHINE\\Software\\Microsoft\\Windows\\CurrentVersion\\Run"
+
 ORACLES = {
+    "printable_strings": f"SELECT file_id, len(t) AS n, array_to_string(t[1:3], '|') AS first FROM ({_RUNS_SQL}) WHERE is_binary",
+    "binary_findings": f"WITH r AS ({_RUNS_SQL}) SELECT DISTINCT file_id, rel_path, 'MAL-005' AS rule_id, 'LOW' AS severity, 60 AS confidence FROM r WHERE is_binary AND regexp_matches(regexp_extract(replace(rel_path, '\\', '/'), '[^/]*$'), '(?i)\\.(?:exe|dll|so|dylib|bin)$') UNION ALL SELECT DISTINCT file_id, rel_path, 'MAL-001', 'CRITICAL', 90 FROM r WHERE (is_binary OR is_executable) AND regexp_matches(array_to_string(t, chr(10)), {q(_COMMAND)})",
     "js_payloads": f"SELECT doc_id, rule_id, severity, CAST(confidence AS INTEGER) AS confidence, CAST(line AS INTEGER) AS line, CAST(col AS INTEGER) AS col, CAST(steps AS INTEGER) AS steps FROM documents JOIN (VALUES {_SCRIPT_ROWS}) v(i, rule_id, severity, confidence, line, col, steps) ON doc_id % {len(_SCRIPTS)} = i",
     **{name: _rules_sql(rules) for name, rules in _SETS.items()},
     "secret_findings": _secret_sql(),
@@ -314,7 +353,7 @@ ORACLES = {
     "multiline_private_key": "WITH b AS (SELECT file_id, rel_path, text, unnest(regexp_extract_all(text, "
     + q(R.KEY_BLOCK.pattern)
     + f")) AS block FROM {_TEXT_FILES}) SELECT DISTINCT file_id, rel_path, 'SECRET-012' AS rule_id, 'CRITICAL' AS severity, 99 AS confidence, CAST(len(string_split(substr(text, 1, instr(text, block) - 1), chr(10))) AS INTEGER) AS line FROM b",
-    "attack_chain": f"WITH c AS (SELECT file_id, rel_path, {_CHAIN['cred']} AS a, {_CHAIN['enc']} AS b, {_CHAIN['net']} AS n, {_CHAIN['run']} AS r FROM {_TEXT_FILES} WHERE language IN ('javascript', 'typescript')) SELECT DISTINCT file_id, rel_path, 'MAL-CHAIN-001' AS rule_id, 'CRITICAL' AS severity, CASE WHEN r THEN 99 ELSE 96 END AS confidence, 1 AS line, '1. reads credentials' || CASE WHEN b THEN '; 2. encodes them; 3. talks to the network' ELSE '; 2. talks to the network' END || CASE WHEN r AND b THEN '; 4. runs code' WHEN r THEN '; 3. runs code' ELSE '' END AS evidence FROM c WHERE a AND n",
+    "attack_chain": chain_sql(_TEXT_FILES, "file_id, rel_path"),
     "environment_files": _finding_sql("CONFIG-007", f"(SELECT *, {_RELBASE} FROM {_DISTINCT_FILES})", "starts_with(base, '.env') AND NOT regexp_matches(base, '\\.(?:example|sample|template)')"),
     "dockerfile_last_from": f"WITH l AS (SELECT file_id, rel_path, line, CASE WHEN starts_with({_T}, '#') THEN '' ELSE {_T} END AS t FROM {_LINES} WHERE language = 'dockerfile'), g AS (SELECT file_id, rel_path, max(CASE WHEN regexp_matches(t, '(?i)^FROM\\s+') THEN line END) AS f, max(CASE WHEN regexp_matches(t, '(?i)^USER\\s+') AND NOT regexp_matches(t, 'root|0') THEN line END) AS u, count(*) AS n FROM l GROUP BY ALL) SELECT file_id, rel_path, 'CONFIG-001' AS rule_id, 'MEDIUM' AS severity, 85 AS confidence, CAST(coalesce(f, 1) AS INTEGER) AS line FROM g WHERE n > 3 AND (u IS NULL OR u < coalesce(f, 0))",
     "large_literals": "WITH m AS (SELECT file_id, rel_path, unnest(regexp_extract_all(text, "
@@ -322,9 +361,9 @@ ORACLES = {
     + f", 1)) AS v, generate_subscripts(regexp_extract_all(text, "
     + q(r"['\"`]([A-Za-z0-9+/=]{400,})['\"`]")
     + f", 1), 1) AS n FROM {_TEXT_FILES} WHERE language IN ('javascript', 'typescript', 'python') AND NOT regexp_matches(rel_path, '\\.min\\.js$|\\.bundle\\.js$|\\.min\\.css$')), e AS (SELECT * FROM m WHERE {_ENTROPY.format(v='v')} > 5.5 QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY n) = 1) SELECT file_id, rel_path, 'SUSP-002' AS rule_id, 'MEDIUM' AS severity, 70 AS confidence, CAST(NULL AS INTEGER) AS line, v[1:30] || '... [' || length(v) || ' characters]' AS evidence FROM e",
-    "decoded_evaluation": _finding_sql("SUSP-001", _TEXT_FILES, "NOT regexp_matches(rel_path, '\\.min\\.js$|\\.bundle\\.js$|\\.min\\.css$') AND (regexp_matches(text, " + q(r"(?i)eval\s*\(\s*(?:String\.fromCharCode|atob|Buffer\.from\s*\([^)]*['\"]base64['\"]\))") + ") OR regexp_matches(text, " + q(r"(?i)\b(?:Function|eval)\s*\(\s*[\"']\\x[0-9a-fA-F]{2}") + ") OR (contains(text, 'String.fromCharCode') AND regexp_matches(text, '\\beval\\s*\\(')))"),
+    "decoded_evaluation": _finding_sql("SUSP-001", _TEXT_FILES, EVALUATED),
     "permissions_mode": f"WITH f AS (SELECT *, {_RELBASE} FROM {_DISTINCT_FILES}), w AS (SELECT * FROM f WHERE mode & 2 <> 0 AND NOT {_TEMPLATE}) SELECT file_id, rel_path, 'PERM-001' AS rule_id, 'HIGH' AS severity, 90 AS confidence, CAST(NULL AS INTEGER) AS line, {_MODE} FROM w WHERE {_SECRET_FILE} UNION ALL SELECT file_id, rel_path, 'PERM-002', 'MEDIUM', 75, NULL, {_MODE} FROM w WHERE NOT {_SECRET_FILE} AND (mode & 1 <> 0 OR regexp_matches(base, '\\.(?:sh|bash|py|pl|rb|js|ps1)$'))",
-    "disguised_files": _finding_sql("MAL-005", _DISTINCT_FILES, "is_disguised"),
+    "disguised_files": _finding_sql("MAL-005", f"(SELECT file_id, rel_path, hex(content) AS x, lower(regexp_extract(regexp_extract(replace(rel_path, '\\', '/'), '[^/]*$'), '^.+\\.([^.]*)$', 1)) AS ext FROM files)", f"({' OR '.join(f'starts_with(x, {q(m)})' for m, _, program in binary.MAGIC if program)}) AND ext NOT IN ({', '.join(map(q, binary.PROGRAM_EXTENSIONS))})"),
     "threat_hash_join": f"SELECT DISTINCT file_id, rel_path, 'MAL-006' AS rule_id, lower(coalesce(f.sha256, sha256(content))) AS sha256, 'confirmed_malware' AS classification FROM files f JOIN {_THREATS} t ON t.sha256 = lower(coalesce(f.sha256, sha256(content)))",
     "magic_sniff": "WITH h AS (SELECT DISTINCT file_id, hex(content) AS x FROM files), m AS (SELECT file_id, x, CASE "
     + " ".join(f"WHEN starts_with(x, '{magic}') THEN '{name}'" for magic, name, _ in binary.MAGIC)
@@ -342,3 +381,6 @@ ORACLES = {
     + ", d AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY source, rule_id, rel_path, line ORDER BY seq) = 1), w AS (SELECT source, category, severity, round(CASE severity WHEN 'CRITICAL' THEN 35.0 WHEN 'HIGH' THEN 15.0 WHEN 'MEDIUM' THEN 5.0 WHEN 'LOW' THEN 1.5 ELSE 0 END * greatest(0.3, confidence / 100.0) * 1000) AS p FROM d), g AS (SELECT source, CAST(least(100, floor(sum(p) / 1000 + 0.5)) AS INTEGER) AS score, count(*) AS findings, count_if(severity = 'CRITICAL') AS n_critical, count_if(severity = 'HIGH') AS n_high, count_if(category IN ('Malware', 'Malware Indicator', 'Suspicious')) AS malware, count_if(category = 'Security') AS sast, count_if(category = 'Configuration') AS configuration FROM w GROUP BY source) SELECT *, CASE WHEN score > 80 THEN 'F' WHEN score > 60 THEN 'D' WHEN score > 35 THEN 'C' WHEN score > 15 THEN 'B' ELSE 'A' END AS grade FROM g",
     "line_dedup_first_wins": _line_sql(R.LINE_RULES) + "SELECT doc_id, rule_id, category, line, seq FROM c QUALIFY row_number() OVER (PARTITION BY rule_id, rel_path, line ORDER BY seq) = 1",
 }
+
+_UNION = " UNION ALL ".join(f"SELECT '{scanner}' AS scanner, file_id, rule_id, confidence FROM ({ORACLES[name]})" for scanner, names in _UNITED.items() for name in names)
+ORACLES["scanner_union"] = f"SELECT scanner, count(*) AS n, count(DISTINCT file_id) AS files, count(DISTINCT rule_id) AS rules, max(confidence) AS most FROM ({_UNION}) GROUP BY scanner"

@@ -1,4 +1,8 @@
-"""Queries over project files: manifests, workflows, images, histories; every document becomes one such file."""
+"""Queries over project files: manifests, workflows, images, scripts, histories.
+
+The texts are those of all files of the table and, so that every parser and detector meets its notation, one made-up
+file for each document. Files delivered again are told apart by ``delivery`` and their results made distinct.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +13,7 @@ from pyspark.sql import functions as F
 
 from siltline.operators import detect
 from siltline.plans import rules as R
-from siltline.plans.detection_queries import q
+from siltline.plans.detection_queries import EVALUATED, chain_sql, q, text_files
 from siltline.session import table
 from siltline.sources import history, manifests
 
@@ -38,7 +42,8 @@ _FILES = (
 )
 _FILES = tuple((p, l, re.sub(r"(?<![A-Za-z])N(?![A-Za-z])", "@@", t)) for p, l, t in _FILES)
 _K = len(_FILES)
-_PATTERN_KEY = ("doc_id", "rel_path")
+_KEY = ("doc_id", "delivery")
+_PATTERN_KEY = ("doc_id", "delivery", "rel_path")
 
 
 def project_files(spark: SparkSession, d: str) -> DataFrame:
@@ -46,14 +51,22 @@ def project_files(spark: SparkSession, d: str) -> DataFrame:
     index = (F.pmod("doc_id", F.lit(_K)) + 1).cast("int")
     pick = lambda i: F.element_at(F.array(*[F.lit(f[i]).cast("string") for f in _FILES]), index)
     text = F.replace(F.replace(F.regexp_replace(pick(2), "NL", "\n"), F.lit("TAB"), F.lit("\t")), F.lit("@@"), F.col("doc_id").cast("string"))
-    return docs.select("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit("/"), pick(0)).alias("rel_path"), pick(1).alias("language"), text.alias("text"))
+    made = docs.select("doc_id", F.lit(0).cast("bigint").alias("delivery"), F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit("/"), pick(0)).alias("rel_path"), pick(1).alias("language"), text.alias("text"))
+    files = text_files(spark, d).where(F.col("content").isNotNull())
+    real = files.select(
+        (-F.col("file_id") - 1).alias("doc_id"), F.coalesce(F.unix_micros("discovered_at"), F.lit(0)).alias("delivery"),
+        F.concat(F.lit("f"), F.col("file_id").cast("string"), F.lit("/"), F.col("rel_path")).alias("rel_path"), "language", "text",
+    )
+    return made.unionByName(real)
+
 
 
 def _case(i: int) -> str:
     return f"CASE doc_id % {_K} " + " ".join(f"WHEN {n} THEN {q(f[i]) if f[i] is not None else 'NULL'}" for n, f in enumerate(_FILES)) + " END"
 
 
-_P = f"(SELECT doc_id, 'd' || doc_id || '/' || {_case(0)} AS rel_path, {_case(1)} AS language, replace(replace(replace({_case(2)}, 'NL', chr(10)), 'TAB', chr(9)), '@@', CAST(doc_id AS VARCHAR)) AS text FROM documents)"
+_REAL = "SELECT DISTINCT -file_id - 1 AS doc_id, 'f' || file_id || '/' || rel_path AS rel_path, language, decode(content) AS text FROM files WHERE NOT coalesce(is_binary, false) AND content IS NOT NULL"
+_P = f"(SELECT doc_id, 'd' || doc_id || '/' || {_case(0)} AS rel_path, {_case(1)} AS language, replace(replace(replace({_case(2)}, 'NL', chr(10)), 'TAB', chr(9)), '@@', CAST(doc_id AS VARCHAR)) AS text FROM documents UNION ALL {_REAL})"
 _L = f"(SELECT doc_id, rel_path, language, unnest(string_split_regex(text, '\\r?\\n')) AS text, generate_subscripts(string_split_regex(text, '\\r?\\n'), 1) AS line FROM {_P})"
 _T = "regexp_replace(text, '^\\s+|\\s+$', '', 'g')"
 
@@ -63,11 +76,11 @@ def _lines(s, d):
 
 
 def _deps(parse):
-    return lambda s, d: parse(project_files(s, d), ("doc_id",)).select("doc_id", "name", "version", "ecosystem")
+    return lambda s, d: parse(project_files(s, d), _KEY).select("doc_id", "name", "version", "ecosystem").distinct()
 
 
 def _found(df: DataFrame, *more: str) -> DataFrame:
-    return df.select("doc_id", "rule_id", "severity", "confidence", "line", *more)
+    return df.select("doc_id", "rule_id", "severity", "confidence", "line", *more).distinct()
 
 
 def advisories(s: SparkSession, d: str) -> DataFrame:
@@ -83,9 +96,13 @@ def advisories(s: SparkSession, d: str) -> DataFrame:
 
 def advisory_join(s, d):
     files = project_files(s, d)
-    deps = manifests.requirements(files, ("doc_id",)).unionByName(manifests.package_json(files, ("doc_id",)))
-    hits = manifests.vulnerable(deps, advisories(s, d), ("doc_id",))
-    return hits.select("doc_id", "name", "version", "advisory_id", "severity", "fixed_version", F.array_join("cve", ",").alias("cve"), F.array_join("ghsa", ",").alias("ghsa"))
+    deps = manifests.requirements(files, _KEY).unionByName(manifests.package_json(files, _KEY))
+    hits = manifests.vulnerable(deps, advisories(s, d), _KEY)
+    return hits.select("doc_id", "name", "version", "advisory_id", "severity", "fixed_version", F.array_join("cve", ",").alias("cve"), F.array_join("ghsa", ",").alias("ghsa")).distinct()
+
+
+def _added(s, d):
+    return history.added_lines(project_files(s, d).where(F.col("rel_path").endswith(".log")), _KEY)
 
 
 QUERIES = {
@@ -96,21 +113,21 @@ QUERIES = {
     "package_json_deps": _deps(manifests.package_json),
     "package_lock_deps": _deps(manifests.package_lock),
     "composer_deps": _deps(manifests.composer_lock),
-    "distinct_packages": lambda s, d: manifests.distinct_packages(manifests.dependencies(project_files(s, d), ("doc_id",))),
-    "install_hooks": lambda s, d: manifests.hook_findings(project_files(s, d), ("doc_id",)).select("doc_id", "rule_id", "severity", "confidence", "evidence"),
+    "distinct_packages": lambda s, d: manifests.distinct_packages(manifests.dependencies(project_files(s, d), _KEY)),
+    "install_hooks": lambda s, d: manifests.hook_findings(project_files(s, d), _KEY).select("doc_id", "rule_id", "severity", "confidence", "evidence").distinct(),
     "advisory_join": advisory_join,
     "image_last_stage": lambda s, d: _found(detect.root_images(_lines(s, d), _PATTERN_KEY)),
     "workflow_first_checkout": lambda s, d: _found(detect.workflow_checkouts(_lines(s, d), _PATTERN_KEY), "evidence"),
     "terraform_first_cidr": lambda s, d: _found(detect.open_ports(_lines(s, d), _PATTERN_KEY), "evidence"),
-    "behaviour_chain": lambda s, d: _found(detect.chain_findings(project_files(s, d), ("doc_id",)), "evidence"),
-    "evaluated_code": lambda s, d: _found(detect.decoded_evaluation(project_files(s, d), ("doc_id",))),
-    "git_log_forward_fill": lambda s, d: history.added_lines(project_files(s, d).where(F.col("rel_path").endswith(".log")), ("doc_id",)),
-    "git_history_secrets": lambda s, d: history.history_secrets(history.added_lines(project_files(s, d).where(F.col("rel_path").endswith(".log")), ("doc_id",)), ("doc_id",)),
+    "behaviour_chain": lambda s, d: _found(detect.chain_findings(project_files(s, d), _KEY), "evidence"),
+    "evaluated_code": lambda s, d: _found(detect.decoded_evaluation(project_files(s, d), _KEY)),
+    "git_log_forward_fill": lambda s, d: _added(s, d).drop("delivery").distinct(),
+    "git_history_secrets": lambda s, d: history.history_secrets(_added(s, d).drop("delivery").distinct(), ("doc_id",)),
 }
 
 
 def _dep_sql(name: str, pattern: str, ecosystem: str) -> str:
-    return f"SELECT doc_id, regexp_extract(text, {q(pattern)}, 1) AS name, regexp_extract(text, {q(pattern)}, 2) AS version, '{ecosystem}' AS ecosystem FROM {_L} WHERE ends_with(rel_path, '/{name}') AND regexp_matches(text, {q(pattern)})"
+    return f"SELECT DISTINCT doc_id, regexp_extract(text, {q(pattern)}, 1) AS name, regexp_extract(text, {q(pattern)}, 2) AS version, '{ecosystem}' AS ecosystem FROM {_L} WHERE ends_with(rel_path, '/{name}') AND regexp_matches(text, {q(pattern)})"
 
 
 _PKG = f"(SELECT doc_id, TRY_CAST(text AS JSON) AS j FROM {_P} WHERE ends_with(rel_path, '/package.json') AND json_valid(text))"
@@ -145,8 +162,8 @@ ORACLES = {
     "image_last_stage": f"WITH l AS (SELECT doc_id, line, {_T} AS t FROM {_L} WHERE language = 'dockerfile'), g AS (SELECT doc_id, max(CASE WHEN regexp_matches(t, '(?i)^FROM\\s+') THEN line END) AS f, max(CASE WHEN regexp_matches(t, '(?i)^USER\\s+') AND NOT regexp_matches(t, 'root|0') THEN line END) AS u, count(*) AS n FROM l GROUP BY doc_id) SELECT doc_id, 'CONFIG-001' AS rule_id, 'MEDIUM' AS severity, 85 AS confidence, CAST(f AS INTEGER) AS line FROM g WHERE n > 3 AND (u IS NULL OR u < f)",
     "workflow_first_checkout": f"WITH l AS (SELECT doc_id, line, {_T} AS t FROM {_L} WHERE contains(rel_path, '.github/workflows')), s AS (SELECT *, max(CAST(regexp_matches(t, '(?i)pull_request_target\\s*:') AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY line ROWS UNBOUNDED PRECEDING) AS seen, max(CAST(regexp_matches(t, '(?i)ref:\\s*\\$\\{{\\{{\\s*github\\.event\\.pull_request\\.head') AS INTEGER)) OVER (PARTITION BY doc_id) AS head FROM l) SELECT doc_id, 'CONFIG-004' AS rule_id, 'CRITICAL' AS severity, 95 AS confidence, CAST(line AS INTEGER) AS line, t AS evidence FROM s WHERE seen = 1 AND head = 1 AND regexp_matches(t, '(?i)actions/checkout') QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY line) = 1",
     "terraform_first_cidr": f"WITH l AS (SELECT doc_id, line, {_T} AS t FROM {_L} WHERE language = 'terraform'), s AS (SELECT *, bool_or(regexp_matches(t, '22|3389')) OVER (PARTITION BY doc_id) AS port FROM l) SELECT doc_id, 'CONFIG-006' AS rule_id, 'HIGH' AS severity, 90 AS confidence, CAST(line AS INTEGER) AS line, t AS evidence FROM s WHERE port AND regexp_matches(t, '(?i)cidr_blocks\\s*=\\s*\\[\\s*[\"'']0\\.0\\.0\\.0/0[\"'']\\s*\\]') QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY line) = 1",
-    "evaluated_code": f"SELECT doc_id, 'SUSP-001' AS rule_id, 'HIGH' AS severity, 85 AS confidence, CAST(NULL AS INTEGER) AS line FROM {_P} WHERE regexp_matches(text, '(?i)eval\\s*\\(\\s*(?:String\\.fromCharCode|atob)')",
-    "behaviour_chain": f"SELECT doc_id, 'MAL-CHAIN-001' AS rule_id, 'CRITICAL' AS severity, CASE WHEN contains(text, 'execSync') THEN 99 ELSE 96 END AS confidence, 1 AS line, CASE WHEN contains(text, 'execSync') THEN '1. reads credentials; 2. talks to the network; 3. runs code' ELSE '1. reads credentials; 2. encodes them; 3. talks to the network' END AS evidence FROM {_P} WHERE language = 'javascript' AND (contains(text, 'id_rsa') OR contains(text, 'process.env')) AND (contains(text, 'fetch(') OR contains(text, 'https.request'))",
+    "evaluated_code": f"SELECT doc_id, 'SUSP-001' AS rule_id, 'HIGH' AS severity, 85 AS confidence, CAST(NULL AS INTEGER) AS line FROM {_P} WHERE {EVALUATED}",
+    "behaviour_chain": f"SELECT doc_id, rule_id, severity, confidence, line, evidence FROM ({chain_sql(_P, 'doc_id')})",
     "git_log_forward_fill": _ADDED + "SELECT * FROM a",
     "git_history_secrets": _ADDED + f"SELECT * FROM ({_HISTORY}) WHERE length(value) >= 6 AND NOT regexp_matches(lower(value), '{_TERMS}')",
 }

@@ -103,3 +103,27 @@ def test_zip():
 
 def test_strings(spark):
     assert one(spark, binary.printable_strings, b"\x00hello\x01ab\xffworld!!", "binary") == ["hello", "world!!"]
+
+
+def test_script_positions():
+    from siltline.functions.javascript import analyse
+    from siltline.plans.detection_queries import _SCRIPTS
+
+    for code, want in _SCRIPTS:
+        got = [(f[0], f[1], f[2], f[4], f[5], 2 if f[7] else 0) for f in analyse(code)]
+        assert got == ([want] if want else []), code
+    long_type = "const v: { " + " ".join(f"a{i}: string;" for i in range(60)) + " } = req.body;\nexec(v);"
+    assert [f[2] for f in analyse(long_type)] == [98]
+    far = "x" * 600 + ";eval(" + "y" * 600 + ")"
+    assert analyse(far)[0][4:7] == (1, 601, far)
+    assert [f[0] for f in analyse("/a/.exec(x); eval")] == ["SEC-001"] and analyse("exec(a") and analyse(")]}exec") == []
+
+
+def test_masking_table():
+    from siltline.functions.text import sanitize_text
+
+    block = "-----BEGIN RSA PRIVATE" + " KEY-----\nabc\n-----END RSA PRIVATE" + " KEY-----"
+    assert sanitize_text(f"x {block} y") == "x -----BEGIN PRIVATE KEY-----\n[REDACTED PRIVATE KEY DATA]\n-----END PRIVATE KEY----- y"
+    assert sanitize_text("password = 'longenough1'") == "password = 'lo*******h1'"
+    assert sanitize_text("k = AKIA" + "Q" * 16) == "k = AKIA" + "*" * 12 + "QQQQ"
+    assert sanitize_text(None) is None and sanitize_text("") == ""

@@ -58,3 +58,37 @@ def test_tables_link_to_parents(spark):
     assert (finding["finding_id"], finding["rule_id"], finding["line"], finding["dewey"], finding["parent_dewey"]) == (7, "R", 12, "0.0.0", "0")
     assert {r["finding_dewey"] for r in tables["steps"].collect()} == {"0.0.0"}
     assert tables["reports"].count() == 1
+
+
+def test_only_declared_fields_are_unpacked(spark):
+    title, note = "[1]", '{ "a":1}'
+    text = report({"findingId": 7, "title": title, "note": note, "evidenceChain": ["[2]", json.dumps(json.dumps(["x"]))], "taintPath": [json.dumps({"file": "a"})]})
+    df = spark.createDataFrame([(1, text)], "scan_id long, report string")
+    nodes = {(r["schema_path"], r["kind"], r["value"]) for r in nested.report_nodes(df).collect()}
+    assert ("$.findings[].title", "string", title) in nodes and ("$.findings[].note", "string", note) in nodes
+    assert ("$.findings[].evidencechain[]", "string", "[2]") in nodes and not any(p.startswith("$.findings[].title[") for p, _, _ in nodes)
+    assert ("$.findings[].taintpath[].file", "string", "a") in nodes
+    deep = json.dumps(["end"])
+    for _ in range(9):
+        deep = json.dumps(deep)
+    got = children(spark, [(1, report({"findingId": 7, "evidenceChain": deep}))])
+    assert got == [(1, 7, "evidence_step", 0)]
+
+
+def test_the_latest_delivery_counts(spark):
+    old, new = report({"findingId": 7, "evidenceChain": ["a", "b", "c"]}), report({"findingId": 7, "evidenceChain": ["z"], "title": "t"})
+    rows = [(1, "2025-01-02 00:00:00", new), (1, "2025-01-01 00:00:00", old), (1, "2025-01-02 00:00:00", new), (2, None, old), (2, None, old)]
+    df = spark.createDataFrame(rows, "scan_id long, received_at string, report string").withColumn("received_at", F.to_timestamp("received_at"))
+    assert sorted(tuple(r) for r in nested.report_children(df).collect()) == [(1, 7, "evidence_step", 0)] + [(2, 7, "evidence_step", i) for i in range(3)]
+    steps = nested.report_steps(df).where("scan_id = 1").collect()
+    assert [(r["child_no"], r["value"]) for r in steps] == [(0, "z")]
+    assert nested.report_nodes(df).where("schema_path = '$'").count() == 2
+
+
+def test_any_schema_path_as_a_table(spark):
+    df = spark.createDataFrame([("k", json.dumps({"orders": [{"no": 1, "to": {"city": "A"}, "items": [{"id": "x"}, {"id": "y"}]}, {"no": 2, "items": []}]}))], "key string, doc string")
+    nodes = nested.shred(df, ["key"], "doc")
+    orders = nested.table_of(nodes, ["key"], r"\$\.orders\[\]", {"no": r"\.no", "city": r"\.to\.city"}, 2)
+    assert sorted((r["dewey"], r["parent_dewey"], r["no"], r["city"]) for r in orders.collect()) == [("0.0.0", "0", "1", "A"), ("0.0.1", "0", "2", None)]
+    items = nested.table_of(nodes, ["key"], r"\$\.orders\[\]\.items\[\]", {"id": r"\.id"}, 2)
+    assert sorted((r["dewey"], r["parent_dewey"], r["id"]) for r in items.collect()) == [("0.0.0.2.0", "0.0.0", "x"), ("0.0.0.2.1", "0.0.0", "y")]

@@ -169,3 +169,119 @@ def test_advisories_threats_and_history(spark, tmp_path):
     assert ("GHSA-1", "CRITICAL", "Dependencies", "needs_review") in rows
     assert ("MAL-006", "CRITICAL", "Malware", "confirmed_malware") in rows
     assert ("SECRET-001", "HIGH", "Git History", "needs_review") in rows
+
+
+def test_no_sink_shows_a_secret(spark, tmp_path):
+    import subprocess
+
+    password = "Quiet" + "River94!"
+    root = write(tmp_path / "tree", {"key.py": f"k = '{KEY}'\n", "db.yml": f"url: postgres://u:{password}@h.invalid/x\n", "run.js": f"exec('tool --key {KEY} ' + name)\n", "a.php": f"<?php system(\"x password='{password}'\");\n", "conf.py": f"eval('password = \"{password}\"')\n"})
+    for command in (["init", "-q"], ["add", "-A"], ["-c", "user.name=a", "-c", "user.email=a@b", "commit", "-qm", "x"]):
+        subprocess.run(["git", "-C", root, *command], check=True)
+    result = scan(spark, root, Config(deep=True))
+    assert {"secrets", "git", "sast"} <= {r["scanner"] for r in result.findings.select("scanner").distinct().collect()}
+    reports.write_table(result, str(tmp_path / "table"))
+    reports.write_rows(result, str(tmp_path / "rows"))
+    reports.write_baseline(result, str(tmp_path / "base"))
+    texts = [reports.json_report(result), reports.sarif_report(result), reports.html_report(result), reports.terminal_report(result)]
+    texts += [p.read_text() for folder in ("rows", "base") for p in (tmp_path / folder).glob("*.json")]
+    texts += [str(spark.read.parquet(str(tmp_path / "table")).collect()), str(reports.fix_list(result).collect())]
+    assert len(texts) >= 8
+    for text in texts:
+        assert KEY not in text and password not in text
+
+
+def test_documents_show_a_page(spark, tmp_path, monkeypatch):
+    root = write(tmp_path, {"a.py": "eval(x)\n" * 7})
+    result = scan(spark, root)
+    monkeypatch.setattr(reports, "PAGE", 3)
+    report = json.loads(reports.json_report(result))
+    assert len(report["findings"]) == 3 and report["page"] == {"total": 7, "shown": 3}
+    assert json.loads(reports.sarif_report(result))["runs"][0]["properties"] == {"total": 7, "shown": 3}
+    page = reports.html_report(result)
+    assert "<option>CRITICAL</option>" in page and page.count("data-severity") == 3
+    text = reports.terminal_report(result)
+    assert "3 of 7 findings shown" in text and "coverage" in text and "sandbox" in text
+    reports.write_rows(result, str(tmp_path / "rows"))
+    assert spark.read.json(str(tmp_path / "rows")).count() == 7
+
+
+def test_error_while_running_is_isolated(spark, tmp_path):
+    def broken(files, lines, config):
+        return detect.disguised_files(files.withColumn("is_disguised", F.expr("raise_error('while running') is null")))
+
+    root = write(tmp_path, {"a.py": "eval(x)\n"})
+    before = dict(REGISTRY)
+    try:
+        register("late", broken)
+        result = scan(spark, root)
+    finally:
+        REGISTRY.clear()
+        REGISTRY.update(before)
+    status = {r["scanner"]: r["status"] for r in result.runs}
+    assert status["late"] == "error" and status["line rules"] == "completed" and result.findings.count() == 1
+
+
+def test_cuts_are_reported(spark, tmp_path):
+    root = write(tmp_path, {"a.txt": "1", "b.txt": "2" * 100, "sub/deep/c.txt": "3"})
+    coverage = tree.Coverage()
+    assert len(list(tree.walk(root, limits=tree.Limits(file_bytes=50, depth=1), coverage=coverage))) == 1
+    run = coverage.run()
+    assert run["status"] == "incomplete" and (coverage.too_large, coverage.too_deep) == (1, 1)
+    coverage = tree.Coverage()
+    list(tree.walk(root, limits=tree.Limits(files=2), coverage=coverage))
+    assert coverage.stopped == "files" and coverage.run()["files"] == 2
+    result = scan(spark, root, Config(limits=tree.Limits(files=2)))
+    assert result.runs[0]["status"] == "incomplete"
+    assert scan(spark, root).runs[0] == {"scanner": "walk", "status": "completed", "files": 3, "bytes": 102}
+    assert history.read_log("/nonexistent")[0]["status"] == "skipped"
+
+
+def test_command_line_tables(spark, tmp_path, capsys, monkeypatch):
+    import hashlib
+
+    root = write(tmp_path / "tree", {"requirements.txt": "lib==1.2\n", "bad.bin": b"payload"})
+    spark.createDataFrame([("PyPI", "lib", "1.2", "GHSA-1", "s", ["CVE-1"], ["9.8"], [["1.3"]])], "ecosystem string, name string, version string, advisory_id string, summary string, aliases array<string>, scores array<string>, fixed array<array<string>>").write.parquet(str(tmp_path / "adv"))
+    spark.createDataFrame([(hashlib.sha256(b"payload").hexdigest(), "made up")], "sha256 string, name string").write.json(str(tmp_path / "threats.json"))
+    wanted = [root, "--json", "--advisories", str(tmp_path / "adv"), "--threats", str(tmp_path / "threats.json"), "--sandbox", "--clamav"]
+    assert cli.main(wanted, spark) == 0
+    report = json.loads(capsys.readouterr().out)
+    assert {"GHSA-1", "MAL-006"} <= {f["rule"] for f in report["findings"]}
+    assert {"sandbox", "clamav", "yara"} <= {r["scanner"] for r in report["scanners"] if r["status"] == "unavailable"}
+    assert cli.main([*wanted, "--offline"], spark) == 0
+    assert "GHSA-1" not in {f["rule"] for f in json.loads(capsys.readouterr().out)["findings"]}
+    assert cli.main([root, "--threats", str(tmp_path / "none")], spark) == 2
+    assert dict(cli.doctor(str(tmp_path), str(tmp_path / "adv")))["advisory table"] == "ok" and dict(cli.doctor("/nonexistent"))["checkpoint folder"] == "error"
+    monkeypatch.setenv("CODESPACES", "true")
+    assert cli.in_container()
+
+
+def test_signature_matches_are_findings(spark, tmp_path, monkeypatch):
+    from siltline.plans import scan as plans
+
+    root = write(tmp_path, {"a.bin": "x"})
+    monkeypatch.setattr(plans, "yara_matches", lambda s, rules, target: ("completed", parse_matches(s, f"Odd_Rule {target}/a.bin\n", target)))
+    result = plans.scan(spark, root, Config(yara_rules="r.yar"))
+    row = result.findings.where("scanner = 'yara'").first()
+    assert (row["rule_id"], row["file"], row["severity"], row["confidence"]) == ("MAL-001", "a.bin", "HIGH", 90)
+    monkeypatch.setattr(plans, "yara_matches", lambda s, rules, target: ("unavailable", None))
+    assert {"scanner": "yara", "status": "unavailable"} in plans.scan(spark, root, Config(yara_rules="r.yar")).runs
+
+
+def test_archives_against_the_library(spark):
+    import io
+    import zipfile
+
+    rows = []
+    for i, names in enumerate((["a.txt"], ["../up.txt", "b"], ["x.exe", "in.zip"], [])):
+        data = io.BytesIO()
+        with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
+            for n in names:
+                z.writestr(n, b"0" * (30_000_000 if names == ["a.txt"] else 10))
+        rows.append((f"f{i}.zip", bytearray(data.getvalue())))
+        with zipfile.ZipFile(data) as z:
+            from siltline.functions.binary import inspect_zip
+
+            assert inspect_zip(data.getvalue())[:3] == (True, len(z.infolist()), sum(x.file_size for x in z.infolist()))
+    df = spark.createDataFrame([*rows, ("n", None), ("e", bytearray(b"")), ("p", bytearray(b"PK"))], "rel_path string, content binary")
+    assert sorted((r["rel_path"], r["rule_id"]) for r in detect.archive_findings(df).collect()) == [("f0.zip", "MAL-005"), ("f1.zip", "SEC-005")]
