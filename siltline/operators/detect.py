@@ -7,6 +7,7 @@ are carried through by ``keys``.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -91,16 +92,26 @@ def line_findings(lines: DataFrame, keys: Sequence[str] = ("rel_path",), rules:
     return found.select(*keys, *[c.alias(n) for n, c in named.items()])
 
 
+def secret_values(lines: DataFrame, columns: Sequence[str], rules: Sequence[R.Rule] = R.SECRETS) -> DataFrame:
+    """The columns, the rule's number as ``_order`` and each ``value`` that the rule finds in ``text``.
+
+    A rule's pattern runs only on lines with one of its hints; lines without any leave first.
+    """
+    text = F.col("text")
+    hinted = [reduce(Column.__or__, [text.contains(h) for h in r.hints or (":", "=")]) for r in rules]
+    hinted = [h if r.hints else h & text.rlike(r.pattern) for h, r in zip(hinted, rules)]
+    none = F.array().cast(_TEXTS)
+    each = F.array(*[F.struct(F.lit(i).alias("order"), F.when(h, F.regexp_extract_all(F.col("text"), F.lit(r.pattern), F.lit(r.group))).otherwise(none).alias("values")) for i, (r, h) in enumerate(zip(rules, hinted))])
+    kept = F.filter(each, lambda m: F.size(m["values"]) > 0)
+    return lines.where(reduce(Column.__or__, hinted)).select(*columns, F.explode(kept).alias("_m")).select(*columns, F.col("_m.order").alias("_order"), F.explode("_m.values").alias("value"))
+
+
 def secret_findings(lines: DataFrame, keys: Sequence[str] = ("rel_path",), rules: Sequence[R.Rule] = R.SECRETS, minimum: int = 6, adjust: bool = True) -> DataFrame:
     """Every match of every secret rule in every line: value, entropy and confidence.
 
     Values shorter than the minimum, placeholders and values below a rule's entropy are left out.
     """
-    cheap = F.col("text").rlike("|".join(f"(?:{r.pattern})" if not r.pattern.startswith("(?i)") else f"(?i:{r.pattern[4:]})" for r in rules))
-    each = F.array(*[
-        F.struct(F.lit(i).alias("order"), F.regexp_extract_all(F.col("text"), F.lit(r.pattern), F.lit(r.group)).alias("values")) for i, r in enumerate(rules)
-    ])
-    found = lines.where(cheap).select(*keys, "line", F.explode(each).alias("_m")).select(*keys, "line", F.col("_m.order").alias("_order"), F.explode("_m.values").alias("value"))
+    found = secret_values(lines, (*keys, "line"), rules)
     pick = lambda value, kind: F.element_at(F.array(*[F.lit(value(r)).cast(kind) for r in rules]), F.col("_order") + 1)
     found = found.where((F.length("value") >= minimum) & ~is_placeholder(F.col("value"))).withColumn("entropy", shannon_entropy(F.col("value")))
     least = pick(lambda r: r.min_entropy, "double")

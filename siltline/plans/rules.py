@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 @dataclass(frozen=True)
 class Rule:
-    """``group`` is the capture group that holds a secret's value (0: the whole match); ``languages`` empty means any."""
+    """``group`` is the capture group that holds a secret's value (0: the whole match); ``languages`` empty means any;
+    a secret's match holds one of its ``hints``, or without any a colon or an equals sign; that is cheaper to test."""
 
     rule_id: str
     scanner: str
@@ -24,24 +25,25 @@ class Rule:
     group: int = 1
     min_entropy: float | None = None
     excluded: str | None = None
+    hints: tuple[str, ...] = ()
 
 
 # Shapes of secrets.
 _S = ("secrets", "Secrets")
 SECRETS = (
-    Rule("SECRET-001", *_S, "HIGH", 95, "cloud access key id", r"\b(AKIA[0-9A-Z]{16})\b", cwe=("CWE-798",)),
+    Rule("SECRET-001", *_S, "HIGH", 95, "cloud access key id", r"\b(AKIA[0-9A-Z]{16})\b", cwe=("CWE-798",), hints=("AKIA",)),
     Rule("SECRET-002", *_S, "CRITICAL", 90, "cloud secret key assigned", r"(?i)(?:aws_secret_access_key|aws_sec_key|secret_access_key)\s*[:=]\s*['\"]?([0-9a-zA-Z/+=]{40})['\"]?", cwe=("CWE-798",), min_entropy=4.2),
-    Rule("SECRET-003", *_S, "CRITICAL", 98, "personal access token of a code forge", r"\b(ghp_[A-Za-z0-9_]{36,255}|github_pat_[A-Za-z0-9_]{22}_[A-Za-z0-9_]{59})\b", cwe=("CWE-798",)),
-    Rule("SECRET-004", *_S, "HIGH", 95, "app or user token of a code forge", r"\b(gh[ousr]_[A-Za-z0-9_]{36,255})\b", cwe=("CWE-798",)),
-    Rule("SECRET-005", *_S, "CRITICAL", 95, "token of a build server", r"\b(glpat-[0-9a-zA-Z\-_]{20,})\b", cwe=("CWE-798",)),
-    Rule("SECRET-006", *_S, "HIGH", 90, "map service key", r"\b(AIza[0-9A-Za-z\-_]{35})\b", cwe=("CWE-798",)),
-    Rule("SECRET-007", *_S, "CRITICAL", 98, "live payment key", r"\b(sk_live_[0-9a-zA-Z]{24,}|rk_live_[0-9a-zA-Z]{24,})\b", cwe=("CWE-798",)),
-    Rule("SECRET-008", *_S, "HIGH", 95, "chat token", r"\b(xox[baprs]-[0-9]{10,13}-[0-9]{10,13}-[a-zA-Z0-9]{24,32})\b", cwe=("CWE-798",)),
-    Rule("SECRET-009", *_S, "MEDIUM", 95, "chat web hook", r"https://hooks\.slack\.com/services/T[A-Z0-9_]{8,12}/B[A-Z0-9_]{8,12}/[A-Za-z0-9_]{24}", cwe=("CWE-798",), group=0),
+    Rule("SECRET-003", *_S, "CRITICAL", 98, "personal access token of a code forge", r"\b(ghp_[A-Za-z0-9_]{36,255}|github_pat_[A-Za-z0-9_]{22}_[A-Za-z0-9_]{59})\b", cwe=("CWE-798",), hints=("ghp_", "github_pat_")),
+    Rule("SECRET-004", *_S, "HIGH", 95, "app or user token of a code forge", r"\b(gh[ousr]_[A-Za-z0-9_]{36,255})\b", cwe=("CWE-798",), hints=("gho_", "ghu_", "ghs_", "ghr_")),
+    Rule("SECRET-005", *_S, "CRITICAL", 95, "token of a build server", r"\b(glpat-[0-9a-zA-Z\-_]{20,})\b", cwe=("CWE-798",), hints=("glpat-",)),
+    Rule("SECRET-006", *_S, "HIGH", 90, "map service key", r"\b(AIza[0-9A-Za-z\-_]{35})\b", cwe=("CWE-798",), hints=("AIza",)),
+    Rule("SECRET-007", *_S, "CRITICAL", 98, "live payment key", r"\b(sk_live_[0-9a-zA-Z]{24,}|rk_live_[0-9a-zA-Z]{24,})\b", cwe=("CWE-798",), hints=("k_live_",)),
+    Rule("SECRET-008", *_S, "HIGH", 95, "chat token", r"\b(xox[baprs]-[0-9]{10,13}-[0-9]{10,13}-[a-zA-Z0-9]{24,32})\b", cwe=("CWE-798",), hints=("xox",)),
+    Rule("SECRET-009", *_S, "MEDIUM", 95, "chat web hook", r"https://hooks\.slack\.com/services/T[A-Z0-9_]{8,12}/B[A-Z0-9_]{8,12}/[A-Za-z0-9_]{24}", cwe=("CWE-798",), group=0, hints=("hooks.slack.com",)),
     Rule("SECRET-010", *_S, "HIGH", 90, "chat bot token or web hook", r"(?i)(?:https://discord(?:app)?\.com/api/webhooks/[0-9]{17,20}/[A-Za-z0-9_-]{60,68}|(?:discord[_-]?token|bot[_-]?token)\s*[:=]\s*['\"][MNO][a-zA-Z0-9_-]{23,25}\.[a-zA-Z0-9_-]{6}\.[a-zA-Z0-9_-]{27}['\"])", cwe=("CWE-798",), group=0),
     Rule("SECRET-011", *_S, "HIGH", 92, "messenger bot token", r"\b([0-9]{8,10}:[a-zA-Z0-9_-]{35})\b", cwe=("CWE-798",)),
-    Rule("SECRET-013", *_S, "LOW", 85, "signed web token", r"\beyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\b", cwe=("CWE-522",), group=0),
-    Rule("SECRET-014", *_S, "HIGH", 92, "database address with password", r"(?i)(?:postgres|postgresql|mysql|mongodb(?:\+srv)?|redis|mssql)://[a-zA-Z0-9_.-]+:([^@\s:]{4,})@[a-zA-Z0-9_.-]+", cwe=("CWE-798",)),
+    Rule("SECRET-013", *_S, "LOW", 85, "signed web token", r"\beyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\b", cwe=("CWE-522",), group=0, hints=("eyJ",)),
+    Rule("SECRET-014", *_S, "HIGH", 92, "database address with password", r"(?i)(?:postgres|postgresql|mysql|mongodb(?:\+srv)?|redis|mssql)://[a-zA-Z0-9_.-]+:([^@\s:]{4,})@[a-zA-Z0-9_.-]+", cwe=("CWE-798",), hints=("://",)),
     Rule("SECRET-015", *_S, "MEDIUM", 75, "generic key assigned", r"(?i)(?:api[_-]?key|client[_-]?secret|db[_-]?password|app[_-]?secret|auth[_-]?token)\s*[:=]\s*['\"]([^'\"\s]{16,64})['\"]", cwe=("CWE-798",), min_entropy=3.8),
 )
 #: Spans lines, so it runs on whole contents.

@@ -51,6 +51,7 @@ def added_lines(logs: DataFrame, keys: Sequence[str] = ("log",), text: str = "te
 def history_secrets(added: DataFrame, keys: Sequence[str] = ("log",)) -> DataFrame:
     """All secret rules on added lines, with fixed confidence and without an entropy test."""
     rules = R.SECRETS
-    each = F.array(*[F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.regexp_extract_all("text", F.lit(r.pattern), F.lit(r.group)).alias("values")) for r in rules])
-    found = added.select(*keys, "commit", "file", "line", F.explode(each).alias("m")).select(*keys, "commit", "file", "line", "m.rule_id", "m.severity", F.explode("m.values").alias("value"))
+    found = detect.secret_values(added, (*keys, "commit", "file", "line"), rules)
+    pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("_order") + 1)
+    found = found.withColumns({"rule_id": pick([r.rule_id for r in rules]), "severity": pick([r.severity for r in rules])})
     return found.where((F.length("value") >= 6) & ~is_placeholder(F.col("value"))).select(*keys, "rule_id", "severity", F.lit("Git History").alias("category"), F.lit(90).alias("confidence"), "commit", "file", "line", "value")
