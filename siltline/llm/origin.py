@@ -175,6 +175,8 @@ def measure(texts: list[str], languages: list[str]) -> tuple[pd.DataFrame, np.nd
 # -- tables --------------------------------------------------------------------------------------------------------------
 
 _CHUNK_BYTES = 600_000
+#: A phrase with one in so many of all phrase rows and more is hot; its rows are spread over so many join keys.
+HOT, SALTS = 256, 32
 
 # A library's own head: name with version, and a licence that isn't this repository's.
 _FOREIGN_HEAD = re.compile(r"\bv\d+\.\d+(?:\.\d+)?\b[\s\S]{0,200}?\b(?:released|licen[sc]ed|distributed) under the (?:MIT|BSD|Apache|ISC|MPL|L?GPL|zlib)", re.IGNORECASE)
@@ -224,8 +226,14 @@ def file_origins(files: DataFrame) -> DataFrame:
     phrases = figures.select("file_id", "repo", F.explode(F.arrays_zip("phrases", "widths")).alias("p")).select("file_id", "repo", F.col("p.phrases").alias("phrase"), F.col("p.widths").alias("width"))
     # lowest and highest repository by hash: two numbers tell whether there are at least two, without a set for each phrase
     place = F.xxhash64("repo")
-    spread = phrases.groupBy("phrase").agg(F.min(place).alias("_a"), F.max(place).alias("_b")).where("_a <> _b").select("phrase")
-    shared = phrases.join(spread, "phrase", "left_semi").groupBy("file_id").agg(F.sum("width").alias("_shared"))
+    spread = cut(phrases.groupBy("phrase").agg(F.min(place).alias("_a"), F.max(place).alias("_b"), F.count("*").alias("_n")).where("_a <> _b").select("phrase", "_n"))
+    # phrases that very many files have, at most HOT by definition, are spread over several join keys
+    every = figures.agg(F.sum(F.size("phrases"))).first()[0] or 0
+    hot = [r["phrase"] for r in spread.where(F.col("_n") * HOT >= F.lit(every)).collect()]
+    is_hot = F.col("phrase").isin(hot) if hot else F.lit(False)
+    salted = phrases.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64("file_id"), F.lit(SALTS)).cast("int")).otherwise(0))
+    keys = spread.select("phrase", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("_salt"))
+    shared = salted.join(keys, ["phrase", "_salt"], "left_semi").groupBy("file_id").agg(F.sum("width").alias("_shared"))
     out = figures.drop("phrases", "widths").join(shared, "file_id", "left").withColumn("shared_share", F.coalesce(F.col("_shared") / F.col("tokens"), F.lit(0.0))).drop("_shared")
     generated_limit = F.greatest(F.lit(GENERATED_FLOOR), GENERATED_RATIO - GENERATED_SLOPE * F.log10(F.greatest(F.lit(1), F.col("tokens")) / 100.0))
     return out.select(
