@@ -22,15 +22,17 @@ _DQ = r'"(?:[^"\\\n]|\\[\s\S])*+"'
 _SQ = r"'(?:[^'\\\n]|\\[\s\S])*+'"
 
 
-def flat_expression(atom: str, member: str, operator: str, argument: str = "", levels: int = 2) -> str:
+def flat_expression(atom: str, member: str, operator: str, keyword: str = "", levels: int = 2) -> str:
     """An expression of atoms, members, calls and binary operators without rules, so that it fuses into one regular expression.
 
-    It takes nothing that the full rule would refuse; it is tried first, with a look at what follows.
+    It takes nothing that the full rule would refuse; it is tried first, with a look at what follows. With ``keyword``,
+    what begins a named argument, those stand behind the others and a comma may end them.
     """
     operand = f"{atom} ({member})*"
     text = f"{operand} ({operator} {operand})*"
     for _ in range(levels):
-        operand = f"{atom} ({member} / '(' ({argument}({text}) (',' {argument}({text}))*)? ')')*"
+        arguments = f"(!({keyword}) {text} (',' / &')'))* ({keyword} {text} (',' / &')'))*" if keyword else f"(({text}) (',' ({text}))*)?"
+        operand = f"{atom} ({member} / '(' {arguments} ')')*"
         text = f"{operand} ({operator} {operand})*"
     return text
 
@@ -225,9 +227,50 @@ def _javascript(name: str, parts: dict[str, str], more: str) -> Language:
         op = re.match(r"\?\?|&&|\|\||=>|[=!<>]==?|.", token)[0]
         return t.get(op, BAD) + c["STR"] if len(token) > len(op) else BAD
 
-    classify = _class_map(grammar, **{"@": c["DECO"]}) | {ch: operator_then_regex for ch in "(,=:[!&|?{;+-*%<>~^"}
+    def template(token: str) -> str:
+        return c["TPL"] if "${" not in token or all(map(substitution, _substitutions(token))) else BAD
+
+    def substitution(text: str) -> bool:
+        if _PLAIN_SUBSTITUTION.fullmatch(text):
+            return True
+        parses = lambda code: language.grammar.accepts(language.kinds(code))
+        return bool(text.strip()) and (parses(f"({text})") or name == "typescript" and parses(f"type X = {text}"))
+
+    classify = _class_map(grammar, **{"@": c["DECO"], "`": template}) | {ch: operator_then_regex for ch in "(,=:[!&|?{;+-*%<>~^"}
     text_of = lambda text: re.sub(r"^#![^\n]*", "", text)
-    return Language(name, grammar, pattern, classify, text_of, _js_finish)
+    language = Language(name, grammar, pattern, classify, text_of, _js_finish)
+    return language
+
+
+_PLAIN_SUBSTITUTION = re.compile(r"\s*(?!(?:if|for|in|let|const|var|return|class|new|typeof|do|else|while)\b)[A-Za-z_$][\w$]*+(?:\.[A-Za-z_$][\w$]*+|\[[\w$]+\]|\(\))*+\s*")
+_SUBSTITUTION_PART = re.compile(r"`(?:[^`\\]|\\[\s\S])*+`|" + _DQ + "|" + _SQ + r"|//[^\n]*+|/\*[\s\S]*?\*/|[{}/]")
+
+
+def _substitutions(token: str) -> list[str]:
+    """The code between ``${`` and its brace, for each in a template; what holds a slash (it may begin a pattern) isn't judged."""
+    out, at = [], 1
+    while True:
+        sign = re.compile(r"\\[\s\S]|\$\{").search(token, at)
+        if sign is None:
+            return out
+        at = sign.end()
+        if sign[0] != "${":
+            continue
+        begin, depth, plain = at, 0, True
+        while True:
+            part = _SUBSTITUTION_PART.search(token, at)
+            if part is None:
+                return out
+            at = part.end()
+            plain &= part[0] != "/"
+            if part[0] == "{":
+                depth += 1
+            elif part[0] == "}":
+                if not depth:
+                    break
+                depth -= 1
+        if plain:
+            out.append(token[begin : at - 1])
 
 
 # -- Java --------------------------------------------------------------------------------------------------------------

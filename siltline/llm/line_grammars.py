@@ -14,12 +14,15 @@ _PYTHON = r"""
 file <- NL? stmt* END
 stmt <- compound / simple_line
 simple_line <- simple (';' simple)* ';'? NL
-simple <- 'pass' / 'break' / 'continue' / 'return' exprs_star? / 'raise' (expr ('from' expr)?)? / 'global' ID (',' ID)* / 'nonlocal' ID (',' ID)* / 'del' exprs / 'assert' expr (',' expr)? / import / typealias / expr_stmt
+simple <- 'pass' / 'break' / 'continue' / 'return' exprs_star? / 'raise' (expr ('from' expr)?)? / 'global' ID (',' ID)* / 'nonlocal' ID (',' ID)* / 'del' targets / 'assert' expr (',' expr)? / import / typealias / expr_stmt
 typealias <- 'type' ID typeparams? '=' expr
 import <- 'import' dotted ('as' ID)? (',' dotted ('as' ID)?)* / 'from' ('.' / '...')* (dotted / &'import') 'import' ('*' / '(' alias (',' alias)* ','? ')' / alias (',' alias)*)
 dotted <- ID ('.' ID)*
 alias <- ID ('as' ID)?
-expr_stmt <- exprs_star (':' expr ('=' (yield / exprs_star))? / AUG (yield / exprs_star) / ('=' (yield / exprs_star))*) / yield
+expr_stmt <- exprs_star &STOP / targets '=' assigned / single (':' expr ('=' (yield / exprs_star))? / AUG (yield / exprs_star)) / yield
+assigned <- (yield / exprs_star) !'=' / targets '=' assigned
+single <- access / ID / '(' single ')'
+access <- atom (suffix &SUFFIX)* ('.' ID / '[' subscript (',' subscript)* ','? ']')
 exprs <- expr (',' expr)* ','?
 exprs_star <- star_expr (',' star_expr)* ','?
 star_expr <- %flat% &FOLLOW / '*' bitor / yield / named
@@ -29,15 +32,21 @@ block <- NL INDENT stmt+ DEDENT / simple_line
 class <- 'class' ID typeparams? args? ':' block
 def <- 'def' ID typeparams? '(' params? ')' ('->' expr)? ':' block
 typeparams <- '[' ('*' / '**')? ID (':' expr)? ('=' expr)? (',' ('*' / '**')? ID (':' expr)? ('=' expr)?)* ','? ']'
-params <- param (',' param)* ','?
-param <- '/' / '**' ID (':' expr)? / '*' (ID (':' ('*' bitor / expr))?)? / ID (':' expr)? ('=' expr)?
+params <- (positional (',' named_only)? / named_only) ','?
+positional <- plain (',' plain)* (',' '/' (',' plain)* (',' given)* / (',' given)+ (',' '/')? (',' given)*)? / given (',' given)* (',' '/')? (',' given)*
+plain <- ID (':' expr)? !'='
+given <- ID (':' expr)? '=' expr
+named_only <- '*' ID (':' ('*' bitor / expr))? (',' either)* (',' rest)? / '*' (',' either)+ (',' rest)? / rest
+either <- ID (':' expr)? ('=' expr)?
+rest <- '**' ID (':' expr)?
 if <- 'if' named ':' block ('elif' named ':' block)* ('else' ':' block)?
 while <- 'while' named ':' block ('else' ':' block)?
 for <- 'for' targets 'in' exprs_star ':' block ('else' ':' block)?
-targets <- ('*'? bitor) (',' '*'? bitor)* ','?
+targets <- target (',' target)* ','?
+target <- '*' target / access / ID / '(' targets? ')' / '[' targets? ']'
 try <- 'try' ':' block (('except' '*'? (expr (',' expr)* ('as' ID)?)? ':' block)+ ('else' ':' block)? ('finally' ':' block)? / 'finally' ':' block)
 with <- 'with' ('(' withitem (',' withitem)* ','? ')' ':' / withitem (',' withitem)* ':') block
-withitem <- expr ('as' '*'? bitor)?
+withitem <- expr ('as' target)?
 match <- 'match' exprs_star ':' NL INDENT ('case' patterns ('if' named)? ':' block)+ DEDENT
 patterns <- pattern (',' pattern)* ','?
 pattern <- '*' ID / orpattern ('as' ID)?
@@ -48,8 +57,13 @@ yield <- 'yield' ('from' expr / exprs_star)?
 named <- %flat% &FOLLOW / ID ':=' expr / expr
 expr <- lambda / or ('if' or 'else' expr)?
 lambda <- 'lambda' lparams? ':' expr
-lparams <- lparam (',' lparam)* ','?
-lparam <- '/' / '**' ID / '*' ID? / ID ('=' expr)?
+lparams <- (lpositional (',' lnamed_only)? / lnamed_only) ','?
+lpositional <- lplain (',' lplain)* (',' '/' (',' lplain)* (',' lgiven)* / (',' lgiven)+ (',' '/')? (',' lgiven)*)? / lgiven (',' lgiven)* (',' '/')? (',' lgiven)*
+lplain <- ID !'='
+lgiven <- ID '=' expr
+lnamed_only <- '*' ID (',' leither)* (',' lrest)? / '*' (',' leither)+ (',' lrest)? / lrest
+leither <- ID ('=' expr)?
+lrest <- '**' ID
 or <- not (('and' / 'or') not)*
 not <- 'not'* compare
 compare <- bitor ((COMPARE / 'not' 'in' / 'is' 'not' / 'is' / 'in') bitor)*
@@ -58,8 +72,10 @@ unary <- PRE* 'await'? postfix
 postfix <- atom suffix*
 suffix <- '.' ID / args / '[' subscript (',' subscript)* ','? ']'
 subscript <- '*' bitor / expr? ':' expr? (':' expr?)? / named
-args <- '(' (arg (',' arg)* ','?)? ')'
-arg <- (ID '=')? %flat% &FOLLOW / '**' expr / '*' expr / ID '=' expr / named comp?
+args <- '(' (arg (',' arg)* (',' keyword)* (',' last)* ','? / keyword (',' keyword)* (',' last)* ','? / last (',' last)* ','?)? ')' / '(' named comp ')'
+arg <- !(ID '=') (%flat% &FOLLOW / '*' expr / named)
+keyword <- ID '=' (%flat% &FOLLOW / expr) / '*' expr
+last <- '**' expr / ID '=' expr
 comp <- ('async'? 'for' targets 'in' or ('if' cond_nocond)*)+
 cond_nocond <- ID ':=' or / or
 atom <- ID / NUM / STR+ / 'None' / 'True' / 'False' / '...' / '(' (yield / tuple_items)? ')' / '[' tuple_items? ']' / '{' (dict_items / tuple_items)? '}'
@@ -77,22 +93,88 @@ _PYTHON_SETS = {
     "SIMPLE": "NAME NUM STR None True False",
     "OPERATOR": "+ - * / // % @ ** << >> & | ^ == != < > <= >= and or in is",
     "FOLLOW": "; , ) ] } : NL =",
+    "STOP": "; NL",
+    "SUFFIX": ". ( [",
 }
 
 
+_FIELD_SIGN = re.compile(r"\{\{|\}\}|\\N\{[^}]*\}|\\[^{}]|\{|\}")
+_FIELD_PART = re.compile(r"\"\"\"[\s\S]*?\"\"\"|'\''[\s\S]*?'\''|\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|!=|==|<=|>=|[()\[\]{}!:=]")
+_PLAIN_FIELD = re.compile(r"\s*[A-Za-z_]\w*(?:\.[A-Za-z_]\w*|\[\d+\]|\(\))*\s*")
+
+
+def _fields_parse(token: str, accepts: Callable[[str], bool]) -> bool:
+    """Whether braces of a formatted literal pair and their expressions parse."""
+    start = token.index(next(q for q in token if q in "\"'"))
+    width = 3 if token[start : start + 3] in ('"' * 3, "'" * 3) and len(token) >= start + 6 else 1
+    return _fields_end(token[start + width : -width], 0, accepts, False) >= 0
+
+
+def _fields_end(body: str, at: int, accepts: Callable[[str], bool], inside: bool) -> int:
+    """Behind the text that begins at ``at``, or -1 if a field in it is wrong; a format ends before its closing brace."""
+    while True:
+        sign = _FIELD_SIGN.search(body, at)
+        if sign is None:
+            return -1 if inside else len(body)
+        if sign[0] == "}" or inside and sign[0] == "}}":
+            return sign.start() if inside else -1
+        if sign[0] != "{" and not (inside and sign[0] == "{{"):
+            at = sign.end()
+            continue
+        begin, depth, at = sign.start() + 1, 0, sign.start() + 1
+        while True:
+            part = _FIELD_PART.search(body, at)
+            if part is None:
+                return -1
+            if part[0] in ("(", "[", "{"):
+                depth += 1
+            elif part[0] in (")", "]", "}") and depth:
+                depth -= 1
+            elif not depth and part[0] in ("}", "!", ":") or not depth and part[0] == "=" and re.match(r"\s*[!:}]", body[part.end() :]):
+                break
+            at = part.end()
+        expression = body[begin : part.start()]
+        if not _PLAIN_FIELD.fullmatch(expression) and not (expression.strip() and accepts(expression)):
+            return -1
+        at = part.start()
+        rest = re.match(r"\s*=?\s*(?:![rsa])?\s*([:}])", body[at:])
+        if rest is None:
+            return -1
+        at += rest.end()
+        if rest[1] == ":":
+            at = _fields_end(body, at, accepts, True)
+            if at < 0 or body[at : at + 1] != "}":
+                return -1
+            at += 1
+
+
 def _python() -> Language:
-    grammar = Grammar(_fill(_PYTHON, {"flat": flat_expression("SIMPLE", "'.' ID", "OPERATOR", "(ID '=')? ")}), CLASSES, _PYTHON_SETS)
+    grammar = Grammar(_fill(_PYTHON, {"flat": flat_expression("SIMPLE", "'.' ID", "OPERATOR", "ID '='")}), CLASSES, _PYTHON_SETS)
     c, t = grammar.kinds.of_class, grammar.kinds.of_text
     prefix = r"(?:[rRbBuUfFtT]{1,2})?"
     number = r"0[xX][\da-fA-F_]++(?!\w)|0[bBoO][\d_]++(?!\w)|(?:(?:0(?:_?0)*+|[1-9](?:_?\d)*+)(?![\d_.eEjJ])|(?:\d(?:_?\d)*+\.(?:\d(?:_?\d)*+)?|\.\d(?:_?\d)*+|\d(?:_?\d)*+(?=[eEjJ]))(?:[eE][+-]?\d(?:_?\d)*+)?[jJ]?)(?!\w)"
+    # fields of formatted literals may hold the quotes that enclose the literal; what doesn't match is read as any literal
+    field = r"\{(?:[^{}\"'\n#]|\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'|\{[^{}\n]*\})*+\}"
+    formatted = r"(?:[fFtT][rR]?|[rR][fFtT])"
+    nested = rf"{formatted}\"(?!\"\")(?:[^\"\\\n{{}}]|\\[\s\S]|\{{\{{|\}}\}}|{field})*+\"|{formatted}'(?!'')(?:[^'\\\n{{}}]|\\[\s\S]|\{{\{{|\}}\}}|{field})*+'"
     pattern = re.compile(
-        rf'#[^\n]*+|{prefix}"""(?:[^"\\]|\\[\s\S]|"(?!""))*+"""|{prefix}\'\'\'(?:[^\'\\]|\\[\s\S]|\'(?!\'\'))*+\'\'\'|{prefix}"(?:[^"\\\n]|\\[\s\S])*+"(?!")|{prefix}""(?!")|{prefix}\'(?:[^\'\\\n]|\\[\s\S])*+\'(?!\')|{prefix}\'\'(?!\')'
+        rf'#[^\n]*+|{nested}|{prefix}"""(?:[^"\\]|\\[\s\S]|"(?!""))*+"""|{prefix}\'\'\'(?:[^\'\\]|\\[\s\S]|\'(?!\'\'))*+\'\'\'|{prefix}"(?:[^"\\\n]|\\[\s\S])*+"(?!")|{prefix}""(?!")|{prefix}\'(?:[^\'\\\n]|\\[\s\S])*+\'(?!\')|{prefix}\'\'(?!\')'
         rf"|[^\W\d]\w*+|\n[ \t\f]*+(?:(?:#[^\n]*+)?\n[ \t\f]*+)*+(?:#[^\n]*+)?|\\\n|{number}|\*\*=|//=|<<=|>>=|\.\.\.|->|:=|==|!=|<=|>=|\+=|-=|\*=|/=|%=|@=|&=|\|=|\^=|\*\*|//|<<|>>|\S"
     )
     is_string = re.compile(prefix + "[\"']")
     table = _class_map(grammar) | {"#": "", "\\": lambda token: "" if token == "\\\n" else BAD}
+    is_formatted = re.compile(formatted + "[\"']")
+
+    def literal(token: str) -> str:
+        if token[-1] not in "\"'" or not is_string.match(token):
+            return c["NAME"]
+        return c["STR"] if "{" not in token and "}" not in token or not is_formatted.match(token) or _fields_parse(token, accepts) else BAD
+
+    def accepts(expression: str) -> bool:
+        return language.grammar.accepts(language.kinds(f"({expression})\n"))
+
     for letter in "rRbBuUfFtT":
-        table[letter] = lambda token: c["STR"] if token[-1] in "\"'" and is_string.match(token) else c["NAME"]
+        table[letter] = literal
     table["@"] = BAD
     language = Language("python", grammar, pattern, table)
     brackets = re.compile("[" + "".join(re.escape(t[x]) for x in "([{") + "]|[" + "".join(re.escape(t[x]) for x in ")]}") + "]|" + c["NL"])

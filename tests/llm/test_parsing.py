@@ -122,3 +122,75 @@ def test_files(spark):
     rates = {(r["repo"], r["language"]): (r["files"], r["invalid"]) for r in parse_rates(parse_files(df)).collect()}
     assert rates[("r", "json")] == (4, 2)
     language("json")
+
+
+ORDERS_AND_TARGETS = [
+    'f(a=1, b)', 'f(a, b=1)', 'f(*a, b)', 'f(**k, *a)', 'f(**k, a=1)', 'f(a=1, *b)', 'f(**k, b)', 'f(x for x in y)', 'f(x for x in y, 1)', 'f(1, x for x in y)', 'f(,)', 'f(a,)', 'f(a=1,)',
+    'f(**k,)', 'f(a := 1)', 'f(a=b := 1)', 'def f(a=1, b): pass', 'def f(a, b=1): pass', 'def f(a=1, *, b): pass', 'def f(*): pass', 'def f(*, a): pass', 'def f(*, **k): pass',
+    'def f(a, /, b): pass', 'def f(a, /, b, /): pass', 'def f(/, a): pass', 'def f(a=1, /, b=2): pass', 'def f(a=1, /, b): pass', 'def f(*a, **k): pass', 'def f(**k, a): pass',
+    'def f(*a, *b): pass', 'def f(a, *, b, c=1, **k,): pass', 'def f(a, b: int = 3, *args: int) -> int: pass', 'def f(a,): pass', 'def f(,): pass', 'def f(*args: *Ts): pass', 'lambda: 1',
+    'lambda a=1, b: 1', 'lambda *, a: 1', 'lambda *: 1', 'lambda a, /, b=2, *c, d, **e: 1', 'lambda a,: 1', '1 = x', 'f() = x', 'a.b = x', 'a[1] = x', 'f().a = x', 'f()[1] = x',
+    '(a, b) = x', '[a, *b] = x', 'a = b = c', 'a = f() = c', 'a = b = yield', 'x = yield y', '*a, b = c', 'a, b = c, d', '(a) = 1', '(a): int = 1', 'a.b: int', 'f(): int', 'a, b: int = 1',
+    'a += 1', 'f() += 1', 'a, b += 1', 'a.b[1] += 1', '(a) += 1', 'x: int = yield', 'None = 1', 'a + b = c', '-a = 1', 'a if b else c = 1', '"s" = 1', '"s".x = 1', '[] = x', '() = x',
+    'a = *b, c', 'a == b', 'a = b == c', 'await_ = 1', 'print = 3', 'match = 1', 'match.a = 1', 'type = 1', 'type X = int', 'case = 2', 'a = (yield)', 'for x in y: pass',
+    'for f() in y: pass', 'for x, y in z: pass', 'for x.a in y: pass', 'for x[0] in y: pass', 'for (x, y) in z: pass', 'for *x, y in z: pass', 'for 1 in y: pass', 'for x in *a, b: pass',
+    'del a', 'del a, b', 'del f()', 'del a[0], b.c', 'del (a, b)', 'del', 'with a as b: pass', 'with a as f(): pass', 'with a as (b, c): pass', 'with a as b.c, d as e[0]: pass',
+    'with (a as b, c as d): pass', '[x for x in y]', '[x for f() in y]', '{a: b for a, b in c}', 'x = [i for i, in y]', 'a = lambda: (yield)', '@f(a=1)\ndef g(): pass', 'a.b.c(d)[e].f = g',
+    '(a.b) = 1', 'a = b; c = d', 'a = b,', 'f(a)(b) = 1', 'not a = 1', 'a = not b', 'x = a, = b', 'print(a, *b, c=1, **d)', 'f(a)(b)(c=1)(**d)', 'x[a, *b] = 1', 'x[a:b, c] = 1',
+    'a = b = c = d', 'async def f():\n  await x = 1', 'async def f():\n  x = await y\n  async for a.b in c: pass\n  async with d as e: pass', 'global x', 'x = yield = 1',
+    'class A(b, c=1): x: int = 3', 'class A(b=1, c): pass', 'assert a, b', 'raise a from b', 'return', 'x: int, y: int', 'a: b = c = d', 'a: b += 1', 'a = b: int', 'f(a for a in b)(c)',
+    'f(*a for a in b)', 'f(a=1 for a in b)',
+]
+FORMATTED = [
+    'f"{a}"', 'f"{a!r}"', 'f"{a!x}"', 'f"{a:>{w}}"', 'f"{a:{w}.{p}f}"', 'f"{a=}"', 'f"{a = !r:>5}"', 'f"{}"', 'f"{ }"', 'f"{a"', 'f"a}"', 'f"{{}}"', 'f"{{a}"', 'f"{a b}"', 'f"{a[\'k\']}"',
+    'f"{(lambda x: 1)}"', 'f"{x != y}"', 'f"{x == y:b}"', 'f"{a if b else c}"', 'f"{d[\'a:b\']:x}"', 'rf"\\d{a}"', 'f"\\N{DIGIT ONE}{a}"', 'f"{*a,}"', 'f"{a:%H:%M}"', 'f"{a!r:^{b}}"',
+    'f"{lambda x: 1}"', 'f"{a:{b}}}"', 'f"{a+}"', 'f"{x:=5}"', 'f"{\',\'.join(x)}"', 'f"{x!r}}}"', 'f"{{{x}}}"',
+]
+# Quotes inside fields that enclose the literal are new in 3.12; the running parser may be older.
+NESTED_QUOTES = ['f"{a["k"]}"', "f'{f\"{x}\"}'", 'f"{a["b"]["c"]}" + f"{d}"', "f'{f' {d}' if d else ''}x'"]
+
+
+@pytest.mark.parametrize("text", [*ORDERS_AND_TARGETS, *FORMATTED])
+def test_python_orders_targets_and_fields(text):
+    try:
+        ast.parse(text + "\n")
+        valid = True
+    except SyntaxError:
+        valid = False
+    assert judge("python", (text + "\n").encode())[0] == valid
+
+
+def test_python_nested_quotes():
+    for text in NESTED_QUOTES:
+        assert judge("python", (text + "\n").encode())[0], text
+
+
+@pytest.mark.parametrize("name", ["javascript", "typescript"])
+def test_template_substitutions(name):
+    for text in ("`a`", "`${a}`", "`a${b + 1}c${d.e(f, `${g}`)}`", "`${ {a: 1}.a }`", "`\\${ if }`", "`${a ? `x${b}` : 'y}'}`", "`${f(/[a}]/)}`", "`${() => { return 1 }}`", "tag`${a}`", "`$ {a b} $`", "`${a /* } */}`"):
+        assert judge(name, f"x = {text};".encode())[0], text
+    for text in ("`${}`", "`${a b}`", "`${if}`", "`${a +}`", "`${f(}`", "`a${b"):
+        assert not judge(name, f"x = {text};".encode())[0], text
+    assert judge("typescript", b"type A = `a${string}b${infer_}`; type B<T> = T extends `${infer H}-${Uppercase<T>}` ? H : never;")[0]
+
+
+def test_depth_beyond_the_parser_is_undecided():
+    before = sys.getrecursionlimit()
+    deep = lambda n: ("x = " + "(" * n + "1" + ")" * n + "\n").encode()
+    try:
+        sys.setrecursionlimit(1_000_000)
+        assert judge("javascript", deep(15_000)) == judge("python", deep(8_000)) == (True, None, None, None, None)
+        assert judge("javascript", deep(15_000).replace(b")", b"", 1))[0] is False
+        sys.setrecursionlimit(2_000)
+        assert judge("javascript", deep(5_000)) == (None, None, None, None, "undecided")
+    finally:
+        sys.setrecursionlimit(before)
+
+
+def test_rates_with_totals(spark):
+    rows = [(1, "a", "python", True, None), (2, "a", "python", False, "conflict"), (3, "a", "json", None, "undecided"), (4, None, "json", False, "syntax")]
+    rates = {(r["level"], r["repo"], r["language"]): r for r in parse_rates(spark.createDataFrame(rows, "file_id long, repo string, language string, valid boolean, cause string")).collect()}
+    assert len(rates) == 3 + 2 + 2 + 1
+    total = rates["all", None, None]
+    assert (total["files"], total["invalid"], total["undecided"], total["conflicts"], round(total["rate"], 4)) == (4, 2, 1, 1, 0.6667)
+    assert rates["repo", None, None]["files"] == 1 and rates["language", None, "json"]["files"] == 2 and rates["repo and language", "a", "json"]["rate"] is None
