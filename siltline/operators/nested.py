@@ -50,13 +50,13 @@ def _unpacked(value: object) -> object:
     return inner if isinstance(inner, (dict, list)) else value
 
 
-def label_nodes(root: object, lists: frozenset[str], wanted: Callable[[str], bool], packed: frozenset[str] = frozenset()) -> Iterator[tuple[str, str, str, str | None]]:
+def label_nodes(root: object, lists: frozenset[str], wanted: Callable[[str], bool | str], packed: frozenset[str] = frozenset()) -> Iterator[tuple[str, str, str, str | None]]:
     """(dewey, schema_path, kind, value) of the wanted nodes, parents first.
 
     In a schema path names are plain and list elements are ``[]``. A field of ``lists`` that holds a lone value is
     taken as a list of one; null is no list. JSON text is unpacked in the fields of ``packed`` only (``x[]`` means the
     elements of x); any other string stays as it is, whatever it begins with. Values of objects and lists are their
-    JSON text.
+    JSON text, or null where ``wanted`` says "label".
     """
     stack: list[tuple[object, str, str, str]] = [(root, "0", "$", "")]
     while stack:
@@ -66,8 +66,9 @@ def label_nodes(root: object, lists: frozenset[str], wanted: Callable[[str], boo
         if name in lists and value is not None and not isinstance(value, list):
             value = [value]
         kind = "object" if isinstance(value, dict) else "list" if isinstance(value, list) else "null" if value is None else "bool" if isinstance(value, bool) else "number" if isinstance(value, (int, float)) else "string"
-        if wanted(path):
-            text = value if kind == "string" else None if kind == "null" else json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+        want = wanted(path)
+        if want:
+            text = None if kind == "null" or want == "label" else value if kind == "string" else json.dumps(value, ensure_ascii=False, separators=(",", ":"))
             yield dewey, path, kind, text
         if kind == "object":
             # an object's members are numbered in the order in which they stand
@@ -77,8 +78,8 @@ def label_nodes(root: object, lists: frozenset[str], wanted: Callable[[str], boo
 
 
 def dewey_parent(dewey: Column, levels: int = 1) -> Column:
-    """The label cut by so many components; null above the root."""
-    return F.regexp_extract(dewey, rf"^(.+?)(?:\.\d+){{{levels}}}$", 1) if levels else dewey
+    """The label cut by so many components; empty above the root."""
+    return F.substring(dewey, F.lit(1), F.length(dewey) - F.length(F.substring_index(dewey, ".", -levels)) - 1) if levels else dewey
 
 
 def dewey_ordinal(dewey: Column) -> Column:
@@ -86,11 +87,11 @@ def dewey_ordinal(dewey: Column) -> Column:
 
 
 def shred(
-    df: DataFrame, keys: Sequence[str], text: str, lists: Sequence[str] = (), wanted: str = ".", packed: Sequence[str] = (), latest_by: str | None = None, distinct: bool = True
+    df: DataFrame, keys: Sequence[str], text: str, lists: Sequence[str] = (), wanted: str = ".", packed: Sequence[str] = (), latest_by: str | None = None, distinct: bool = True, valued: str = "."
 ) -> DataFrame:
     """One row per wanted node of each record: the keys, then dewey, schema_path, kind, value.
 
-    ``wanted`` is a regular expression searched in schema paths, ``packed`` names the fields that may be JSON text.
+    ``wanted`` is a regular expression searched in schema paths, as is ``valued``: other nodes have no value. ``packed`` names the fields that may be JSON text.
     Of several deliveries with the same keys the one with the greatest ``latest_by`` counts (ties, and without
     ``latest_by``: the one whose text has the greatest hash). Null and invalid texts give no rows, but an invalid
     latest delivery stands for its record. Texts are parsed where they are read; deliveries are told apart by keys and
@@ -101,14 +102,14 @@ def shred(
     schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys) + ", _hash long, " + NODE_SCHEMA
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict[str, bool] = {}
-        pattern = re.compile(wanted)
+        seen: dict[str, bool | str] = {}
+        pattern, with_value = re.compile(wanted), re.compile(valued)
 
-        def want(path: str) -> bool:
+        def want(path: str) -> bool | str:
             if path not in seen:
                 if len(seen) > 100_000:
                     seen.clear()
-                seen[path] = pattern.search(path) is not None
+                seen[path] = pattern.search(path) is not None and (with_value.search(path) is not None or "label")
             return seen[path]
 
         for batch in batches:
@@ -166,19 +167,20 @@ _HEAD_FIELDS = {"tool_name": r"\.tool\.name", "tool_version": r"\.tool\.version"
 _PART, _PART_FIELDS = r"\$\.riskscore\.contributors\[\]", {"name": r"\.name", "count": r"\.count"}
 
 
-def report_nodes(reports: DataFrame, wanted: str = ".", distinct: bool = True) -> DataFrame:
+def report_nodes(reports: DataFrame, wanted: str = ".", distinct: bool = True, valued: str = ".") -> DataFrame:
     """The nodes of the report received last of each scan."""
-    return shred(reports, ["scan_id"], "report", REPORT_LISTS, wanted, REPORT_PACKED, "received_at" if "received_at" in reports.columns else None, distinct)
+    return shred(reports, ["scan_id"], "report", REPORT_LISTS, wanted, REPORT_PACKED, "received_at" if "received_at" in reports.columns else None, distinct, valued)
 
 
 _STEPS = "|".join([rf"^{_FINDING}\.findingid$", *(rf"^{_FINDING}{p}$" for p, _ in CHILDREN.values())])
 
 
 def _steps(nodes: DataFrame) -> DataFrame:
+    # the parser took wanted paths only, so the last name tells an id or an element of which list a node is
     path = F.col("schema_path")
-    child, owner = F.lit(None).cast("string"), F.when(path.rlike(rf"^{_FINDING}\.findingid$"), dewey_parent(F.col("dewey"), 1))
+    child, owner = F.lit(None).cast("string"), F.when(path.endswith(".findingid"), dewey_parent(F.col("dewey"), 1))
     for name, (below, levels) in CHILDREN.items():
-        here = path.rlike(rf"^{_FINDING}{below}$")
+        here = path.endswith("." + re.sub(r"^.*\\\.|\\", "", below))
         child, owner = F.when(here, name).otherwise(child), F.when(here, dewey_parent(F.col("dewey"), levels)).otherwise(owner)
     steps = nodes.select("scan_id", owner.alias("finding_dewey"), child.alias("child"), dewey_ordinal(F.col("dewey")).alias("child_no"), "kind", "value").where("finding_dewey is not null")
     # ids and steps of a finding meet by its label: one aggregate over (scan, label), no join of the table with itself
@@ -217,4 +219,5 @@ def report_tables(reports: DataFrame) -> dict[str, DataFrame]:
 
 def report_children(reports: DataFrame) -> DataFrame:
     """(scan_id, finding_id, child, child_no) of every step, distinct."""
-    return report_steps(reports).select("scan_id", "finding_id", "child", "child_no").distinct()
+    nodes = report_nodes(reports, _STEPS, distinct=False, valued=r"\.findingid$")  # the values of steps aren't asked for
+    return _steps(nodes).select("scan_id", "finding_id", "child", "child_no").distinct()
