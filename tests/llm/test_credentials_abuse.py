@@ -190,3 +190,69 @@ def test_abuse_without_documents_or_labels(spark):
     none = spark.createDataFrame([], "doc_id long, annotator string, label string")
     assert abuse.score_documents(d, none).count() == 2
     assert abuse.score_documents(spark.createDataFrame([], d.schema), none).count() == 0
+
+
+# -- samples, deliveries, ablations --------------------------------------------------------------------------------------
+
+
+def test_hash_shares_never_round_to_nothing(spark):
+    from siltline.session import hash_below
+
+    rows = spark.range(20_000).select(F.xxhash64("id").alias("h"))
+    for share in (0.0005, 0.01, 0.5):
+        assert abs(rows.where(hash_below(F.col("h"), share)).count() / 20_000 - share) < 0.25 * share + 0.001
+    assert rows.where(hash_below(F.col("h"), 1.5)).count() == 20_000
+    # nine thousand million documents and a sample of 6 000: a share far below a millionth still keeps a part of the range
+    low = hash_below(F.lit(-(2**63) + 10**12), 1.5 * 6_000 / 9e9)
+    assert spark.range(1).where(low).count() == 1 and spark.range(1).where(hash_below(F.lit(0), 1e-6)).count() == 0
+
+
+def test_redaction_goes_by_delivery(spark):
+    one, other = f"x = 1\ntoken = '{TOKEN}'\n".encode(), f"# a line more\nx = 1\ntoken = '{TOKEN}'\n# é\n".encode() + b"\xff"
+    files = spark.createDataFrame([(1, "a.py", False, one), (1, "a.py", False, other), (1, "a.py", False, one)], FILES)
+    out = sorted(r["redacted"] for r in C.redact_texts(files, spark.createDataFrame([], FINDINGS)).collect())
+    assert len(out) == 2 and all(TOKEN not in t and "token = '" in t and t.count("X") >= 30 for t in out)
+    assert out[0].startswith("# a line more\nx = 1\ntoken = 'X") and out[1].startswith("x = 1\ntoken = 'X") and out[0].endswith("# é\n�")
+
+
+def test_blanks_do_not_hide_references():
+    assert C.weak_label("quoted", "{{ secrets.db_password }}", "password: ") == 0.0
+    assert C.weak_label("quoted", "$(vault_read db_password)", "export DB_PASSWORD=") == 0.0
+    assert C.weak_label("quoted", "two words 12345678x", "password = ") in (None, 0.0)
+
+
+def test_credentials_without_the_label_rules():
+    """Held out: what the Markov chain, notation and words say without the tests that gave the labels."""
+    rows = []
+    for i in range(300):
+        rows.append(("quoted", word(24), f"{RNG.choice(['api_key', 'auth_token', 'client_secret'])} = ", "src/a.py", 1.0))
+        rows.append(("quoted", "-".join(RNG.choice(["relay", "ivory", "quota", "panel", "stream"]) for _ in range(4)), f"{RNG.choice(['label', 'name', 'title'])} = ", "src/a.py", 0.0))
+    sample = pd.DataFrame(rows, columns=["kind", "value", "context", "path", "label"])
+    for rules in (True, False):
+        model = C.fit(sample.iloc[:400], rules)
+        right = sum((model.probability(*r[:4]) >= 0.5) == (r[4] > 0) for r in rows[400:])
+        assert right >= 196, rules
+        assert (model.dense[C._LABELLING] == 0).all() == (not rules)
+
+
+def test_abuse_learns_without_word_lists():
+    rows, votes = corpus(400, 5)
+    texts, opinions = pd.DataFrame(rows, columns=["doc_id", "text"]), pd.DataFrame(votes, columns=["doc_id", "annotator", "y"])
+    model = abuse.fit(texts, opinions, lexicon=False)
+    assert not model.weights[abuse._LISTED.ravel()].any()
+    held, _ = corpus(200, 6)
+    score = lambda t: abuse.noisy_or(model.sentences(abuse.sentences(t)))
+    assert sum((score(t) >= 0.5) == any(r in t for r in RUDE) for _, t in held) >= 195
+
+
+def test_features_do_not_depend_on_the_batch():
+    parts = ["You are a worthless idiot.", "See a/b.py and f(x) 12", "i d i o t !", "お前は死ね", "*** p*ss off", "a", "你好 世界", "plain words here", "x" * 90]
+    known = abuse.Pieces()
+    columns, owner = abuse.sentence_features(parts * 3, known)
+    for i, part in enumerate(parts):
+        alone, _ = abuse.sentence_features([part])
+        for k in range(3):
+            assert (columns[owner == i + k * len(parts)] == alone).all()
+    assert len(abuse.sentence_features([])[0]) == len(abuse.sentence_features(["123 456"])[1]) == 0
+    model = abuse.Model(abuse._starting_weights(True).astype("float32"), -5.0)
+    assert list(model.sentences(parts)) == [model.sentences([p])[0] for p in parts]
