@@ -58,7 +58,7 @@ _LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t
 _HIDDEN = re.compile(r"[​-‏⁠﻿­]")
 _SPACED = re.compile(r"\b(?:[^\W\d_][ .\-_*]){3,}[^\W\d_]{1,5}\b")
 _LEETED = re.compile(r"(?<![\w/.])(?=[a-z]*+[013457@$])(?=[\w@$]*[a-z])[a-z013457@$]{4,}(?![\w/.(])")
-_LEET_SIGNS = frozenset("013457@$")
+_LEET_SIGNS, _SPELLING_SIGNS = frozenset("013457@$"), frozenset(".-_*")
 _REPEATED = re.compile(r"(\w)\1{2,}")
 _MASKED = re.compile(r"\b\w+\*+\w*|\b\w\*+\w+")
 #: Words of an instance; longer sentences (often several without marks between them) are cut into windows that overlap by half.
@@ -70,15 +70,24 @@ _ROUND, _REMEMBERED = 30_000, 300_000
 
 
 def folded(text: str) -> str:
-    """Case, width and hidden characters made alike, spelled-out words put together."""
+    """Case, width and hidden characters made alike, words spelled out with blanks put together."""
     text = text.lower() if text.isascii() else _HIDDEN.sub("", unicodedata.normalize("NFKC", text)).lower()
-    return _SPACED.sub(lambda m: re.sub(r"[ .\-_*]", "", m[0]), text)
+    if sum(len(w) == 1 for w in text.split()) >= 3:
+        text = _SPACED.sub(_joined, text)
+    return text
+
+
+def _joined(spelled: re.Match) -> str:
+    return re.sub(r"[ .\-_*]", "", spelled[0])
 
 
 def undisguised(text: str) -> str:
-    """Letters for the digits and signs that stand for them; runs of a letter are one."""
-    if not _LEET_SIGNS.isdisjoint(text):
-        text = _LEETED.sub(lambda m: m[0].translate(_LEET), text)
+    """Words spelled out with signs put together, letters for the digits and signs that stand for them; runs of a letter are one."""
+    if not text.isalpha():
+        if not _SPELLING_SIGNS.isdisjoint(text):
+            text = _SPACED.sub(_joined, text)
+        if not _LEET_SIGNS.isdisjoint(text):
+            text = _LEETED.sub(lambda m: m[0].translate(_LEET), text)
     return _REPEATED.sub(r"\1", text)
 
 
@@ -152,8 +161,11 @@ class Pieces:
 
     def add(self, piece: str) -> None:
         text = undisguised(piece)
-        plain = _CODE.sub(" ", text) if _CODE_SIGNS.search(text) else text
-        words = [w.translate(_LEET) for w in _WORD.findall(plain)]
+        if text.isalpha():
+            plain, words = text, [text]
+        else:
+            plain = _CODE.sub(" ", text) if _CODE_SIGNS.search(text) else text
+            words = [w.translate(_LEET) for w in _WORD.findall(plain)]
         grams: list[str] = []
         bits = 0
         for w in words:
@@ -211,8 +223,7 @@ def sentence_features(parts: list[str], known: Pieces | None = None) -> tuple[np
     writing without blanks, and what the word lists say together with an address or a group.
     """
     known = known or Pieces()
-    lines = folded("\n".join(parts)).split("\n")
-    lists = [line.split() for line in lines]
+    lists = [folded(part).split() for part in parts]
     sizes = np.fromiter(map(len, lists), np.int64, len(lists))
     rows = known.numbers([x for line in lists for x in line])
     owner = np.repeat(np.arange(len(lists)), sizes)
@@ -325,7 +336,7 @@ def _starting_weights(lexicon: bool) -> np.ndarray:
     return start
 
 
-def fit(texts: pd.DataFrame, votes: pd.DataFrame, background: pd.DataFrame | None = None, rounds: int = 3, steps: int = 100, decay: float = 0.06, lexicon: bool = True) -> Model:
+def fit(texts: pd.DataFrame, votes: pd.DataFrame, background: pd.DataFrame | None = None, rounds: int = 3, steps: int = 50, decay: float = 0.06, lexicon: bool = True) -> Model:
     """texts and background: doc_id, text; votes: doc_id, annotator, y (0 or 1). Without votes the lexicon's prior is all that is known.
 
     The first round trusts votes and takes background documents for ordinary; later rounds weigh the votes by each
