@@ -81,6 +81,11 @@ def _closing(toks: list[Token], opening: int) -> int:
     return len(toks)
 
 
+def _past(toks: list[Token], i: int) -> int:
+    """Behind the token at ``i`` and, if it opens a bracket, what that holds."""
+    return min(len(toks), _closing(toks, i) + 1) if toks[i].kind == "sign" and toks[i].text in _OPENING else i + 1
+
+
 def _opening(toks: list[Token], closing: int) -> int:
     depth = 0
     for i in range(closing, -1, -1):
@@ -174,18 +179,18 @@ def _declared(toks: list[Token], i: int, code: str) -> Iterator[tuple[int, int,
     at = i + 1
     while at < len(toks):
         name = at if toks[at].kind == "name" else None
-        at = at + 1 if name is not None else _closing(toks, at) + 1 if toks[at].text in _OPENING else len(toks)
+        at = at + 1 if name is not None else _past(toks, at) if toks[at].text in _OPENING else len(toks)
         if at < len(toks) and toks[at].text == "!":
             at += 1
         if at < len(toks) and toks[at].text == ":":  # a type goes on to the value
             at += 1
             while at < len(toks) and toks[at].text not in ("=", ";", ",", ")") and not (_new_statement(toks, at, code)):
-                at = _closing(toks, at) + 1 if toks[at].text in _OPENING else at + 1
+                at = _past(toks, at)
         if at < len(toks) and toks[at].text == "=":
             begin = at + 1
             at = begin
             while at < len(toks) and toks[at].text not in (";", ",") and toks[at].text not in _CLOSING and not (at > begin and _new_statement(toks, at, code)):
-                at = _closing(toks, at) + 1 if toks[at].kind == "sign" and toks[at].text in _OPENING else at + 1
+                at = _past(toks, at)
             if name is not None and at > begin:
                 yield name, begin, at
         if at >= len(toks) or toks[at].text != ",":

@@ -127,3 +127,14 @@ def test_masking_table():
     assert sanitize_text("password = 'longenough1'") == "password = 'lo*******h1'"
     assert sanitize_text("k = AKIA" + "Q" * 16) == "k = AKIA" + "*" * 12 + "QQQQ"
     assert sanitize_text(None) is None and sanitize_text("") == ""
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["const a", "let {b}", " = ", "req.query", "(", ")", "[", "]", "{", "}", ";", ",", "\n", "exec", "a.b", ".query", "`${x}`", "`", "'", "new ", "Function", "<T>", ": ", "?.", "?", "+", "innerHTML", "=>", "eval(", "spawn('a', [], {shell: true})", "/x/", "/*", "//", "a"]), max_size=25))
+def test_scripts_of_any_shape(parts):
+    from siltline.functions.javascript import analyse
+
+    code = "".join(parts)
+    for found in analyse(code):
+        line = code.split("\n")[found[4] - 1]
+        assert 0 <= found[5] < len(line) and found[6] is not None
