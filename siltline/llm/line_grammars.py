@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable
 
 from siltline.llm.grammars import BAD, CLASSES, Language, _class_map, _fill, flat_expression
-from siltline.llm.packrat import Grammar
+from siltline.llm.packrat import END, Grammar
 
 # -- Python ------------------------------------------------------------------------------------------------------------
 
@@ -300,6 +300,25 @@ def _nested(depth: int) -> str:
     return inner
 
 
+def _commands(token: str, substitution: re.Pattern) -> list[str]:
+    """The code of the command substitutions of a word, outermost only; arithmetic is none."""
+    out, at, quoted = [], 0, False
+    while at < len(token):
+        if token[at] == "\\":
+            at += 2
+        elif token[at] == "'" and not quoted:
+            at = token.find("'", at + 1) + 1 or len(token)
+        elif token.startswith("$(", at):
+            found = substitution.match(token, at)
+            if found and not token.startswith("$((", at):
+                out.append(token[at + 2 : found.end() - 1])
+            at = found.end() if found else at + 2
+        else:
+            quoted ^= token[at] == '"'
+            at += 1
+    return out
+
+
 def _shell() -> Language:
     grammar = Grammar(_SHELL, CLASSES, _SHELL_SETS)
     t, c = grammar.kinds.of_text, grammar.kinds.of_class
@@ -357,11 +376,23 @@ def _shell() -> Language:
             elif token in "\"'`$\x00":
                 k = BAD
             else:
-                k = name
+                k = name if "$(" not in token or all(map(parses, _commands(token, substitution))) else BAD
             kinds.append(k)
             places.append(start)
         return kinds, places
 
+    substitution, known = re.compile(sub), {}
+
+    def parses(code: str) -> bool:
+        """Whether the commands of a substitution parse; where brackets or marks may be text (case, heredocs, remarks), yes."""
+        if re.search(r"\bcase\b|<<|#", code):
+            return True
+        if code not in known:
+            if len(known) > 20_000:
+                known.clear()
+            known[code] = grammar.accepts("".join(lex(code + "\n")[0]) + END)
+        return known[code]
+
     return Language("shell", grammar, pattern, {}, lexer=lex)
 
 

@@ -194,3 +194,10 @@ def test_rates_with_totals(spark):
     total = rates["all", None, None]
     assert (total["files"], total["invalid"], total["undecided"], total["conflicts"], round(total["rate"], 4)) == (4, 2, 1, 1, 0.6667)
     assert rates["repo", None, None]["files"] == 1 and rates["language", None, "json"]["files"] == 2 and rates["repo and language", "a", "json"]["rate"] is None
+
+
+def test_shell_substitutions():
+    for text in ("x=$(a b)", "x=$()", "x=$(if a; then b; fi)", 'x="$(a "$(b c)")"', "echo '$(a | )'", "x=$(( 1 + (2) ))", "x=$(<f)", "x=$(a)$(b)", "x=$( (a; b) | c )", "x=$(a\nb)", "x=$({ a; })", "x=${y:-$(a)}", "x=$(case a in a) b;; esac)", 'echo "it\'s $(a | b)"'):
+        assert judge("shell", (text + "\n").encode())[0], text
+    for text in ("x=$(a | )", "x=$(a", "x=$(if a; then b)", 'x="$(fi)"', "x=$(a && )", "x=${y:-$(a | )}", "x=$(for i in 1; do a)", "x=$(a;; b)", "x=$(&)", 'x="$(a "$(b | )")"'):
+        assert not judge("shell", (text + "\n").encode())[0], text
