@@ -294,9 +294,11 @@ _SHELL_SETS = {"RESERVED": "then else elif fi do done esac", "CLOSER": "then els
 
 
 def _nested(depth: int) -> str:
-    inner = r"(?:[^()\"'\\`]|\\[\s\S]|\"(?:[^\"\\]|\\[\s\S])*+\"|'[^']*+'|`[^`]*+`)*+"
+    """Text in which brackets pair up to a depth; a case stands for itself, as its patterns close brackets that none opens."""
+    case = r"(?<![\w$.-])case\s(?:(?!\besac\b)[\s\S])*+esac\b"
+    inner = rf"(?:{case}|[^()\"'\\`]|\\[\s\S]|\"(?:[^\"\\]|\\[\s\S])*+\"|'[^']*+'|`[^`]*+`)*+"
     for _ in range(depth):
-        inner = rf"(?:[^()\"'\\`]|\\[\s\S]|\"(?:[^\"\\]|\\[\s\S])*+\"|'[^']*+'|`[^`]*+`|\({inner}\))*+"
+        inner = rf"(?:{case}|[^()\"'\\`]|\\[\s\S]|\"(?:[^\"\\]|\\[\s\S])*+\"|'[^']*+'|`[^`]*+`|\({inner}\))*+"
     return inner
 
 
